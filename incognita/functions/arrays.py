@@ -20,7 +20,13 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def empty_array(element_type: str) -> Column:
-    return F.array().cast(f"array<{element_type}>")
+    return F.expr(f"cast(array() AS array<{element_type}>)")
+
+
+def literal_array(values: list[str] | list[int]) -> Column:
+    """A constant array, handed over as one expression instead of one per entry."""
+    shown = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v) for v in values)
+    return F.expr(f"array({shown})")
 
 
 def scan(

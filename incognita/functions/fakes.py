@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from incognita.functions.arrays import literal_array
 from incognita.rules import SAFE_EMAIL_DOMAINS
 
 # --- Invented word lists --------------------------------------------------
@@ -68,8 +69,7 @@ def pick(key: Column, slot: int, n: int) -> Column:
 
 
 def _choose(key: Column, slot: int, words: list[str]) -> Column:
-    options = F.array(*[F.lit(w) for w in words])
-    return F.element_at(options, (pick(key, slot, len(words)) + 1).cast("int"))
+    return F.get(literal_array(words), pick(key, slot, len(words)).cast("int"))
 
 
 def _digits(number: Column, width: int) -> Column:

@@ -10,14 +10,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from incognita.functions import fakes as fk
-from incognita.functions.arrays import bind, empty_array, scan
+from incognita.functions.arrays import bind, empty_array, literal_array, scan
 from incognita.functions.preserve import PreserveRules
 from incognita.rules import DIGIT, Pattern, patterns_for
 
-_SPAN = "struct<start:int,end:int,value:string>"
-# Ordered so that natural struct order is "by position, then by pattern order".
-_MATCH = "struct<start:int,ordinal:int,end:int,type:string,value:string,score:int>"
-_FINDING = "struct<start:int,end:int,type:string,value:string,score:int>"
+# A match. Its end is start + length(value), its type the ordinal-th pattern. Natural
+# struct order is "by position, then by pattern order".
+_MATCH = "struct<start:int,ordinal:int,value:string>"
+_REPLACEMENT = "struct<start:int,end:int,type:string,value:string,fake:string>"
+
+# Up to this many matches of one pattern positions are looked up one by one.
+_FEW = 64
+
+# Control characters that mark the cuts; see _unmarked.
+_MARK, _STAND_IN = "\u0002", "\u0003"
 
 Patterns = str | list[Pattern]
 
@@ -38,79 +44,107 @@ def detect_value(value: Column, patterns: Patterns = "standard") -> Column:
 
 
 def _may_occur(text: Column, p: Pattern, has_digit: Column | None = None) -> Column:
-    if p.needs == DIGIT:
-        return text.rlike(DIGIT) if has_digit is None else has_digit
-    return F.contains(text, F.lit(p.needs)) if p.needs else F.lit(True)
+    """A cheap necessary condition for a match."""
+    if p.needs == DIGIT and has_digit is not None:
+        return has_digit
+    return text.rlike(p.needs) if p.needs else F.lit(True)
+
+
+def _marked(text: Column, regex: str) -> Column:
+    """The text with a mark before and after every match."""
+    return F.regexp_replace(text, F.lit(regex), F.lit(f"{_MARK}$0{_MARK}"))
 
 
-def match_spans(text: Column, regex: str) -> Column:
-    """All non-overlapping matches of one regex as array<struct<start,end,value>>.
+def _unmarked(text: Column) -> Column:
+    """The same text without the control character used as mark. Positions stay; no
+    pattern of the rule sets matches a control character, so no match changes."""
+    return F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _STAND_IN)).otherwise(text)
 
-    The texts between the matches come from ``split`` with the same regex; the
-    running sum of both lengths gives the positions.
+
+def _located(marked: Column, ordinal: Column) -> Column:
+    """The matches of a marked text as array<struct<start,ordinal,value>>.
+
+    A split at the marks (a plain character search) gives gaps and matches in turn.
+    A few matches get their start from the length of what stands before their
+    mark, many from a running sum, which stays linear.
     """
 
-    def locate(found: Column) -> Column:
-        gaps = F.transform(F.split(text, regex, -1), F.length)
-        steps = F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(found)),
-            found,
-            lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")),
-        )
+    def match(start: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), ordinal.alias("ordinal"), value.alias("value"))
 
-        def emit(position: Column, item: Column) -> Column:
-            start = position + item["gap"]
-            return F.struct(
-                start.alias("start"),
-                (start + F.length(item["value"])).alias("end"),
-                item["value"].alias("value"),
-            )
+    def looked_up(parts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), (F.size(parts) / 2).cast("int") - 1),
+            lambda i: match(
+                F.length(F.call_function("substring_index", marked, F.lit(_MARK), 2 * i + 1)) - 2 * i,
+                F.get(parts, 2 * i + 1),
+            ),
+        )
 
+    def summed_up(parts: Column) -> Column:
         return scan(
-            steps,
+            F.transform(parts, lambda part, i: F.struct(part.alias("value"), (i % 2 == 1).alias("hit"))),
             F.lit(0),
-            lambda position, item: position + item["gap"] + F.length(item["value"]),
-            emit,
-            _SPAN,
+            lambda position, x: position + F.length(x["value"]),
+            lambda position, x: F.when(x["hit"], match(position, x["value"])),
+            _MATCH,
         )
 
     return bind(
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
-        lambda found: F.when(F.size(found) > 0, locate(found)).otherwise(empty_array(_SPAN)),
+        F.split(marked, _MARK, -1),
+        lambda parts: F.when(F.size(parts) == 1, empty_array(_MATCH))
+        .when(F.size(parts) <= 2 * _FEW + 1, looked_up(parts))
+        .otherwise(summed_up(parts)),
     )
 
 
 def _matches(text: Column, patterns: list[Pattern]) -> Column:
-    """Matches of all patterns, sorted by position; an empty array for NULL text."""
+    """Matches of all patterns, sorted by position; an empty array for NULL text.
+
+    Each pattern that can occur at all costs one regex pass, which marks its matches
+    in a copy of the text; what follows is the same for all copies.
+    """
     if not patterns:
         return empty_array(_MATCH)
 
-    def tagged(ordinal: int, p: Pattern, has_digit: Column) -> Column:
-        spans = F.when(_may_occur(text, p, has_digit), match_spans(text, p.spark_regex))
-        return F.transform(
-            F.coalesce(spans, empty_array(_SPAN)),
-            lambda span: F.struct(
-                span["start"].alias("start"),
-                F.lit(ordinal).alias("ordinal"),
-                span["end"].alias("end"),
-                F.lit(p.type).alias("type"),
-                span["value"].alias("value"),
-                F.lit(p.weight).alias("score"),
-            ),
+    def marked_copies(doc: Column) -> Column:
+        return F.array(
+            *[
+                F.when(_may_occur(doc["text"], p, doc["digit"]), _marked(doc["text"], p.spark_regex))
+                for p in patterns
+            ]
         )
 
-    found = bind(
-        text.rlike(DIGIT),
-        lambda digit: F.concat(*[tagged(i, p, digit) for i, p in enumerate(patterns)]),
+    copies = bind(F.struct(_unmarked(text).alias("text"), text.rlike(DIGIT).alias("digit")), marked_copies)
+    found = F.transform(
+        copies,
+        lambda marked, i: F.when(marked.isNull(), empty_array(_MATCH)).otherwise(_located(marked, i)),
     )
-    return F.array_sort(found)
+    return F.array_sort(F.flatten(found))
+
+
+def _end(match: Column) -> Column:
+    return match["start"] + F.length(match["value"])
+
+
+def _of_pattern(values: list, match: Column) -> Column:
+    """The entry of a per-pattern list that belongs to a match."""
+    return F.get(literal_array(values), match["ordinal"])
 
 
 def find_all(text: Column, patterns: Patterns = "standard", types: list[str] | None = None) -> Column:
     """array<struct<start,end,type,value,score>>, sorted by start."""
+    chosen = patterns_for(patterns, types)
+    kinds, scores = [p.type for p in chosen], [p.weight for p in chosen]
     return F.transform(
-        _matches(text, patterns_for(patterns, types)),
-        lambda m: F.struct(*[m[f].alias(f) for f in ("start", "end", "type", "value", "score")]),
+        _matches(text, chosen),
+        lambda m: F.struct(
+            m["start"].alias("start"),
+            _end(m).alias("end"),
+            _of_pattern(kinds, m).alias("type"),
+            m["value"].alias("value"),
+            _of_pattern(scores, m).alias("score"),
+        ),
     )
 
 
@@ -120,44 +154,43 @@ def resolve_overlaps(matches: Column) -> Column:
 
     Going from right to left every kept match starts at or after the current
     one, so it is enough to compare with the start of the match kept last.
-    Expects the sorted array of ``_matches``.
     """
-    order = F.transform(
-        matches,
-        lambda m: F.struct(
-            (-m["start"]).alias("back"), m["ordinal"].alias("ordinal"), m.alias("match")
-        ),
-    )
-    kept = scan(
-        F.array_sort(order),
-        F.lit(None).cast("int"),
-        lambda last, x: F.when(_fits(last, x["match"]), x["match"]["start"]).otherwise(last),
-        lambda last, x: F.when(_fits(last, x["match"]), x["match"]),
-        _MATCH,
-    )
-    return F.reverse(kept)
 
+    def from_right(m: Column) -> Column:
+        return F.struct((-m["start"]).alias("back"), m["ordinal"].alias("ordinal"), m["value"].alias("value"))
+
+    def fits(last_start: Column, m: Column) -> Column:
+        return last_start.isNull() | (F.length(m["value"]) - m["back"] <= last_start)
 
-def _fits(last_start: Column, match: Column) -> Column:
-    return last_start.isNull() | (match["end"] <= last_start)
+    def walk(several: Column) -> Column:
+        kept = scan(
+            F.array_sort(F.transform(several, from_right)),
+            F.lit(None).cast("int"),
+            lambda last, m: F.when(fits(last, m), -m["back"]).otherwise(last),
+            lambda last, m: F.when(
+                fits(last, m),
+                F.struct((-m["back"]).alias("start"), m["ordinal"].alias("ordinal"), m["value"].alias("value")),
+            ),
+            _MATCH,
+        )
+        return F.reverse(kept)
+
+    return bind(matches, lambda m: F.when(F.size(m) > 1, walk(m)).otherwise(m))
 
 
 def splice(text: Column, replacements: Column) -> Column:
     """Put ``fake`` in place of [start, end) for each element; elements must be
     ascending and free of overlaps, a NULL fake leaves its span as it is."""
-    pieces = scan(
-        replacements,
-        F.lit(0),
-        lambda position, r: r["end"],
-        lambda position, r: F.concat(
-            F.substring(text, position + 1, r["start"] - position),
-            F.coalesce(r["fake"], r["value"]),
-        ),
-        "string",
-    )
-    last_end = F.coalesce(F.element_at(replacements, -1)["end"], F.lit(0))
+
+    def piece(r: Column, i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.get(replacements, i - 1)["end"])
+        return F.concat(
+            F.substring(text, before + 1, r["start"] - before), F.coalesce(r["fake"], r["value"])
+        )
+
+    last_end = F.element_at(replacements, -1)["end"]
     return F.concat(
-        F.array_join(pieces, ""),
+        F.array_join(F.transform(replacements, piece), ""),
         F.substring(text, last_end + 1, F.length(text)),
     )
 
@@ -172,43 +205,34 @@ def planned_replacements(
     """The matches that survive overlap resolution, each with its fake (NULL
     where the value is preserved). Preserved matches still win overlaps."""
     chosen = patterns_for(patterns, types)
-    fake_types = {p.type: p.fake_type for p in chosen}
-
-    def fake_type(m: Column) -> Column:
-        out = F.lit("word")
-        for kind, target in fake_types.items():
-            out = F.when(m["type"] == kind, target).otherwise(out)
-        return out
-
-    def with_key(m: Column) -> Column:
-        key = fk.digest(fake_type(m), m["value"], seed)
-        if preserve is not None:
-            key = F.when(~preserve.matches(m["value"]), key)
-        return F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            m["type"].alias("type"),
-            m["value"].alias("value"),
-            key.alias("key"),
-        )
+    if not chosen:
+        return empty_array(_REPLACEMENT)
+    kinds, targets = [p.type for p in chosen], [p.fake_type for p in chosen]
+
+    def fake_of(m: Column) -> Column:
+        key = fk.digest(_of_pattern(targets, m), m["value"], seed)
+
+        def choose(k: Column) -> Column:
+            out = None
+            for target in dict.fromkeys(targets):
+                own = m["ordinal"].isin([i for i, t in enumerate(targets) if t == target])
+                made = fk.generate(target, m["value"], k)
+                out = F.when(own, made) if out is None else out.when(own, made)
+            return out
 
-    def with_fake(m: Column) -> Column:
-        made = None
-        for kind, target in fake_types.items():
-            value = fk.generate(target, m["value"], m["key"])
-            made = F.when(m["type"] == kind, value) if made is None else made.when(m["type"] == kind, value)
-        return F.struct(
+        made = bind(key, choose)
+        return made if preserve is None else F.when(~preserve.matches(m["value"]), made)
+
+    return F.transform(
+        resolve_overlaps(_matches(text, chosen)),
+        lambda m: F.struct(
             m["start"].alias("start"),
-            m["end"].alias("end"),
-            m["type"].alias("type"),
+            _end(m).alias("end"),
+            _of_pattern(kinds, m).alias("type"),
             m["value"].alias("value"),
-            F.when(m["key"].isNotNull(), made).alias("fake"),
-        )
-
-    if not chosen:
-        return empty_array("struct<start:int,end:int,type:string,value:string,fake:string>")
-    kept = resolve_overlaps(_matches(text, chosen))
-    return F.transform(F.transform(kept, with_key), with_fake)
+            fake_of(m).alias("fake"),
+        ),
+    )
 
 
 def pseudonymize_text(
@@ -245,16 +269,10 @@ def _replace_each(text: Column, p: Pattern, seed: str, preserve: PreserveRules |
         made = bind(fk.digest(p.fake_type, value, seed), lambda key: fk.generate(p.fake_type, value, key))
         return made if preserve is None else F.when(preserve.matches(value), value).otherwise(made)
 
-    def rebuild(found: Column) -> Column:
-        between = F.split(text, p.spark_regex, -1)
-        pairs = F.zip_with(
-            between,
-            F.transform(found, replacement),
-            lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
+    def rebuild(parts: Column) -> Column:
+        return F.array_join(
+            F.transform(parts, lambda part, i: F.when(i % 2 == 1, replacement(part)).otherwise(part)), ""
         )
-        return F.array_join(pairs, "")
 
-    found = F.when(
-        _may_occur(text, p), F.regexp_extract_all(text, F.lit(p.spark_regex), F.lit(0))
-    )
-    return bind(found, lambda m: F.when(F.size(m) > 0, rebuild(m)).otherwise(text))
+    marked = F.when(_may_occur(text, p), F.split(_marked(_unmarked(text), p.spark_regex), _MARK, -1))
+    return bind(marked, lambda parts: F.when(F.size(parts) > 1, rebuild(parts)).otherwise(text))

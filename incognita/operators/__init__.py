@@ -18,6 +18,7 @@ from incognita.operators.json_docs import (
     pseudonymize_json,
     pseudonymize_json_text,
 )
+from incognita.operators.layout import spread
 from incognita.operators.mapping import apply_mapping, build_mapping, make_unique, mapping_stats, originals
 from incognita.operators.preserve import mark_preserved
 from incognita.operators.retention import drop_expired
@@ -70,6 +71,7 @@ __all__ = [
     "run_summary",
     "scan_cells",
     "scan_sheets",
+    "spread",
     "suggest_rules",
     "table_columns",
     "table_summary",

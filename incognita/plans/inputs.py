@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from incognita.operators.layout import spread
 from incognita.session import shared_dir
 
 TABLES = (
@@ -29,6 +30,11 @@ def folder(spark: SparkSession, purpose: str) -> str:
     return shared_dir(spark, purpose)
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document whole, on all cores."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def customers(spark: SparkSession, sf: str) -> DataFrame:
     """Every customer as a person: NULLs, empty strings, preserved words, repeated
     values and both date formats occur."""
@@ -103,7 +109,9 @@ def enriched_text(spark: SparkSession, sf: str) -> DataFrame:
         F.substring(h, 1, 4),
         F.lit(":0:0:1 ende"),
     )
-    return table(spark, sf, "orders").select(key.alias("id"), text.alias("text"))
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(
+        key.alias("id"), text.alias("text")
+    )
 
 
 def nested_orders(spark: SparkSession, sf: str) -> DataFrame:

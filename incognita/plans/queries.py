@@ -185,7 +185,7 @@ def context_score(spark, sf):
 
 @query
 def detect_value(spark, sf):
-    lines = inp.table(spark, sf, "documents").select(
+    lines = inp.documents(spark, sf).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value")
     )
     verdict = fn.detect_value(F.col("value"))
@@ -218,7 +218,7 @@ def analyze_schema(spark, sf):
 
 @query
 def find_all(spark, sf):
-    return op.findings(inp.table(spark, sf, "documents").select("doc_id", "text"))
+    return op.findings(inp.documents(spark, sf))
 
 
 @query
@@ -228,7 +228,7 @@ def find_all_enriched(spark, sf):
 
 @query
 def find_all_pages(spark, sf):
-    pages = inp.table(spark, sf, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
+    pages = op.spread(inp.table(spark, sf, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text")))
     return op.findings(pages)
 
 
@@ -240,7 +240,7 @@ def find_all_corrected(spark, sf):
 @query
 def findings_by_type(spark, sf):
     """Flagship: how much of what there is in all documents."""
-    found = op.findings(inp.table(spark, sf, "documents").select("doc_id", "text"))
+    found = op.findings(inp.documents(spark, sf))
     return found.groupBy("type").agg(
         F.count(F.lit(1)).alias("findings"),
         F.count_distinct("doc_id").alias("documents"),
@@ -262,7 +262,7 @@ def score_band(spark, sf):
 @query
 def preserved_findings(spark, sf):
     rules = fn.PreserveRules(("mail1.example.com", "10.", "0"), mode="strict")
-    return op.findings(inp.table(spark, sf, "documents").select("doc_id", "text"), preserve=rules)
+    return op.findings(inp.documents(spark, sf), preserve=rules)
 
 
 @query
@@ -284,7 +284,7 @@ def doc_pattern_findings(spark, sf):
 
 @query
 def document_profile(spark, sf):
-    return op.document_profile(inp.table(spark, sf, "documents").select("doc_id", "text"))
+    return op.document_profile(inp.documents(spark, sf))
 
 
 @query
@@ -563,7 +563,7 @@ def pseudonymize_insert_dump(spark, sf):
 
 @query
 def pseudonymize_text(spark, sf):
-    docs = inp.table(spark, sf, "documents").select("doc_id", "text")
+    docs = inp.documents(spark, sf)
     return docs.select("doc_id", fn.pseudonymize_text(F.col("text")).alias("text"))
 
 
@@ -585,7 +585,7 @@ def resolve_overlaps(spark, sf):
 @query
 def pattern_to_type(spark, sf):
     """How the surviving matches of the document texts are replaced."""
-    docs = inp.table(spark, sf, "documents")
+    docs = inp.documents(spark, sf)
     plan = fn.planned_replacements(F.col("text"))
     return docs.select("doc_id", F.inline(plan)).select("doc_id", "start", "type", "fake")
 

@@ -29,7 +29,7 @@ _TUPLE = rf"(?s)\((?:[^'\"()]++|{_PIECE})*+\)"
 _VALUE = rf"(?s)(?:[^,'\"()]++|{_PIECE})++"
 # blank and comment lines, then INSERT INTO name (columns) VALUES
 _LEAD = r"(?:[ \t\r]*+(?:(?:--|/\*)[^\n]*+)?\n)*+"
-_HEAD = rf"(?is)^({_LEAD}\s*+insert\s+into\s+[`\"]?(\w+)[`\"]?\s*(?:\(([^)]*)\))?\s*values\s*)(.*)$"
+_HEAD = rf"(?is)^({_LEAD}\s*+insert\s+into\s+[`\"]?(\w+)[`\"]?\s*(?:\(([^)]*)\))?\s*values\s*)"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
@@ -49,19 +49,16 @@ def read_insert_dump(spark: SparkSession, path: str, statement_end: str = STATEM
 def parse_inserts(df: DataFrame, column: str = "statement") -> DataFrame:
     """The INSERT parts of a column of statements (without their ``;``)."""
     text = F.col(quoted(column))
-    inserts = df.withColumn("head", F.nullif(F.regexp_extract(text, _HEAD, 1), F.lit("")))
-    names = F.split(F.regexp_extract(text, _HEAD, 3), ",")
-    return inserts.select(
+    # The head is cut out once; table and columns are read from that short text.
+    headed = df.withColumn("head", F.nullif(F.regexp_extract(text, _HEAD, 1), F.lit("")))
+    head = F.col("head")
+    body = F.substring(text, F.length(head) + 1, F.length(text))
+    names = F.split(F.regexp_extract(head, _HEAD, 3), ",")
+    return headed.select(
         "*",
-        F.when(F.col("head").isNotNull(), F.regexp_extract(text, _HEAD, 2)).alias("table"),
-        F.when(
-            F.col("head").isNotNull(),
-            F.transform(names, lambda c: F.trim(c, F.lit(" \t\r\n`\"'"))),
-        ).alias("columns"),
-        F.when(
-            F.col("head").isNotNull(),
-            F.regexp_extract_all(F.regexp_extract(text, _HEAD, 4), F.lit(_TUPLE), F.lit(0)),
-        ).alias("tuples"),
+        F.regexp_extract(head, _HEAD, 2).alias("table"),
+        F.transform(names, lambda c: F.trim(c, F.lit(" \t\r\n`\"'"))).alias("columns"),
+        F.regexp_extract_all(body, F.lit(_TUPLE), F.lit(0)).alias("tuples"),
     )
 
 
