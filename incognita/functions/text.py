@@ -56,8 +56,9 @@ def _marked(text: Column, regex: str) -> Column:
 
 
 def _unmarked(text: Column) -> Column:
-    """The same text without the control character used as mark. Positions stay; no
-    pattern of the rule sets matches a control character, so no match changes."""
+    """The same text without the control character used as mark, for searching only.
+    Positions stay, and no pattern of the rule sets tells control characters apart,
+    so no match changes; patterns of one's own must not either."""
     return F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _STAND_IN)).otherwise(text)
 
 
@@ -265,14 +266,19 @@ def redact_document(
 
 
 def _replace_each(text: Column, p: Pattern, seed: str, preserve: PreserveRules | None) -> Column:
+    """Matches and the texts between them, put together again with new matches."""
+
     def replacement(value: Column) -> Column:
         made = bind(fk.digest(p.fake_type, value, seed), lambda key: fk.generate(p.fake_type, value, key))
         return made if preserve is None else F.when(preserve.matches(value), value).otherwise(made)
 
-    def rebuild(parts: Column) -> Column:
-        return F.array_join(
-            F.transform(parts, lambda part, i: F.when(i % 2 == 1, replacement(part)).otherwise(part)), ""
+    def rebuild(found: Column) -> Column:
+        pairs = F.zip_with(
+            F.split(text, p.spark_regex, -1),
+            F.transform(found, replacement),
+            lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
         )
+        return F.array_join(pairs, "")
 
-    marked = F.when(_may_occur(text, p), F.split(_marked(_unmarked(text), p.spark_regex), _MARK, -1))
-    return bind(marked, lambda parts: F.when(F.size(parts) > 1, rebuild(parts)).otherwise(text))
+    found = F.when(_may_occur(text, p), F.regexp_extract_all(text, F.lit(p.spark_regex), F.lit(0)))
+    return bind(found, lambda m: F.when(F.size(m) > 0, rebuild(m)).otherwise(text))

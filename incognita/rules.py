@@ -272,7 +272,7 @@ def corrected_patterns() -> list[Pattern]:
     IBANs are found (and tried before phone numbers), a phone number neither
     starts inside a longer run of digits nor ends on blanks, and therefore no
     longer eats ISO dates or line breaks."""
-    phone = r"(?<![\d\-])(?:\+49|0)[\s\-]?(?:\d[ \-]?){5,18}\d(?!\d)"
+    phone = r"(?<![A-Za-z0-9_\-])(?:\+49|0)[\s\-]?(?:\d[ \-]?){5,18}\d(?!\d)"
     german_iban = Pattern("iban", r"\bDE\d{2}[ ]?(?:\d{4}[ ]?){4}\d{2}\b", 10, "iban")
     mended = {"phone_de": Pattern("phone_de", phone, 9, "phone")}
     general = [mended.get(p.type, p) for p in STANDARD_PATTERNS]
