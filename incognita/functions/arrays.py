@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = 128
+BLOCK = 256
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,46 +29,36 @@ def literal_array(values: list[str] | list[int]) -> Column:
     return F.expr(f"array({shown})")
 
 
-def scan(
-    items: Column,
-    state: Column,
-    step: Callable[[Column, Column], Column],
-    emit: Callable[[Column, Column], Column],
-    element_type: str,
-) -> Column:
-    """Left fold that keeps one output element per input element.
+def blocks(items: Column, size: int = BLOCK) -> Column:
+    """The array cut into arrays of ``size`` elements (the last may be shorter)."""
+    count = F.ceil(F.size(items) / size).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), count - 1), lambda b: F.slice(items, b * size + 1, F.lit(size))
+    )
+
 
-    ``step(state, item)`` gives the next state, ``emit(state, item)`` the output
-    for an item (state as it was before the item); a NULL output is left out.
-    Outputs are collected in blocks so that appending stays cheap for arrays
-    with many thousands of elements.
+def running_starts(lengths: Column) -> Column:
+    """Where each piece starts if pieces of these lengths stand in a row.
+
+    A fold that collects its results copies them at every step, so the sums are
+    taken within blocks, and over the block totals, instead: a text with many
+    thousands of pieces stays affordable.
     """
-    start = F.struct(
-        state.alias("state"),
-        empty_array(f"array<{element_type}>").alias("blocks"),
-        empty_array(element_type).alias("tail"),
-    )
 
-    def merge(acc: Column, item: Column) -> Column:
-        full = F.size(acc["tail"]) >= _BLOCK
-        out = emit(acc["state"], item)
-        grown = bind(
-            out,
-            lambda o: F.when(o.isNull(), F.when(full, empty_array(element_type)).otherwise(acc["tail"]))
-            .when(full, F.array(o))
-            .otherwise(F.concat(acc["tail"], F.array(o))),
-        )
-        return F.struct(
-            step(acc["state"], item).alias("state"),
-            F.when(full, F.concat(acc["blocks"], F.array(acc["tail"])))
-            .otherwise(acc["blocks"])
-            .alias("blocks"),
-            grown.alias("tail"),
+    def total(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), lambda acc, n: acc + n)
+
+    def within(some: Column, offset: Column) -> Column:
+        return F.transform(some, lambda _, i: offset + total(F.slice(some, F.lit(1), i)))
+
+    def across(parts: Column) -> Column:
+        return bind(
+            F.transform(parts, total),
+            lambda totals: F.flatten(
+                F.transform(parts, lambda part, b: within(part, total(F.slice(totals, F.lit(1), b))))
+            ),
         )
 
-    return F.aggregate(
-        items,
-        start,
-        merge,
-        lambda acc: F.concat(F.flatten(acc["blocks"]), acc["tail"]),
+    return F.when(F.size(lengths) <= BLOCK, within(lengths, F.lit(0))).otherwise(
+        bind(blocks(lengths), across)
     )

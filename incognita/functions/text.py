@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from incognita.functions import fakes as fk
-from incognita.functions.arrays import bind, empty_array, literal_array, scan
+from incognita.functions.arrays import BLOCK, bind, blocks, empty_array, literal_array, running_starts
 from incognita.functions.preserve import PreserveRules
 from incognita.rules import DIGIT, Pattern, patterns_for
 
@@ -19,9 +19,6 @@ from incognita.rules import DIGIT, Pattern, patterns_for
 _MATCH = "struct<start:int,ordinal:int,value:string>"
 _REPLACEMENT = "struct<start:int,end:int,type:string,value:string,fake:string>"
 
-# Up to this many matches of one pattern positions are looked up one by one.
-_FEW = 64
-
 # Control characters that mark the cuts; see _unmarked.
 _MARK, _STAND_IN = "\u0002", "\u0003"
 
@@ -65,37 +62,27 @@ def _unmarked(text: Column) -> Column:
 def _located(marked: Column, ordinal: Column) -> Column:
     """The matches of a marked text as array<struct<start,ordinal,value>>.
 
-    A split at the marks (a plain character search) gives gaps and matches in turn.
-    A few matches get their start from the length of what stands before their
-    mark, many from a running sum, which stays linear.
+    A split at the marks (a plain character search) gives gaps and matches in turn,
+    the running sum of their lengths the positions.
     """
 
-    def match(start: Column, value: Column) -> Column:
-        return F.struct(start.alias("start"), ordinal.alias("ordinal"), value.alias("value"))
-
-    def looked_up(parts: Column) -> Column:
+    def matches(parts: Column, starts: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(0), (F.size(parts) / 2).cast("int") - 1),
-            lambda i: match(
-                F.length(F.call_function("substring_index", marked, F.lit(_MARK), 2 * i + 1)) - 2 * i,
-                F.get(parts, 2 * i + 1),
+            F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)),
+            lambda i: F.struct(
+                F.get(starts, i).alias("start"),
+                ordinal.alias("ordinal"),
+                F.get(parts, i).alias("value"),
             ),
         )
 
-    def summed_up(parts: Column) -> Column:
-        return scan(
-            F.transform(parts, lambda part, i: F.struct(part.alias("value"), (i % 2 == 1).alias("hit"))),
-            F.lit(0),
-            lambda position, x: position + F.length(x["value"]),
-            lambda position, x: F.when(x["hit"], match(position, x["value"])),
-            _MATCH,
-        )
+    def locate(parts: Column) -> Column:
+        starts = bind(F.transform(parts, F.length), running_starts)
+        return bind(starts, lambda s: matches(parts, s))
 
     return bind(
         F.split(marked, _MARK, -1),
-        lambda parts: F.when(F.size(parts) == 1, empty_array(_MATCH))
-        .when(F.size(parts) <= 2 * _FEW + 1, looked_up(parts))
-        .otherwise(summed_up(parts)),
+        lambda parts: F.when(F.size(parts) > 1, locate(parts)).otherwise(empty_array(_MATCH)),
     )
 
 
@@ -160,21 +147,25 @@ def resolve_overlaps(matches: Column) -> Column:
     def from_right(m: Column) -> Column:
         return F.struct((-m["start"]).alias("back"), m["ordinal"].alias("ordinal"), m["value"].alias("value"))
 
-    def fits(last_start: Column, m: Column) -> Column:
-        return last_start.isNull() | (F.length(m["value"]) - m["back"] <= last_start)
+    def step(acc: Column, m: Column) -> Column:
+        fits = F.length(m["value"]) - m["back"] <= acc["last"]
+        return F.struct(
+            F.when(fits, -m["back"]).otherwise(acc["last"]).alias("last"),
+            F.concat(acc["flags"], F.when(fits, "1").otherwise("0")).alias("flags"),
+        )
+
+    def keep(ordered: Column) -> Column:
+        # One character per match is all the fold carries along.
+        nothing = F.struct(F.lit(2**31 - 1).alias("last"), F.lit("").alias("flags"))
+        flags = F.aggregate(ordered, nothing, step, lambda acc: F.split(acc["flags"], "", -1))
+        return bind(flags, lambda f: F.filter(ordered, lambda _, i: F.get(f, i) == "1"))
+
+    def forward(m: Column) -> Column:
+        return F.struct((-m["back"]).alias("start"), m["ordinal"].alias("ordinal"), m["value"].alias("value"))
 
     def walk(several: Column) -> Column:
-        kept = scan(
-            F.array_sort(F.transform(several, from_right)),
-            F.lit(None).cast("int"),
-            lambda last, m: F.when(fits(last, m), -m["back"]).otherwise(last),
-            lambda last, m: F.when(
-                fits(last, m),
-                F.struct((-m["back"]).alias("start"), m["ordinal"].alias("ordinal"), m["value"].alias("value")),
-            ),
-            _MATCH,
-        )
-        return F.reverse(kept)
+        ordered = F.array_sort(F.transform(several, from_right))
+        return F.reverse(F.transform(bind(ordered, keep), forward))
 
     return bind(matches, lambda m: F.when(F.size(m) > 1, walk(m)).otherwise(m))
 
@@ -183,17 +174,28 @@ def splice(text: Column, replacements: Column) -> Column:
     """Put ``fake`` in place of [start, end) for each element; elements must be
     ascending and free of overlaps, a NULL fake leaves its span as it is."""
 
-    def piece(r: Column, i: Column) -> Column:
-        before = F.when(i == 0, 0).otherwise(F.get(replacements, i - 1)["end"])
-        return F.concat(
-            F.substring(text, before + 1, r["start"] - before), F.coalesce(r["fake"], r["value"])
+    def end_before(i: Column) -> Column:
+        return F.when(i == 0, 0).otherwise(F.get(replacements, i - 1)["end"])
+
+    # A position in a string is found by walking there. So each block of
+    # replacements gets its own stretch of the text to be cut from.
+    def block(part: Column, b: Column) -> Column:
+        first = b * BLOCK
+        start = end_before(first)
+        stretch = F.substring(text, start + 1, F.element_at(part, -1)["end"] - start)
+
+        def piece(r: Column, i: Column, inner: Column) -> Column:
+            before = end_before(first + i)
+            gap = F.substring(inner, before - start + 1, r["start"] - before)
+            return F.concat(gap, F.coalesce(r["fake"], r["value"]))
+
+        return bind(
+            stretch,
+            lambda inner: F.array_join(F.transform(part, lambda r, i: piece(r, i, inner)), ""),
         )
 
-    last_end = F.element_at(replacements, -1)["end"]
-    return F.concat(
-        F.array_join(F.transform(replacements, piece), ""),
-        F.substring(text, last_end + 1, F.length(text)),
-    )
+    rest = F.substring(text, F.element_at(replacements, -1)["end"] + 1, F.length(text))
+    return F.concat(F.array_join(F.transform(blocks(replacements), block), ""), rest)
 
 
 def planned_replacements(
