@@ -1,0 +1 @@
+"""Finding and replacing personal data in Spark frames."""

@@ -118,7 +118,8 @@ def nested_orders(spark: SparkSession, sf: str) -> DataFrame:
     """One nested document per order."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     email = F.when(key % 7 != 0, F.concat(F.lit("c"), cust.cast("string"), F.lit("@example.com")))
-    return table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return spread(orders).select(
         F.struct(
             key.alias("id"),
             F.concat(F.lit("Name "), cust.cast("string")).alias("name"),
