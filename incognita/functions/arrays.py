@@ -23,10 +23,19 @@ def empty_array(element_type: str) -> Column:
     return F.expr(f"cast(array() AS array<{element_type}>)")
 
 
+def sql_literal(value: str | int | float) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
 def literal_array(values: list[str] | list[int]) -> Column:
     """A constant array, handed over as one expression instead of one per entry."""
-    shown = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v) for v in values)
-    return F.expr(f"array({shown})")
+    return F.expr(f"array({', '.join(map(sql_literal, values))})")
+
+
+def literal_map(entries: dict[str, str]) -> Column:
+    return F.expr(f"map({', '.join(sql_literal(x) for pair in entries.items() for x in pair)})")
 
 
 def blocks(items: Column, size: int = BLOCK) -> Column:

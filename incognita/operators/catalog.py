@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incognita import rules as R
+from incognita.functions.arrays import sql_literal
 from incognita.functions.names import context_score, normalize_name
 
 # Rule lists are typed by people; beyond this size the join is left to Spark.
@@ -59,6 +60,34 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_RULES else df
 
 
+def _values_frame(spark: SparkSession, rows: list[tuple], names: str, schema: str) -> DataFrame:
+    """A small constant frame the optimizer knows the size of."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    shown = ", ".join("(" + ", ".join(map(sql_literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {shown} AS t({names})")
+
+
+def rule_frame(spark: SparkSession, rules: list[R.ColumnRule] | None = None) -> DataFrame:
+    rows = [
+        (r.name, r.type, r.faker, r.weight, i)
+        for i, r in enumerate(R.COLUMN_RULES if rules is None else rules)
+    ]
+    return _values_frame(
+        spark,
+        rows,
+        "rule_name, type, faker_method, weight, ordinal",
+        "rule_name string, type string, faker_method string, weight int, ordinal int",
+    )
+
+
+def context_frame(spark: SparkSession, context: dict[str, float] | None = None) -> DataFrame:
+    rows = [(t, float(m)) for t, m in (R.TABLE_CONTEXT if context is None else context).items()]
+    return _values_frame(
+        spark, rows, "context_table, multiplier", "context_table string, multiplier double"
+    )
+
+
 def detect_columns(
     catalog: DataFrame,
     rules: list[R.ColumnRule] | None = None,
@@ -70,8 +99,8 @@ def detect_columns(
     spark = catalog.sparkSession
     rule_list = R.COLUMN_RULES if rules is None else rules
     context_map = R.TABLE_CONTEXT if context is None else context
-    named = R.rule_frame(spark, rule_list).drop("ordinal")
-    known_tables = R.context_frame(spark, context_map)
+    named = rule_frame(spark, rule_list).drop("ordinal")
+    known_tables = context_frame(spark, context_map)
     judged = (
         catalog.withColumn("rule_name", normalize_name(F.col("column")))
         .withColumn("context_table", F.lower("table"))
@@ -95,7 +124,7 @@ def detect_columns(
 def available_types(spark: SparkSession, rules: list[R.ColumnRule] | None = None) -> DataFrame:
     """Each type with its generator name; the last rule of a type decides."""
     return (
-        R.rule_frame(spark, rules)
+        rule_frame(spark, rules)
         .groupBy("type")
         .agg(F.max_by("faker_method", "ordinal").alias("faker_method"))
     )

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from incognita import rules as R
 from incognita.functions import fakes as fk
-from incognita.functions.arrays import bind
+from incognita.functions.arrays import bind, literal_map
+from incognita.functions.names import normalize_name
 from incognita.functions.preserve import PreserveRules, should_preserve
 from incognita.operators.catalog import detect_columns
 from incognita.operators.tables import ColumnRules, quoted
@@ -136,21 +137,79 @@ def infer_json_schema(df: DataFrame, column: str) -> T.DataType:
     return T._parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<"))
 
 
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NUMBER = r"-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?"
+
+
+def _pair_regex(keys: str) -> str:
+    """One of the keys with the string or number behind it. In valid JSON a quote
+    before a letter that no backslash precedes opens a string, and a string before
+    a colon is a key, so nothing inside a value is taken for a pair."""
+    return rf'(?s)(?<!\\)"({keys})"\s*+:\s*+({_STRING}|{_NUMBER})'
+
+
+def _regex_literal(text: str) -> str:
+    return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in text)
+
+
 def pseudonymize_json_text(
     df: DataFrame,
     column: str,
     rules: ColumnRules | None = None,
-    schema: T.DataType | None = None,
     seed: str = fk.DEFAULT_SEED,
     preserve: PreserveRules | None = None,
 ) -> DataFrame:
-    """The same for a column of JSON texts. Give ``schema`` to save the pass that
-    infers it. Keys absent from a text stay absent."""
-    schema = schema or infer_json_schema(df, column)
-    types = _types(key_rules(schema_keys(schema)) if rules is None else rules)
-    parsed = F.from_json(F.col(quoted(column)), schema, {"mode": "FAILFAST"})
-    replaced = bind(parsed, lambda v: replace_nested(v, schema, types, seed, preserve))
-    return df.withColumn(column, F.to_json(replaced))
+    """The same for a column of JSON texts, in place: strings and numbers behind a
+    rule's key are exchanged, at any depth, and every other character stays. No
+    schema is needed, so texts may differ as they like. Without ``rules`` all
+    column rules apply to the normalised keys. Invalid JSON fails the job.
+    """
+    if rules is None:
+        types = {r.name: r.type for r in R.COLUMN_RULES}
+        names = "|".join(_regex_literal(n).replace("_", "[-_ ]") for n in types)
+        regex = "(?iu)" + _pair_regex(names)
+    else:
+        types = _types(rules)
+        regex = _pair_regex("|".join(_regex_literal(n) for n in types))
+    if not types:
+        return df
+    text = F.col(quoted(column))
+    kind_of = literal_map(types)
+
+    def renewed(pair: Column) -> Column:
+        key, literal = F.regexp_extract(pair, regex, 1), F.regexp_extract(pair, regex, 2)
+        return F.struct(
+            F.left(pair, F.length(pair) - F.length(literal)).alias("before"),
+            F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v").alias("value"),
+            F.try_element_at(kind_of, normalize_name(key) if rules is None else key).alias("kind"),
+            literal.alias("literal"),
+        )
+
+    def replaced(part: Column) -> Column:
+        made = bind(
+            fk.digest(part["kind"], part["value"], seed),
+            lambda key: fk.generate_by(part["kind"], sorted(set(types.values())), part["value"], key),
+        )
+        new = F.concat(F.lit('"'), made, F.lit('"'))
+        keep = should_preserve(part["value"], preserve)
+        return F.concat(part["before"], F.when(keep, part["literal"]).otherwise(new))
+
+    def rebuild(found: Column) -> Column:
+        pairs = F.zip_with(
+            F.split(text, regex, -1),
+            F.transform(F.transform(found, renewed), replaced),
+            lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
+        )
+        return F.array_join(pairs, "")
+
+    out = bind(
+        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
+        lambda found: F.when(F.size(found) > 0, rebuild(found)).otherwise(text),
+    )
+    checked = F.when(F.try_parse_json(text).isNotNull(), out).when(
+        text.isNotNull(), F.raise_error(F.lit("invalid JSON"))
+    )
+    return df.withColumn(column, checked)
 
 
 def _paths(schema: T.DataType, path: str = "$") -> list[tuple[str, str]]:

@@ -439,10 +439,6 @@ SELECT doc_id, {' + '.join(f"len(regexp_extract_all(text, '{regex}'))" for _, _,
 
 # --- JSON -----------------------------------------------------------------
 ORACLE["json_keys"] = """
-SELECT unnest(['customer','contacts','mail','company','order_id','id','name','address','login','street','zip',
-  'status','phone']) AS key, count(*) AS documents FROM orders GROUP BY 1
-UNION ALL SELECT 'email', count(*) FROM orders WHERE o_orderkey % 7 <> 0"""
-ORACLE["json_keys"] = """
 SELECT key, documents FROM (SELECT unnest(['customer','contacts','mail','company','order_id','id','name',
   'address','login','street','zip','status','phone']) AS key), (SELECT count(*) AS documents FROM orders)
 UNION ALL SELECT 'email', count(*) FROM orders WHERE o_orderkey % 7 <> 0"""
@@ -474,8 +470,11 @@ SELECT o_orderkey AS order_id, {fake('company', 'firm')} AS company, o_orderkey
   o_orderstatus AS status, {fake('phone', 'p1')} AS phone, {fake('phone', 'p2')} AS phone2,
   o_orderpriority || '+x' AS mail
 FROM o"""
+ORACLE["pseudonymize_json_documents"] = f"""
+SELECT order_id, company, name, email, street, zip, status, phone, phone2, replace(mail, '+x', '') AS mail
+FROM ({ORACLE["pseudonymize_json"]})"""
 ORACLE["pseudonymize_json_text"] = f"""
-SELECT event_id, user_id, '{{"k":"' || {fake('username', "json_extract_string(props, '$.k')")} || '"}}' AS props
+SELECT event_id, user_id, '{{"k": "' || {fake('username', "json_extract_string(props, '$.k')")} || '"}}' AS props
 FROM events"""
 
 # --- preserve rules -------------------------------------------------------

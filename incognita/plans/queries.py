@@ -550,6 +550,26 @@ def pseudonymize_json_text(spark, sf):
     return op.pseudonymize_json_text(events, "props", {"k": "username"})
 
 
+@query
+def pseudonymize_json_documents(spark, sf):
+    """Whole nested orders as texts, changed in place, some fields read back."""
+    docs = inp.nested_orders(spark, sf)
+    texts = docs.select("order_id", F.to_json(F.struct(*docs.columns)).alias("doc"))
+    out = op.pseudonymize_json_text(texts, "doc")
+    paths = {
+        "company": "$.company",
+        "name": "$.customer.name",
+        "email": "$.customer.email",
+        "street": "$.customer.address.street",
+        "zip": "$.customer.address.zip",
+        "status": "$.contacts[0].status",
+        "phone": "$.contacts[0].phone",
+        "phone2": "$.contacts[1].phone",
+        "mail": "$.mail[0]",
+    }
+    return out.select("order_id", *[F.get_json_object("doc", p).alias(n) for n, p in paths.items()])
+
+
 @query
 def pseudonymize_insert_dump(spark, sf):
     df = inp.customers(spark, sf).select("id", "name", "email", "city")

@@ -1,7 +1,7 @@
 """Rule data: which names and values count as personal data.
 
 Everything in the first part of this module is a fixed value of the rule set.
-The helpers below turn the text into small Python objects or Spark frames.
+The helpers below turn the text into small Python objects.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
 
 # --- Fixed values ---------------------------------------------------------
 
@@ -303,18 +302,3 @@ def column_rule(name: str, rules: list[ColumnRule] | None = None) -> ColumnRule
     """Driver-side lookup of one column name (schemas are small)."""
     by_name = {r.name: r for r in (COLUMN_RULES if rules is None else rules)}
     return by_name.get(normalize(name))
-
-
-def rule_frame(spark: SparkSession, rules: list[ColumnRule] | None = None) -> DataFrame:
-    rows = [
-        (r.name, r.type, r.faker, r.weight, i)
-        for i, r in enumerate(COLUMN_RULES if rules is None else rules)
-    ]
-    return spark.createDataFrame(
-        rows, "rule_name string, type string, faker_method string, weight int, ordinal int"
-    )
-
-
-def context_frame(spark: SparkSession, context: dict[str, float] | None = None) -> DataFrame:
-    rows = list((TABLE_CONTEXT if context is None else context).items())
-    return spark.createDataFrame(rows, "context_table string, multiplier double")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from incognita import functions as fn
 from incognita import operators as op
 from incognita import sources as src
 from incognita.operators.json_docs import schema_keys
@@ -116,12 +117,32 @@ def test_json_keys_first_element_only(spark):
     assert verdict["mail"] == "email" and verdict["x"] is None
 
 
-def test_json_text_column(spark):
-    df = spark.createDataFrame([(1, '{"u":{"email":"a@b.de","n":1}}'), (2, '{"k":[1,2]}'), (3, None)], "id int, doc string")
+def test_json_text_column_is_changed_in_place(spark):
+    docs = [
+        '{ "u" : {"E-Mail": "a@b.de", "n":1, "gone": null}, "z": true }',
+        '{"k":[1,2],"phone":["1"]}',
+        None,
+        '[{"zip": 40210}, {"zip": -1.5e3}, {"zip":"say \\"zip\\": 5"}, ["x", ": 5"], {"city":null}]',
+        '{"say \\"city": "stays", "note": "\\"city\\": \\"x\\"", "CITY": "Ort"}',
+        '{"email":"a@b.de"}',
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, doc string")
     rows = {r["id"]: r["doc"] for r in op.pseudonymize_json_text(df, "doc").collect()}
-    one = json.loads(rows[1])
-    assert one["u"]["n"] == 1 and "@example." in one["u"]["email"] and set(one) == {"u"}
-    assert json.loads(rows[2]) == {"k": [1, 2]} and rows[3] is None
+    email = df.select(fn.fake("email", F.lit("a@b.de"))).first()[0]
+    assert rows[0] == docs[0].replace("a@b.de", email)
+    assert rows[1] == docs[1] and rows[2] is None and rows[5] == '{"email":"%s"}' % email
+    want = spark.range(1).select(
+        *[fn.fake("postcode", F.lit(v)) for v in ("40210", "-1500.0", 'say "zip": 5')]
+    ).first()
+    new = json.loads(rows[3])
+    assert new[0]["zip"] == want[0] and new[2]["zip"] == want[2] and new[3:] == json.loads(docs[3])[3:]
+    assert json.loads(rows[4])['say "city'] == "stays" and '"note": "\\"city\\": \\"x\\""' in rows[4]
+    assert json.loads(rows[4])["CITY"] != "Ort"
+    some = op.pseudonymize_json_text(df, "doc", {"zip": "uuid"}, preserve=fn.PreserveRules(("402",), mode="strict"))
+    kept = {r["id"]: r["doc"] for r in some.collect()}
+    assert kept[0] == docs[0] and '{"zip": 40210}' in kept[3] and "-1.5e3" not in kept[3]
+    with pytest.raises(Exception):
+        op.pseudonymize_json_text(spark.createDataFrame([("{oops",)], "doc string"), "doc").collect()
 
 
 def test_json_preview(spark):
