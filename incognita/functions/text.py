@@ -55,6 +55,19 @@ def _marked(text: Column, regex: str) -> Column:
     return F.regexp_replace(text, F.lit(regex), F.lit(f"{_MARK}$0{_MARK}"))
 
 
+def cut_at_matches(text: Column, regex: str) -> Column:
+    """The text as gap, match, gap, ..., gap. A text that holds the mark itself is
+    searched and split by the regex instead, which costs a second pass."""
+    pairs = F.zip_with(
+        F.split(text, regex, -1),
+        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
+        lambda gap, match: F.when(match.isNull(), F.array(gap)).otherwise(F.array(gap, match)),
+    )
+    return F.when(F.contains(text, F.lit(_MARK)), F.flatten(pairs)).otherwise(
+        F.split(_marked(text, regex), _MARK, -1)
+    )
+
+
 def _unmarked(text: Column) -> Column:
     """The same text without the control character used as mark, for searching only.
     Positions stay, and no pattern of the rule sets tells control characters apart,
@@ -275,19 +288,14 @@ def redact_document(
 
 
 def _replace_each(text: Column, p: Pattern, seed: str, preserve: PreserveRules | None) -> Column:
-    """Matches and the texts between them, put together again with new matches."""
-
     def replacement(value: Column) -> Column:
         made = bind(fk.digest(p.fake_type, value, seed), lambda key: fk.generate(p.fake_type, value, key))
         return made if preserve is None else F.when(preserve.matches(value), value).otherwise(made)
 
-    def rebuild(found: Column) -> Column:
-        pairs = F.zip_with(
-            F.split(text, p.spark_regex, -1),
-            F.transform(found, replacement),
-            lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
+    def rebuild(parts: Column) -> Column:
+        return F.array_join(
+            F.transform(parts, lambda part, i: F.when(i % 2 == 1, replacement(part)).otherwise(part)), ""
         )
-        return F.array_join(pairs, "")
 
-    found = F.when(_may_occur(text, p), F.regexp_extract_all(text, F.lit(p.spark_regex), F.lit(0)))
-    return bind(found, lambda m: F.when(F.size(m) > 0, rebuild(m)).otherwise(text))
+    parts = F.when(_may_occur(text, p), cut_at_matches(text, p.spark_regex))
+    return bind(parts, lambda x: F.when(F.size(x) > 1, rebuild(x)).otherwise(text))

@@ -13,6 +13,7 @@ from incognita.functions import fakes as fk
 from incognita.functions.arrays import bind, literal_map
 from incognita.functions.names import normalize_name
 from incognita.functions.preserve import PreserveRules, should_preserve
+from incognita.functions.text import cut_at_matches
 from incognita.operators.catalog import detect_columns
 from incognita.operators.tables import ColumnRules, quoted
 
@@ -194,17 +195,18 @@ def pseudonymize_json_text(
         keep = should_preserve(part["value"], preserve)
         return F.concat(part["before"], F.when(keep, part["literal"]).otherwise(new))
 
-    def rebuild(found: Column) -> Column:
-        pairs = F.zip_with(
-            F.split(text, regex, -1),
-            F.transform(F.transform(found, renewed), replaced),
-            lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
+    def rebuild(parts: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                parts,
+                lambda part, i: F.when(i % 2 == 1, bind(renewed(part), replaced)).otherwise(part),
+            ),
+            "",
         )
-        return F.array_join(pairs, "")
 
     out = bind(
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
-        lambda found: F.when(F.size(found) > 0, rebuild(found)).otherwise(text),
+        cut_at_matches(text, regex),
+        lambda parts: F.when(F.size(parts) > 1, rebuild(parts)).otherwise(text),
     )
     checked = F.when(F.try_parse_json(text).isNotNull(), out).when(
         text.isNotNull(), F.raise_error(F.lit("invalid JSON"))

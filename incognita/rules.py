@@ -177,7 +177,7 @@ class Pattern:
 
     @property
     def spark_regex(self) -> str:
-        return linear_email(ascii_word_boundaries(self.regex, self.type in DIGIT_TO_DIGIT))
+        return linear_email(ascii_word_boundaries(self.regex, *EDGES.get(self.type, ())))
 
     @property
     def needs(self) -> str:
@@ -204,8 +204,16 @@ NEEDED = {
     "date_de": r"\.[0-9]{2}\.[0-9]",
 }
 
-# Patterns whose matches begin and end with a digit.
-DIGIT_TO_DIGIT = {"ipv4", "postcode_de"}
+# What is known of the edges of a match: the class of its first character, whether
+# that is always a word character, whether the last one is.
+EDGES = {
+    "phone": ("[+0]", False, False),
+    "iban": ("[A-Z]", True, True),
+    "ipv4": ("[0-9]", True, True),
+    "uuid": ("[0-9a-fA-F]", True, True),
+    "postcode_de": ("[0-9]", True, True),
+    "url": ("h", True, False),
+}
 
 # Spark's regex engine counts letters such as "ü" as word characters for \b;
 # the rules mean ASCII words, so each \b becomes an explicit look-around.
@@ -213,12 +221,17 @@ _WORD = "[A-Za-z0-9_]"
 ASCII_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
-def ascii_word_boundaries(regex: str, digit_to_digit: bool = False) -> str:
-    """``\\b`` for ASCII words. Next to a digit half of the general test is
-    settled already, which leaves a much cheaper look-around."""
-    if digit_to_digit:
-        regex = regex.removeprefix(r"\b").removesuffix(r"\b")
-        regex = rf"(?=\d)(?<!{_WORD}){regex}(?!{_WORD})"
+def ascii_word_boundaries(
+    regex: str, first: str = "", word_start: bool = False, word_end: bool = False
+) -> str:
+    """``\\b`` for ASCII words. Looking at the first character before looking around
+    settles most positions, and next to a character known to be a word character
+    half of the general test is settled already."""
+    if first and regex.startswith(r"\b"):
+        before = f"(?<!{_WORD})" if word_start else ASCII_BOUNDARY
+        regex = f"(?={first}){before}{regex[2:]}"
+    if word_end and regex.endswith(r"\b"):
+        regex = regex[:-2] + f"(?!{_WORD})"
     return regex.replace(r"\b", ASCII_BOUNDARY)
 
 
