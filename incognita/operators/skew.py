@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_LIMIT = 64
-TRACKED_ITEMS = 10_000
+TRACKED_ITEMS = 1_000
+SKETCH_GROUPS = 256
 
 
 def hot_values(df: DataFrame, column: str, share: float = 0.01) -> list[str]:
     """Values that hold at least ``share`` of the rows, at most HOT_LIMIT.
 
-    One pass with a bounded frequent-items sketch (merged map-side), so neither
-    the shuffle nor the driver sees the distinct values. The sketch only steers
-    the layout of a join; results never depend on its accuracy.
+    One pass with bounded frequent-items sketches. Each task fills one; groups of
+    tasks merge theirs in parallel, and the driver adds up at most SKETCH_GROUPS x
+    HOT_LIMIT counts, whatever the size of the input. The counts only steer the
+    layout of a join; results never depend on their accuracy.
     """
-    row = df.agg(
-        F.expr(f"approx_top_k(`{column}`, {HOT_LIMIT}, {TRACKED_ITEMS})").alias("top"),
-        F.count(F.lit(1)).alias("rows"),
-    ).first()
-    floor = max(2.0, share * row["rows"])
-    return [x["item"] for x in row["top"] or [] if x["item"] is not None and x["count"] >= floor]
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
+    top = F.expr(f"approx_top_k(`{column}`, {HOT_LIMIT}, {TRACKED_ITEMS})")
+    merged = df.groupBy(group.alias("__group")).agg(top.alias("top"), F.count(F.lit(1)).alias("rows"))
+    counts: Counter[str] = Counter()
+    total = 0
+    for row in merged.collect():
+        total += row["rows"]
+        for x in row["top"] or []:
+            if x["item"] is not None:
+                counts[x["item"]] += x["count"]
+    floor = max(2.0, share * total)
+    return [value for value, n in counts.most_common(HOT_LIMIT) if n >= floor]
 
 
 def salted_left_join(
