@@ -228,9 +228,11 @@ def write_insert_dump(
 
 def export_table(df: DataFrame, table: str, path: str, mode: str = "errorifexists") -> None:
     """INSERT statements behind comment lines with the table name and row count."""
-    rows = df.count()
+    placed = df.select(F.spark_partition_id().alias("partition"))
+    rows, partition = placed.agg(F.count(F.lit(1)), F.min("partition")).first()
     statements = to_insert_statements(df, table)
     comment = f"-- Export: {table}\n-- Rows: {rows}\n\n"
-    first = F.monotonically_increasing_id() == 0  # the first row of the first partition
+    # the first row of the first partition that has one
+    first = F.monotonically_increasing_id() == ((partition or 0) << 33)
     headed = F.when(first, F.concat(F.lit(comment), F.col("statement"))).otherwise(F.col("statement"))
     write_insert_dump(statements.select(headed.alias("statement")), path, mode=mode)

@@ -126,6 +126,15 @@ def test_export_chunks_and_round_trip(spark, tmp_path):
     assert first.startswith("-- Export: t\n-- Rows: 2500\n")
 
 
+def test_export_header_behind_an_empty_partition(spark, tmp_path):
+    df = spark.range(0, 100, 1, 4).where("id >= 60")
+    target = tmp_path / "late"
+    export_table(df, "t", str(target))
+    texts = [p.read_text() for p in sorted(target.glob("part-*"))]
+    assert sum(t.count("-- Rows: 40") for t in texts) == 1
+    assert dump_table(read_insert_dump(spark, str(target)), "t", ["id"]).count() == 40
+
+
 def test_windows_line_ends(spark, tmp_path):
     path = tmp_path / "crlf.sql"
     path.write_bytes(b"INSERT INTO t (a) VALUES ('x');\r\nINSERT INTO t (a) VALUES ('y');\r\n")
