@@ -474,6 +474,7 @@ def pseudonymize_table(spark, sf):
 @query
 def pseudonymize_lineitem(spark, sf):
     lines = inp.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    lines = op.spread(lines)
     return op.pseudonymize_table(lines, {"l_suppkey": "company", "l_partkey": "iban"})
 
 
