@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,20 +25,10 @@ def get_session(app: str = "incognita", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="incognita-")
-
-
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own;
-    on a cluster a missing setting is an error, as executors could not see it.
+    Without that setting it lies in the warehouse, which is always set and shared, too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
