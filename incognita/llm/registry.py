@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from incognita.llm.op1_sharding import op1_sharding
+from incognita.llm.op8_topk import SQL as OP8_SQL
+from incognita.llm.op8_topk import op8_topk
 
-QUERIES = {"op1_sharding": op1_sharding}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_sharding": op1_sharding, "op8_topk": op8_topk}
+ORACLE = {"op8_topk": OP8_SQL}
