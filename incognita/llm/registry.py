@@ -5,8 +5,9 @@ from __future__ import annotations
 from incognita.llm.op1_sharding import op1_sharding
 from incognita.llm.op4_neardup import SQL as OP4_SQL
 from incognita.llm.op4_neardup import op4_neardup
+from incognita.llm.op6_secrets import op6_secrets
 from incognita.llm.op8_topk import SQL as OP8_SQL
 from incognita.llm.op8_topk import op8_topk
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_neardup": op4_neardup, "op8_topk": op8_topk}
+QUERIES = {"op1_sharding": op1_sharding, "op4_neardup": op4_neardup, "op6_secrets": op6_secrets, "op8_topk": op8_topk}
 ORACLE = {"op4_neardup": OP4_SQL, "op8_topk": OP8_SQL}
