@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from incognita.llm.op1_sharding import op1_sharding
+from incognita.llm.op10_substrings import SQL as OP10_SQL
+from incognita.llm.op10_substrings import op10_substrings
 from incognita.llm.op4_neardup import SQL as OP4_SQL
 from incognita.llm.op4_neardup import op4_neardup
 from incognita.llm.op5_quality import op5_quality
@@ -12,5 +14,5 @@ from incognita.llm.op8_topk import op8_topk
 from incognita.llm.op9_rules import SQL as OP9_SQL
 from incognita.llm.op9_rules import op9_rules
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_neardup": op4_neardup, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op8_topk": op8_topk, "op9_rules": op9_rules}
-ORACLE = {"op4_neardup": OP4_SQL, "op8_topk": OP8_SQL, "op9_rules": OP9_SQL}
+QUERIES = {"op1_sharding": op1_sharding, "op4_neardup": op4_neardup, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op8_topk": op8_topk, "op9_rules": op9_rules, "op10_substrings": op10_substrings}
+ORACLE = {"op4_neardup": OP4_SQL, "op8_topk": OP8_SQL, "op9_rules": OP9_SQL, "op10_substrings": OP10_SQL}
