@@ -14,6 +14,7 @@ from incognita.session import shared_dir
 
 PIECE = 1 << 20  # bytes of text that are held as numbers at once (one longer text stays whole)
 BATCH_ROWS = 500  # rows of an Arrow batch: bounds a worker's memory with texts of 100 KB each, too
+BATCH_BYTES = "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts can be long, so Arrow batches hold few rows."""
+    """Texts can be long, so Arrow batches hold few rows and a bounded number of bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

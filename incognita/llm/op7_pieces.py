@@ -215,7 +215,10 @@ def merge_all(
         symbols, run, start, key, length = (x[keep] for x in (symbols, run, start, key, length))
         piece, priority = piece[keep], priority[keep]
         at = at - np.arange(len(at))  # every merge before has taken one symbol away
-        touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
+        near = np.zeros(len(symbols), bool)
+        near[at] = True
+        near[at[at > 0] - 1] = True
+        touched = np.flatnonzero(near)
         piece[touched], priority[touched] = candidates(touched)
     all_symbols = np.concatenate([np.empty(0, np.int32), *done_symbols])
     all_runs = np.concatenate([np.empty(0, np.int64), *done_runs])
