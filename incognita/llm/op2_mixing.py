@@ -44,6 +44,7 @@ class DomainModel:
     domains: list[str]
     logs: np.ndarray
     prior: np.ndarray
+    fitted: bool = True
 
     def posteriors(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """One row per text; an empty one has the prior."""
@@ -101,7 +102,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], rows:
             grid[domains.index(r.domain), r.pair] = r.n
     grid += 0.1
     logs = np.log(grid / grid.sum(axis=1, keepdims=True)).astype(np.float32)
-    return DomainModel(domains, logs, np.log((texts + 1e-9) / (texts.sum() + 1e-9 * len(domains))))
+    return DomainModel(domains, logs, np.log((texts + 1e-9) / (texts.sum() + 1e-9 * len(domains))), bool(texts.sum()))
 
 
 def memberships(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:

@@ -106,12 +106,14 @@ class AttentionModel:
     """h = tanh(A x + a); weight ~ exp(w . (tanh(V h) * sigmoid(U h))); score = sigmoid(c . z + d)."""
 
     parts: dict[str, np.ndarray]
+    fitted: bool = True
 
     CODE, GATE = 24, 12
 
     @classmethod
     def fit(cls, bags: list[np.ndarray], labels: np.ndarray, steps: int = 900, batch: int = 128) -> AttentionModel:
-        """Mini-batch Adam with a fixed seed. Labels of one kind only give a constant score."""
+        """Mini-batch Adam with a fixed seed. Labels of one kind only give a constant score near 0
+        or 1; no labels at all give one half, and ``fitted`` is false."""
         rng = np.random.Generator(np.random.PCG64(7))
         prior = float(np.clip(labels.mean() if len(labels) else 0.5, 0.001, 0.999))
         flat = np.concatenate(bags) if bags else np.zeros((1, FEATURES))
@@ -130,7 +132,7 @@ class AttentionModel:
             "c": np.zeros(cls.CODE),
             "d": np.array(np.log(prior / (1 - prior))),
         }
-        model = cls(p)
+        model = cls(p, len(labels) > 0)
         if 0.001 < prior < 0.999:
             model._train(bags, labels, rng, steps, batch)
         return model

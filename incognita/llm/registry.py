@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from incognita.llm.op1_sharding import op1_sharding
 from incognita.llm.op2_mixing import op2_mixing
 from incognita.llm.op3_pseudonyms import op3_pseudonyms
@@ -17,5 +18,7 @@ from incognita.llm.op8_topk import op8_topk
 from incognita.llm.op9_rules import SQL as OP9_SQL
 from incognita.llm.op9_rules import op9_rules
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_pseudonyms": op3_pseudonyms, "op4_neardup": op4_neardup, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_pieces": op7_pieces, "op8_topk": op8_topk, "op9_rules": op9_rules, "op10_substrings": op10_substrings}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_pseudonyms": op3_pseudonyms, "op4_neardup": op4_neardup, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_pieces": op7_pieces, "op8_topk": op8_topk, "op9_rules": op9_rules, "op10_substrings": op10_substrings}
 ORACLE = {"op4_neardup": OP4_SQL, "op8_topk": OP8_SQL, "op9_rules": OP9_SQL, "op10_substrings": OP10_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
