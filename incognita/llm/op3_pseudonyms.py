@@ -187,7 +187,7 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str, bytes], str | None]]] = {
     "date": (re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-]|[./]\d)"), date),
     "ipv4": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), ipv4),
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), ssn),
-    "phone": (re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){4,12}(?!\w)"), phone),
+    "phone": (re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){4,12}(?!\w))"), phone),
     "card": (re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"), card),
 }
 MAY_HOLD = re.compile(r"[0-9@]")
@@ -204,9 +204,13 @@ def changes(text: str, key: bytes) -> list[Change]:
         starts = [c[1] for c in out]  # of the kinds before, in order; those of one kind never overlap
         more = []
         for m in pattern.finditer(text):
-            i = bisect.bisect_left(starts, m.end())
+            i = bisect.bisect_right(starts, m.start())
             if i and out[i - 1][2] > m.start():
                 continue
+            if i < len(starts) and starts[i] < m.end():  # only what lies before the next value
+                m = pattern.match(text, m.start(), starts[i])
+                if m is None:
+                    continue
             new = pseudonym(m[0], key)
             if new is not None:
                 more.append((kind, *m.span(), new))
