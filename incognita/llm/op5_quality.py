@@ -79,6 +79,7 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     same[1:] = (hashes[1:] == hashes[:-1]) & (of_word[1:] == of_word[:-1])
     pair = np.zeros(len(row), np.uint64)
     pair[1:] = mix(hashes[1:] + mix(hashes[:-1]))
+    pair[place == 0] = 0
 
     def distinct(values: np.ndarray) -> np.ndarray:
         order = np.lexsort((values, of_word))
@@ -133,7 +134,7 @@ class AttentionModel:
             "d": np.array(np.log(prior / (1 - prior))),
         }
         model = cls(p, len(labels) > 0)
-        if 0.001 < prior < 0.999:
+        if bags and 0.001 < prior < 0.999:
             model._train(bags, labels, rng, steps, batch)
         return model
 

@@ -31,7 +31,7 @@ KINDS = ("assign", "access", "hex", "markov")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # what the models look at
 SAMPLE = 4000  # strings of each label the models are fitted on, at most
 SAMPLE_ROWS = 20_000  # documents these are taken from, about
-MARGIN = 0.35  # nats per character by which random must be likelier
+MARGIN = 0.1  # nats per character by which random must be likelier
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 _CODE = np.full(128, len(ALPHABET), np.int64)
