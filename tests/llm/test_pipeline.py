@@ -9,7 +9,8 @@ from incognita.llm.common import table
 
 def corpus():
     rows, labels = sample(300)
-    rows = [(i, t, "de" if i % 5 == 0 else "en", f"s{i % 3}", len(t)) for i, t, *_ in rows]
+    umlauts = str.maketrans("eo", "äü")
+    rows = [(i, t if i % 5 else t.translate(umlauts), "en" if i % 5 else "de", f"s{i % 3}", len(t)) for i, t, *_ in rows]
     good = data.prose(130, 5000)
     rows += [(1000 + i, good + f" tail{i}", "en", "s0", 1) for i in range(8)]
     rows += [(2000, data.prose(90, 6000) + " password=abcdefgh12345678", "en", "s1", 1)]
