@@ -7,9 +7,12 @@ are rarest in the corpus (ties by the pair's hash), whichever T they share: each
 this prefix, and skips the long lists of common text behind it.
 
 Links are transitive, so no list is expanded into all its pairs. First every set is held against
-one partner, the least member of most of its lists; what this links is joined to components.
-Then lists with members of several components are compared block by block inside tasks, which
-keep pairs across components that collide often enough. All links are confirmed on full sets.
+one partner, the member of most of its lists whose own pairs are the commonest (in a group of
+edited copies, the one closest to all); what this links is joined to components. Then all that
+share a partner are compared across components, and last those in a list that do not share one,
+so that a pair is not met again in each of its lists. Both go block by block inside tasks, where
+the largest component (or those with the commonest partner) need not be compared within. Tasks
+confirm on full sets and return only links that join components.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from incognita.llm.components import connected_components
 
 COORDINATES = 32  # K
 COLLISIONS = 17  # T: a pair at J = 0.85 has fewer with a chance of 3.5 in a million, a closer one less
-BLOCK = 128
+BLOCK = 256
 SEED = 20_240_607
 
 
@@ -110,48 +113,81 @@ def _sets(width: int):
     return run
 
 
-def confirmed(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union of the full sets."""
-    ids = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>"), "sets")
+def held_against(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked): whether 100 * intersection >= percent * union of the full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        edges.join(left, "a")
-        .join(right, "b")
-        .filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-        .select("a", "b")
-        .distinct()
-    )
+    linked = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
+    # an id that is repeated with other texts has several sets
+    return pairs.join(left, "a").join(right, "b").groupBy("a", "b").agg(F.max(linked).alias("linked"))
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every left set with every right one, by matrix products."""
+    every = np.concatenate([*left, *right])
+    _, place, often = np.unique(every, return_inverse=True, return_counts=True)
+    shared = often[place] > 1
+    number = np.cumsum(often > 1) - 1
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])[shared]
+    place = number[place[shared]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, 1 << 13):
+        now = (place >= a) & (place < a + (1 << 13))
+        grid = np.zeros((len(left) + len(right), 1 << 13), np.float32)
+        grid[owner[now], place[now] - a] = 1
+        out += grid[: len(left)] @ grid[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _across(percent: int):
+    """Links between different components, of two blocks of list members; enough to join these."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block of list members that lie in different components and collide often."""
-    for batch in batches:
-        lists = batch.column("members")
-        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        members = lists.flatten()
-        side, rep, component = (members.field(c).to_numpy() for c in ("side", "rep", "component"))
-        keys = members.field("keys").flatten().to_numpy().reshape(-1, COORDINATES)
-        same = batch.column("i").to_numpy() == batch.column("j").to_numpy()
-        found: set[tuple[int, int]] = set()
-        for a, b, inside in zip(ends, ends[1:], same, strict=False):
-            left = np.flatnonzero(side[a:b] == 0) + a
-            right = left if inside else np.flatnonzero(side[a:b] == 1) + a
-            hits = np.zeros((len(left), len(right)), np.int16)
-            for k in range(COORDINATES):
-                hits += keys[left, k][:, None] == keys[right, k][None, :]
-            x, y = np.nonzero((hits >= COLLISIONS) & (component[left][:, None] != component[right][None, :]))
-            ends_a, ends_b = rep[left[x]], rep[right[y]]
-            found.update(zip(np.minimum(ends_a, ends_b).tolist(), np.maximum(ends_a, ends_b).tolist(), strict=True))
-        yield pa.RecordBatch.from_pydict(
-            {"a": [p for p, _ in found], "b": [q for _, q in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        )
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            lists = batch.column("members")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            members = lists.flatten()
+            side, rep, component, part = (
+                members.field(c).to_numpy() for c in ("side", "rep", "component", "part")
+            )
+            sets = members.field("shingles")
+            at = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+            flat = sets.flatten().to_numpy()
+            found: list[tuple[int, int]] = []
+            for a, b, inside in zip(ends, ends[1:], batch.column("inside").to_pylist(), strict=False):
+                left = np.flatnonzero(side[a:b] == 0) + a
+                right = left if inside else np.flatnonzero(side[a:b] == 1) + a
+                if not len(left) or not len(right):
+                    continue
+                both = common_counts(*([flat[at[i] : at[i + 1]] for i in x] for x in (left, right)))
+                size = np.diff(at)
+                union = size[left][:, None] + size[right][None, :] - both
+                linked = (100 * both >= percent * union) & (part[left][:, None] != part[right][None, :])
+                for x, y in zip(*np.nonzero(linked), strict=True):
+                    i, j = left[x], right[y]
+                    p, q = find(int(component[i])), find(int(component[j]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        found.append((int(rep[i]), int(rep[j])))
+            yield pa.RecordBatch.from_pydict(
+                {"a": [p for p, _ in found], "b": [q for _, q in found]},
+                schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]),
+            )
+
+    return run
 
 
 def prefix_lists(reps: DataFrame) -> DataFrame:
-    """(key, rep): each signature under the rarest K - T + 1 of its coordinate-value pairs.
+    """(key, rep, score): each signature under the rarest K - T + 1 of its coordinate-value pairs,
+    where another one has that pair in its prefix, too; ``score``: how common its pairs are.
 
     Pairs that no other signature has can't collide and are dropped after the count; they come
     first in the order, so what is left of the prefix is shorter by their number.
@@ -161,11 +197,64 @@ def prefix_lists(reps: DataFrame) -> DataFrame:
     ranked = (
         posts.join(shared, "key")
         .groupBy("rep")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("posts"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("posts"), F.sum("df").alias("score"))
         .filter(F.size("posts") >= COLLISIONS)
     )
     head = F.slice("posts", F.lit(1), F.size("posts") - (COLLISIONS - 1))
-    return ranked.select("rep", F.explode(head).alias("post")).select(F.col("post.key").alias("key"), "rep")
+    lists = ranked.select("rep", "score", F.explode(head).alias("post"))
+    lists = written(lists.select(F.col("post.key").alias("key"), "rep", "score"), "lists")
+    more = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return lists.join(more, "key")
+
+
+def mixed_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Blocks of members to be compared, of lists (key, rep, component, part) that have members of
+    several components and several parts; within one part nothing has to be compared.
+
+    The largest part of each list lies in blocks of its own; the others' blocks meet these and
+    each other.
+    """
+    parts = placed.groupBy("key", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")
+    )
+    lists = parts.groupBy("key").agg(
+        F.max(F.struct("n", "part")).alias("top"),
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("parts"),
+        F.min("c0").alias("c0"),
+        F.max("c1").alias("c1"),
+    )
+    lists = lists.filter("parts > 1 AND c0 <> c1").select(
+        "key",
+        F.col("top.part").alias("main"),
+        F.ceil(F.col("top.n") / BLOCK).cast("int").alias("main_blocks"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"),
+    )
+    cut = placed.join(lists, "key")
+    in_main = F.col("part") == F.col("main")
+    rest = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
+    own = F.when(in_main, F.pmod(F.xxhash64("rep"), F.col("main_blocks"))).otherwise(
+        F.pmod(F.xxhash64("rep"), F.col("rest_blocks"))
+    )
+    cut = cut.withColumn("own", own.cast("int")).withColumn("in_main", in_main)
+    # pairs of blocks (i of the rest, j of the rest, or -1 - j of the largest part)
+    meets = F.when(
+        F.col("in_main"), F.transform(rest, lambda i: F.struct(i.alias("i"), (-1 - F.col("own")).alias("j")))
+    ).otherwise(
+        F.concat(
+            F.transform(
+                F.sequence(F.lit(0), F.col("main_blocks") - 1),
+                lambda j: F.struct(F.col("own").alias("i"), (-1 - j).alias("j")),
+            ),
+            F.transform(rest, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))),
+        )
+    )
+    cut = cut.select("key", "rep", "component", "part", "own", "in_main", F.explode(meets).alias("at"))
+    side = F.col("in_main") | ((F.col("at.j") >= 0) & (F.col("own") == F.col("at.j")) & (F.col("at.i") != F.col("at.j")))
+    cut = cut.select("key", "at.i", "at.j", side.cast("int").alias("side"), "rep", "component", "part")
+    cut = cut.join(sets.withColumnRenamed("node", "rep"), "rep")
+    held = cut.groupBy("key", "i", "j").agg(F.collect_list(F.struct("side", "rep", "component", "part", "shingles")).alias("members"))
+    return held.select((F.col("i") == F.col("j")).alias("inside"), "members")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -187,46 +276,48 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     own = linked.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep"), "keys")
     reps = written(groups.join(own, ["d1", "d2", "n_shingles", "rep"]).select("rep", "keys").distinct(), "reps")
     lists = written(prefix_lists(reps), "lists")
-    wide = Window.partitionBy("a")
+    ids = lists.select(F.col("rep").alias("doc_id")).distinct()
+    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>"), "sets")
 
-    # one partner each: the least member of most of a signature's lists
-    heads = lists.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # one partner each: the member of most of a signature's lists that is closest to all
+    heads = lists.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("least"))).alias("top"))
     partner = (
-        lists.join(heads, "key")
+        lists.join(heads.select("key", (-F.col("top.least")).alias("b")), "key")
         .filter("rep <> b")
         .groupBy(F.col("rep").alias("a"), "b")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("r", F.row_number().over(wide.orderBy(F.desc("n"), "b")))
+        .withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b")))
         .filter("r = 1")
         .select("a", "b")
     )
-    links = written(confirmed(written(partner, "pairs"), docs, width, percent), "links")
+    tested = written(held_against(written(partner, "pairs"), sets, percent), "links")
+    links = tested.filter("linked").select("a", "b")
 
     # rows that repeat a document's id tie their sets together
     copies = linked.join(groups, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "rep")
     members = written(copies, "members")
     ties = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
     ties = members.join(ties, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
-    first = connected_components(links.unionByName(ties))
 
-    # lists that still hold members of several components, in pairs of blocks
-    placed = lists.join(first, lists["rep"] == first["node"], "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
+    # all that share a partner, where those linked with it are one component
+    home = tested.select(
+        F.col("b").alias("key"), F.col("a").alias("rep"), F.when(F.col("linked"), F.col("b")).otherwise(F.col("a")).alias("component")
     )
-    placed = written(placed, "lists")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.filter("c0 <> c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    cut = placed.join(mixed, "key").join(reps, "rep").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cut = cut.withColumn("other", other).select(
-        "key",
-        F.least("at", "other").alias("i"),
-        F.greatest("at", "other").alias("j"),
-        F.struct((F.col("at") > F.col("other")).cast("int").alias("side"), "rep", "component", "keys").alias("m"),
+    centres = tested.select(F.col("b").alias("key"), F.col("b").alias("rep"), F.col("b").alias("component")).distinct()
+    homes = written(home.unionByName(centres), "groups")
+    grouped = homes.withColumn("part", F.col("component"))
+    more = written(mixed_blocks(grouped, sets).mapInArrow(_across(percent), "a long, b long"), "links")
+    links = links.unionByName(more)
+
+    # members of one list that do not share a partner; a partner of others stands for its own
+    own = homes.withColumn("first", F.when(F.col("key") == F.col("rep"), 0).otherwise(1)).groupBy("rep")
+    own = own.agg(F.min(F.struct("first", "key", "component")).alias("o")).select("rep", "o.key", "o.component")
+    own = own.withColumnsRenamed({"rep": "node", "key": "part", "component": "found"})
+    listed = lists.join(own, lists["rep"] == own["node"], "left").select(
+        "key", "rep", F.coalesce("found", "rep").alias("component"), F.coalesce("part", "rep").alias("part")
     )
-    held = cut.groupBy("key", "i", "j").agg(F.collect_list("m").alias("members"))
-    more = held.mapInArrow(_across, "a long, b long").distinct()
-    links = links.unionByName(confirmed(written(more, "pairs"), docs, width, percent)).unionByName(ties)
+    more = mixed_blocks(written(listed, "lists"), sets).mapInArrow(_across(percent), "a long, b long")
+    links = links.unionByName(written(more, "links")).unionByName(ties)
     final = connected_components(links)
 
     known = members.select("doc_id", "n_shingles", "rep")
