@@ -142,7 +142,7 @@ def birthdate(value: Column, key: Column) -> Column:
     shift = (pick(key, 0, 336) + 30) * (pick(key, 1, 2) * 2 - 1)
     days = shift.cast("int")
     german = F.when(value.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), F.try_to_date(value, "dd.MM.yyyy"))
-    iso = value.try_cast("date")
+    iso = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}(?:[ T].*)?$"), value.try_cast("date"))
     some_day = F.date_add(F.lit("1970-01-01").cast("date"), pick(key, 2, 20_000).cast("int"))
     return F.when(german.isNotNull(), F.date_format(F.date_add(german, days), "dd.MM.yyyy")).otherwise(
         F.date_format(F.coalesce(F.date_add(iso, days), some_day), "yyyy-MM-dd")

@@ -10,11 +10,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from incognita.functions.arrays import literal_array
 from incognita.rules import DEFAULT_PRESERVE_WORDS
 
 _SEPARATOR = "\u0000"
-# Above this many rules use operators.preserve.mark_preserved, which joins.
-INLINE_LIMIT = 1000
+# Longer lists are tested as one array constant instead of one expression per rule, which
+# gives the same answers; for lists too long for that, operators.preserve.mark_preserved joins.
+_SHORT = 200
 
 
 def _flatten(node: object) -> Iterable[str]:
@@ -85,8 +87,6 @@ class PreserveRules:
         rules = self.normalised()
         if not rules:
             return F.lit(False)
-        if len(rules) > INLINE_LIMIT:
-            raise ValueError("long rule list: use operators.preserve.mark_preserved")
         folded = value if self.case_sensitive else F.lower(value)
         hit = F.lit(False)
         plain = rules
@@ -96,7 +96,12 @@ class PreserveRules:
             if globs:
                 bodies = (".*".join(re.escape(p) for p in g.split("*")) for g in globs)
                 hit = hit | folded.rlike("(?s)^(?:" + "|".join(bodies) + ")$")
-        if plain:
+        if len(plain) > _SHORT:
+            listed = literal_array(plain)
+            hit = hit | F.exists(listed, lambda r: F.contains(folded, r))
+            if self.mode == "compat":
+                hit = hit | F.exists(listed, lambda r: F.contains(r, folded))
+        elif plain:
             # A rule that contains another rule adds nothing to "value contains rule".
             shortest = [r for r in plain if not any(o != r and o in r for o in plain)]
             for rule in shortest:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame, tasks_per_core: int = 1) -> DataFrame:
     """Gives an input of few partitions one per core before work that is heavy on the
     CPU (a file with one row group is read by one task, however many cores wait).
-    An input that fills the cluster anyway passes through without a shuffle, so the
-    cost is bounded by what a handful of partitions hold."""
+    An input of at least as many files passes through without a shuffle, so the cost
+    is bounded by what a handful of files hold. Only the plan's list of files is
+    looked at; nothing runs."""
     wanted = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
-    if df.isStreaming or df.rdd.getNumPartitions() >= wanted:
+    if df.isStreaming or not 0 < len(df.inputFiles()) < wanted:
         return df
     return df.repartition(wanted)

@@ -85,11 +85,35 @@ def make_unique(mapping: DataFrame, seed: str = fk.DEFAULT_SEED, buckets: int =
     return (
         mapping.withColumn("__bucket", bucket)
         .withColumn("__number", number)
-        .withColumn("fake", _numbered(F.col("fake"), F.col("__number").cast("string")))
+        .withColumn("fake", _distinct(F.col("type"), F.col("fake"), F.col("original"), F.col("__number")))
         .drop("__bucket", "__number")
     )
 
 
+def _distinct(kind: Column, fake: Column, original: Column, number: Column) -> Column:
+    """The fake made distinct by the number, in the format of its type: types that a
+    column may hold natively stay numbers and dates, an IBAN keeps valid check digits, a
+    UUID its digits; other fakes get the number appended."""
+    text = number.cast("string")
+    day = F.date_add(F.lit("1900-01-01").cast("date"), number.cast("int"))
+    german = original.rlike(r"^\d{2}\.\d{2}\.\d{4}$")
+    left, right = F.floor(number / 10**9).cast("bigint"), F.pmod(number, F.lit(10**9))
+    rest = F.pmod(left * (10**15 % 97) + right * (10**6 % 97) + 131400 % 97, F.lit(97))
+    account = F.concat(F.lpad(left.cast("string"), 9, "0"), F.lpad(right.cast("string"), 9, "0"))
+    iban = F.concat(F.lit("DE"), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), account)
+    return (
+        F.when(kind == "age", (number + 18).cast("string"))
+        .when(kind == "house_number", (number + 1).cast("string"))
+        .when(kind == "postcode", (number + 10_000).cast("string"))
+        .when(kind == "ssn", (number + 100_000_000).cast("string"))
+        .when(kind == "tax_id", (number + 10_000_000_000).cast("string"))
+        .when(kind == "birthdate", F.when(german, F.date_format(day, "dd.MM.yyyy")).otherwise(day.cast("string")))
+        .when(kind == "iban", iban)
+        .when(kind == "uuid", F.concat(F.substring(fake, 1, 24), F.lpad(F.lower(F.hex(number)), 12, "0")))
+        .otherwise(_numbered(fake, text))
+    )
+
+
 def _numbered(fake: Column, number: Column) -> Column:
     """Number before the @ of an address, else at the end."""
     at = F.instr(fake, "@")
@@ -112,7 +136,9 @@ def apply_mapping(
     salts: int = 64,
 ) -> DataFrame:
     """Replaces with the fakes of an earlier mapping; values it lacks get the fake
-    of the seed. ``mapping`` must hold one row per (type, original).
+    of the seed. Of several mapping rows for one (type, original) the least fake
+    counts, so rows never multiply. A column keeps its type where its fakes fit;
+    a fake of the mapping that does not fit raises an error instead of becoming NULL.
 
     Per target column one left equi-join. The mapping may be as large as the data,
     so nothing is broadcast by hint (AQE does where the measured size allows) and
@@ -122,8 +148,10 @@ def apply_mapping(
     out = df
     for i, (c, kind) in enumerate(chosen.items()):
         text = F.col(quoted(c)).cast("string")
-        part = mapping.where(F.col("type") == kind).select(
-            F.col("original").alias("__original"), F.col("fake").alias("__known")
+        part = (
+            mapping.where(F.col("type") == kind)
+            .groupBy(F.col("original").alias("__original"))
+            .agg(F.min("fake").alias("__known"))
         )
         wanted = F.when(replaceable(text, preserve, keep_empty), text)
         hot = hot_values(df.select(wanted.alias("__original")), "__original")
@@ -135,7 +163,9 @@ def apply_mapping(
         )
         dtype = df.schema[c].dataType.simpleString()
         if dtype in fk.NATIVE_TYPES.get(kind, set()):
-            new = new.try_cast(dtype)
+            fitting = new.try_cast(dtype)
+            misfit = F.concat(F.lit(f"column {c}: a mapped value is no {dtype}: "), new)
+            new = F.when(new.isNotNull() & fitting.isNull(), F.raise_error(misfit).cast(dtype)).otherwise(fitting)
         out = keyed.withColumn(c, new).drop("__original", "__known", "__key")
     return out.select(*[F.col(quoted(c)) for c in df.columns])
 

@@ -9,20 +9,11 @@ from incognita.operators.skew import hot_values, salted_left_join
 from incognita.operators.tables import quoted
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of the given lengths."""
-    fitting = F.filter(lengths, lambda n: n <= F.length(text))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                fitting,
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(text) - n + 1),
-                    lambda start: F.substring(text, start, n),
-                ),
-            )
-        )
-    )
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of this length, at most one per character."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    grams = F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))))
+    return F.when(F.length(text) >= size, grams).otherwise(F.array().cast("array<string>"))
 
 
 def mark_preserved(
@@ -37,35 +28,38 @@ def mark_preserved(
     """Adds ``preserved``: does a rule equal the value, occur in it or (compat)
     contain it? Same meaning as ``PreserveRules.matches`` for any number of rules.
 
-    "Contains" is turned into equality: the substrings of each distinct value that
-    have the length of some rule are equi-joined with the rules, and the other way
-    round. Neither side is broadcast, no pair is compared that is not equal.
+    "Contains" is turned into equality: what holds a rule holds its first k characters, k being
+    the shortest rule's length. So the k-grams of each distinct value (at most one per character)
+    are equi-joined with the rules' heads, and only such pairs are compared. The other way round
+    a value's head is sought among the k-grams of the rules, a shorter value among their shorter
+    substrings. Neither side is broadcast by hint; joins leave hot grams to be split at run time.
     """
 
     def fold(c: Column) -> Column:
         return c if case_sensitive else F.lower(c)
 
     wanted = rules.select(fold(F.col(rule_column)).alias("rule")).where("rule <> ''").distinct()
-    rule_lengths = wanted.agg(
-        F.coalesce(F.sort_array(F.collect_set(F.length("rule"))), F.array().cast("array<int>"))
-    ).first()[0]
     folded = df.withColumn("__value", fold(F.col(quoted(column)).cast("string")))
     values = folded.select("__value").where("__value IS NOT NULL").distinct()
-    lengths = F.array(*[F.lit(n) for n in rule_lengths]).cast("array<int>")
-    parts = values.select("__value", F.explode(_substrings(F.col("__value"), lengths)).alias("rule"))
-    known = wanted.withColumn("__known", F.lit(True))
-    holding = (
-        salted_left_join(parts, known, "rule", hot_values(parts, "rule"), salts)
-        .where("__known")
-        .select("__value")
-    )
-    kept = holding
-    if mode == "compat" and rule_lengths:
-        all_lengths = F.sequence(F.lit(1), F.length("rule"))
-        inside = wanted.select(F.explode(_substrings(F.col("rule"), all_lengths)).alias("__value"))
-        inside = inside.distinct()
-        empty = values.where("__value = ''")
-        kept = holding.unionByName(values.join(inside, "__value", "left_semi")).unionByName(empty)
+    k = wanted.agg(F.min(F.length("rule"))).first()[0]
+    kept = values.limit(0)
+    if k:
+        heads = wanted.select("rule", F.substring("rule", 1, k).alias("gram"))
+        parts = values.select("__value", F.explode(_grams(F.col("__value"), k)).alias("gram"))
+        kept = parts.join(heads, "gram").where("contains(__value, rule)").select("__value")
+    if k and mode == "compat":
+        grams = wanted.select("rule", F.explode(_grams(F.col("rule"), k)).alias("gram"))
+        long = values.where(F.length("__value") >= k).withColumn("gram", F.substring("__value", 1, k))
+        inside = long.join(grams, "gram").where("contains(rule, __value)").select("__value")
+        sizes = F.sequence(F.lit(1), F.lit(k))
+        short = wanted.select(
+            F.explode(F.array_distinct(F.flatten(F.transform(
+                F.sequence(F.lit(1), F.length("rule")),
+                lambda at: F.transform(sizes, lambda n: F.substring("rule", at, n)),
+            )))).alias("__value")
+        ).distinct()
+        within = values.where(F.length("__value") < k).join(short, "__value", "left_semi")
+        kept = kept.unionByName(inside).unionByName(within).unionByName(values.where("__value = ''"))
     flags = kept.distinct().withColumn("__hit", F.lit(True))
     hot = hot_values(folded, "__value")
     return (

@@ -34,6 +34,8 @@ def scan_cells(
             for c in _string_columns(df, row_key)
         ]
     )
+    if not _string_columns(df, row_key):  # a sheet of numbers only: no row, same columns
+        cells = F.expr("cast(array() AS array<struct<column: string, value: string>>)")
     flat = df.select(F.col(quoted(row_key)).alias("row"), F.inline(cells)).where("value IS NOT NULL")
     return (
         flat.withColumn("verdict", detect_value(F.col("value"), patterns))

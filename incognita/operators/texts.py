@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from incognita.functions.names import preview, score_band
 from incognita.functions.preserve import PreserveRules
 from incognita.functions.text import Patterns, find_all
+from incognita.operators.tables import quoted
+
+
+def _kept(df: DataFrame, column: str, added: list[str]) -> list[Column]:
+    """All columns but the text, refusing names that the result uses itself."""
+    keep = [c for c in df.columns if c != column]
+    clash = [c for c in keep if c.lower() in added]
+    if clash:
+        raise ValueError(f"rename the columns {clash}: the result has columns of these names")
+    return [F.col(quoted(c)) for c in keep]
 
 
 def findings(
@@ -19,8 +29,8 @@ def findings(
 ) -> DataFrame:
     """One row per match, with all other columns of the input. Preserved values are
     listed as well; with ``preserve`` a flag column tells which they are."""
-    keep = [c for c in df.columns if c != column]
-    out = df.select(*keep, F.explode(find_all(F.col(column), patterns, types)).alias("finding"))
+    keep = _kept(df, column, ["start", "end", "type", "value", "score", "finding", "preserved"])
+    out = df.select(*keep, F.explode(find_all(F.col(quoted(column)), patterns, types)).alias("finding"))
     out = out.select(*keep, "finding.*")
     return out if preserve is None else out.withColumn("preserved", preserve.matches(F.col("value")))
 
@@ -35,8 +45,8 @@ def distinct_findings(found: DataFrame) -> DataFrame:
 
 def document_findings(df: DataFrame, column: str = "text") -> DataFrame:
     """One row per match of the document patterns."""
-    keep = [c for c in df.columns if c != column]
-    out = df.select(*keep, F.explode(find_all(F.col(column), "document")).alias("f"))
+    keep = _kept(df, column, ["f", "type", "value", "position", "method", "action"])
+    out = df.select(*keep, F.explode(find_all(F.col(quoted(column)), "document")).alias("f"))
     return out.select(
         *keep,
         "f.type",
@@ -49,11 +59,12 @@ def document_findings(df: DataFrame, column: str = "text") -> DataFrame:
 
 def document_profile(df: DataFrame, column: str = "text") -> DataFrame:
     """Number of findings and text length per document."""
-    keep = [c for c in df.columns if c != column]
+    keep = _kept(df, column, ["total_findings", "text_length"])
+    text = F.col(quoted(column))
     return df.select(
         *keep,
-        F.size(find_all(F.col(column), "document")).alias("total_findings"),
-        F.coalesce(F.length(column), F.lit(0)).alias("text_length"),
+        F.size(find_all(text, "document")).alias("total_findings"),
+        F.coalesce(F.length(text), F.lit(0)).alias("text_length"),
     )
 
 

@@ -174,20 +174,19 @@ class Pattern:
     regex: str
     weight: int
     fake_type: str
+    # a short regex that occurs in every match, "" if there is none known
+    needs: str = ""
+    # what is known of the edges of a match, see EDGES
+    edges: tuple = ()
 
     @property
     def spark_regex(self) -> str:
-        return linear_email(ascii_word_boundaries(self.regex, *EDGES.get(self.type, ())))
-
-    @property
-    def needs(self) -> str:
-        """A short regex that occurs in every match, "" if there is none known."""
-        return NEEDED.get(self.type, "")
+        return linear_email(ascii_word_boundaries(self.regex, *self.edges))
 
 
 DIGIT = "[0-9]"
 
-# What every match of a type holds. These start with a rare character or a digit,
+# What every match of a built-in pattern holds. These start with a rare character or a digit,
 # so looking for them first is far cheaper than the full scan, and it settles most
 # texts.
 NEEDED = {
@@ -204,7 +203,7 @@ NEEDED = {
     "date_de": r"\.[0-9]{2}\.[0-9]",
 }
 
-# What is known of the edges of a match: the class of its first character, whether
+# What is known of the edges of a built-in pattern's match: the class of its first character, whether
 # that is always a word character, whether the last one is.
 EDGES = {
     "phone": ("[+0]", False, False),
@@ -263,18 +262,22 @@ TABLE_CONTEXT: dict[str, float] = {
 }
 
 
+def _built_in(kind: str, regex: str, weight: int, fake_type: str) -> Pattern:
+    return Pattern(kind, regex, weight, fake_type, NEEDED.get(kind, ""), EDGES.get(kind, ()))
+
+
 def _value_patterns(text: str) -> list[Pattern]:
     out = []
     for line in _lines(text):
         kind, weight, regex = line.split(maxsplit=2)
-        out.append(Pattern(kind, regex, int(weight), PATTERN_FAKE_TYPES.get(kind, "word")))
+        out.append(_built_in(kind, regex, int(weight), PATTERN_FAKE_TYPES.get(kind, "word")))
     return out
 
 
 STANDARD_PATTERNS: list[Pattern] = _value_patterns(VALUE_PATTERNS_TEXT)
 
 DOCUMENT_PATTERNS: list[Pattern] = [
-    Pattern(kind, regex, 0, "ip" if kind == "ipv4" else kind)
+    _built_in(kind, regex, 0, "ip" if kind == "ipv4" else kind)
     for kind, regex in (line.split(maxsplit=1) for line in _lines(DOCUMENT_PATTERNS_TEXT))
 ]
 
@@ -285,8 +288,8 @@ def corrected_patterns() -> list[Pattern]:
     starts inside a longer run of digits nor ends on blanks, and therefore no
     longer eats ISO dates or line breaks."""
     phone = r"(?<![A-Za-z0-9_\-])(?:\+49|0)[\s\-]?(?:\d[ \-]?){5,18}\d(?!\d)"
-    german_iban = Pattern("iban", r"\bDE\d{2}[ ]?(?:\d{4}[ ]?){4}\d{2}\b", 10, "iban")
-    mended = {"phone_de": Pattern("phone_de", phone, 9, "phone")}
+    german_iban = _built_in("iban", r"\bDE\d{2}[ ]?(?:\d{4}[ ]?){4}\d{2}\b", 10, "iban")
+    mended = {"phone_de": _built_in("phone_de", phone, 9, "phone")}
     general = [mended.get(p.type, p) for p in STANDARD_PATTERNS]
     return [german_iban, *general]
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DELIMITERS = [",", ";", "\t", "|"]  # fixed order: decides ties
 QUOTE, ESCAPE = '"', "\\"
+# stand for a quote behind a backslash while a line is taken apart
+_QUOTED, _SIGN = "\ue000", "\ue001"
 TABLE_LABEL = "csv"
 
 
@@ -17,6 +20,7 @@ class CsvLayout:
     delimiter: str
     columns: list[str]
     sample: list[str]
+    header: str = ""
 
 
 def detect_delimiter(header: str) -> str:
@@ -29,41 +33,85 @@ def sniff_csv(spark: SparkSession, path: str) -> CsvLayout:
     lines = [row["value"] for row in spark.read.text(path).head(4)]
     header = lines[0] if lines else ""
     delimiter = detect_delimiter(header)
-    columns = next(csv.reader([header], delimiter=delimiter, quotechar=QUOTE, escapechar=ESCAPE), [])
-    return CsvLayout(delimiter, columns, lines[1:])
+    columns = next(csv.reader([header], delimiter=delimiter, quotechar=QUOTE, doublequote=True), [])
+    return CsvLayout(delimiter, columns, lines[1:], header)
+
+
+def _apart(text: Column) -> Column:
+    """The text with \\" behind a stand-in; the stand-in's own characters are spelt out first, so
+    that ``_together`` gives back any text."""
+    text = F.replace(text, F.lit(_SIGN), F.lit(_SIGN + "a"))
+    text = F.replace(text, F.lit(_QUOTED), F.lit(_SIGN + "b"))
+    return F.replace(text, F.lit(ESCAPE + QUOTE), F.lit(_QUOTED))
+
+
+def _together(text: Column) -> Column:
+    text = F.replace(text, F.lit(_QUOTED), F.lit(ESCAPE + QUOTE))
+    text = F.replace(text, F.lit(_SIGN + "b"), F.lit(_QUOTED))
+    return F.replace(text, F.lit(_SIGN + "a"), F.lit(_SIGN))
 
 
 def read_csv_sniffed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """All columns as strings, bound by header; an empty cell is an empty string, not
-    NULL. Files stay splittable unless ``multi_line`` is asked for, which quoted
-    line breaks need."""
+    NULL. A doubled quote in a quoted cell is one quote; a quote behind a backslash does not
+    end the cell, and both characters stay.
+
+    Files stay splittable: lines are read as text and taken apart one by one; lines that equal
+    the header are headers (of the part files). ``multi_line`` is for quoted line breaks; it
+    reads a file in one task and knows doubled quotes only.
+    """
     layout = sniff_csv(spark, path)
-    df = spark.read.csv(
-        path,
-        sep=layout.delimiter,
-        header=True,
-        inferSchema=False,
-        quote=QUOTE,
-        escape=ESCAPE,
-        multiLine=multi_line,
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
+    if multi_line:
+        df = spark.read.csv(
+            path,
+            sep=layout.delimiter,
+            header=True,
+            inferSchema=False,
+            quote=QUOTE,
+            escape=QUOTE,
+            multiLine=True,
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
+        return df.fillna("")
+    names = list(layout.columns)
+    if not names:
+        return spark.read.text(path).limit(0).select()
+    lines = spark.read.text(path).where((F.col("value") != layout.header) & (F.trim("value") != ""))
+    plain = ", ".join(f"c{i} string" for i in range(len(names)))
+    options = {"sep": layout.delimiter, "quote": QUOTE, "escape": QUOTE, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    cells = lines.select(F.from_csv(_apart(F.col("value")), plain, options).alias("cell"))
+    return cells.select(
+        *[F.coalesce(_together(F.col(f"cell.c{i}")), F.lit("")).alias(name) for i, name in enumerate(names)]
     )
-    return df.fillna("")
+
+
+def csv_cell(value: Column, delimiter: str) -> Column:
+    """A cell as it is written: in quotes where it holds the delimiter, a quote, a line break or
+    blanks at its ends. A quoted cell can't end with a backslash, as that would take the closing
+    quote; such a value raises an error rather than being written as something else."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    inner = _together(F.replace(_apart(text), F.lit(QUOTE), F.lit(QUOTE + QUOTE)))
+    special = F.lit(False)
+    for sign in (delimiter, QUOTE, "\n", "\r"):
+        special = special | F.contains(text, F.lit(sign))
+    special = special | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    error = F.raise_error(F.concat(F.lit("a quoted CSV cell can't end with a backslash: "), text)).cast("string")
+    whole = F.when(F.endswith(text, F.lit(ESCAPE)), error).otherwise(F.concat(F.lit(QUOTE), inner, F.lit(QUOTE)))
+    return F.when(special, whole).otherwise(text)
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", mode: str = "errorifexists") -> None:
-    df.write.csv(
-        path,
-        mode=mode,
-        sep=delimiter,
-        header=True,
-        quote=QUOTE,
-        escape=ESCAPE,
-        emptyValue="",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+    """Lines as ``read_csv_sniffed`` takes them, with the header in front of every file; an
+    empty frame gives a file with the header alone."""
+    named = F.concat_ws(delimiter, *[csv_cell(F.lit(c), delimiter) for c in df.columns])
+    cells = [csv_cell(F.col("`" + c.replace("`", "``") + "`"), delimiter) for c in df.columns]
+    line = F.concat_ws(delimiter, *cells)
+    # the id counts the rows of a partition in its lower bits
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines = df.select(F.explode(F.when(first, F.array(named, line)).otherwise(F.array(line))).alias("value"))
+    header = df.sparkSession.range(1).select(named.alias("value"))
+    header.unionByName(lines).write.mode(mode).text(path)
 
 
 def pseudonymize_csv(

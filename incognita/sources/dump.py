@@ -1,8 +1,11 @@
 """SQL dumps: INSERT statements in, rows or rewritten statements out.
 
 Only the INSERT shape is taken apart, by regular expressions inside Spark; other
-statements pass through as text. All quantifiers over groups are possessive, so
-that long literals neither backtrack nor grow the regex engine's stack.
+statements pass through as text. A statement is cut into head, values and rest, the
+values into tuples and what stands between them; what is not replaced is given back as
+it was, and an INSERT that can't be cut completely raises an error where its table is to be
+changed or read. All quantifiers over groups are possessive, so that long literals
+neither backtrack nor grow the regex engine's stack.
 """
 
 from __future__ import annotations
@@ -23,27 +26,57 @@ ROWS_PER_INSERT = 1000  # fixed value
 
 _SINGLE = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
 _DOUBLE = r'"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"'
-_CALL = r"\([^()]*+\)"
+_DEPTH = 6  # brackets within brackets that a value may hold
+
+
+def _nested(depth: int) -> str:
+    inner = rf"|{_nested(depth - 1)}" if depth else ""
+    return rf"\((?:[^'\"()]++|{_SINGLE}|{_DOUBLE}{inner})*+\)"
+
+
+_CALL = _nested(_DEPTH - 1)
 _PIECE = rf"(?:{_SINGLE}|{_DOUBLE}|{_CALL})"
-_TUPLE = rf"(?s)\((?:[^'\"()]++|{_PIECE})*+\)"
+_TUPLE_BODY = rf"\((?:[^'\"()]++|{_PIECE})*+\)"
+_TUPLE = rf"(?s){_TUPLE_BODY}"
 _VALUE = rf"(?s)(?:[^,'\"()]++|{_PIECE})++"
-# blank and comment lines, then INSERT INTO name (columns) VALUES
-_LEAD = r"(?:[ \t\r]*+(?:(?:--|/\*)[^\n]*+)?\n)*+"
-_HEAD = rf"(?is)^({_LEAD}\s*+insert\s+into\s+[`\"]?(\w+)[`\"]?\s*(?:\(([^)]*)\))?\s*values\s*)"
+# the tuples of a statement and the commas between them
+_LIST = rf"(?s)^({_TUPLE_BODY}(?:\s*+,\s*+{_TUPLE_BODY})*+)"
+_TOKEN = rf"(?s){_TUPLE_BODY}|[^(]++"
+# blanks and comments, then INSERT [IGNORE] INTO [database.]name (columns) VALUES
+_LEAD = r"(?:\s++|(?:--|#)[^\n]*+(?:\n|$)|/\*(?:[^*]++|\*(?!/))*+\*/)*+"
+_NAME = r"(?:`[^`]*+`|\"[^\"]*+\"|[\w$]++)"
+_WORDS = r"(?:insert|replace)(?:\s++(?:ignore|low_priority|delayed|high_priority))*+(?:\s++into)?+"
+_START = rf"(?is)^{_LEAD}{_WORDS}\s*+(?:{_NAME}\s*+\.\s*+)?+({_NAME})"
+_HEAD = rf"(?is)^({_LEAD}{_WORDS}\s*+(?:{_NAME}\s*+\.\s*+)?+({_NAME})\s*+(?:\(([^)]*+)\)\s*+)?+values?\s*+)"
+# a literal that is not closed: a statement cut in the middle
+_OPEN = rf"(?s)^(?:[^'\"`#/-]++|{_SINGLE}|{_DOUBLE}|`[^`]*+`|--[^\n]*+|#[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|[/-])*+['\"]"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
-def read_insert_dump(spark: SparkSession, path: str, statement_end: str = STATEMENT_END) -> DataFrame:
-    """One row per statement: statement, head, table, columns, tuples (the last four
+def line_end(spark: SparkSession, path: str) -> str:
+    """The line end of the files, told from a first line."""
+    first = spark.read.text(path, lineSep="\n").first()
+    return "\r\n" if first is not None and first[0].endswith("\r") else "\n"
+
+
+def read_insert_dump(spark: SparkSession, path: str, statement_end: str | None = None) -> DataFrame:
+    """One row per statement: statement, head, table, columns, tuples, values, rest (the last six
     NULL or empty for anything but an INSERT).
 
-    A statement ends where a line ends in ``;``. The reader splits on
-    ``statement_end`` (give ";\\r\\n" for files with such line ends), so large
-    dumps are read in parallel; blanks after the ``;`` are handled behind it.
+    A statement ends where a line ends in ``;``. The reader splits there, by the line end that
+    the first line has, so large dumps are read in parallel. A literal that holds a ``;`` at a line
+    end (dumps write line breaks as ``\\n``, as the export here does) would be cut; such a piece
+    raises an error when it is used.
     """
-    raw = spark.read.text(path, lineSep=statement_end)
+    end = statement_end or ";" + line_end(spark, path)
+    raw = spark.read.text(path, lineSep=end)
     pieces = raw.select(F.explode(F.split("value", r";[ \t\r]*+(?:\n|$)", -1)).alias("statement"))
-    return parse_inserts(pieces.where(F.trim(F.col("statement"), F.lit(" \t\r\n")) != ""))
+    whole = pieces.where(F.trim(F.col("statement"), F.lit(" \t\r\n")) != "")
+    text = F.col("statement")
+    cut = F.raise_error(F.concat(F.lit("a literal is not closed in this statement: "), F.left(text, F.lit(200))))
+    quotes = F.contains(text, F.lit("'")) | F.contains(text, F.lit('"'))
+    checked = F.when(quotes & text.rlike(_OPEN), cut.cast("string")).otherwise(text)
+    return parse_inserts(whole.select(checked.alias("statement")))
 
 
 def parse_inserts(df: DataFrame, column: str = "statement") -> DataFrame:
@@ -52,22 +85,44 @@ def parse_inserts(df: DataFrame, column: str = "statement") -> DataFrame:
     # The head is cut out once; table and columns are read from that short text.
     headed = df.withColumn("head", F.nullif(F.regexp_extract(text, _HEAD, 1), F.lit("")))
     head = F.col("head")
+    named = F.coalesce(head, F.regexp_extract(text, _START, 0))
     body = F.substring(text, F.length(head) + 1, F.length(text))
     names = F.split(F.regexp_extract(head, _HEAD, 3), ",")
-    return headed.select(
+    cut = headed.select(
         "*",
-        F.regexp_extract(head, _HEAD, 2).alias("table"),
+        F.nullif(_bare(F.regexp_extract(named, _START, 1)), F.lit("")).alias("table"),
         F.transform(names, lambda c: F.trim(c, F.lit(" \t\r\n`\"'"))).alias("columns"),
-        F.regexp_extract_all(body, F.lit(_TUPLE), F.lit(0)).alias("tuples"),
+        F.regexp_extract(body, _LIST, 1).alias("values"),
     )
+    return cut.select(
+        "*",
+        F.regexp_extract_all("values", F.lit(_TUPLE), F.lit(0)).alias("tuples"),
+        F.substring(text, F.length(head) + F.length("values") + 1, F.length(text)).alias("rest"),
+    )
+
+
+def _bare(name: Column) -> Column:
+    return F.trim(name, F.lit('`"'))
+
+
+# What may follow the tuples without holding a row of its own.
+_REST = r"(?is)^\s*+(?:;\s*+)?+(?:(?:on\s++(?:duplicate|conflict)|returning|as\s)\b?.*+)?+$"
+
+
+def _complete() -> Column:
+    """Whether an INSERT has been cut into head, values and a rest that holds no row."""
+    return F.col("head").isNotNull() & (F.col("values") != "") & F.col("rest").rlike(_REST)
+
+
+def _or_error(test: Column, value: Column, message: str) -> Column:
+    """The value, or an error that shows the statement's start."""
+    error = F.raise_error(F.concat(F.lit(message + ": "), F.left("statement", F.lit(200))))
+    return F.when(test, value).otherwise(error.cast("array<string>"))
 
 
 def _values(row: Column) -> Column:
     inner = F.substring(row, F.lit(2), F.length(row) - 2)
-    blanks = F.lit(" \t\r\n")
-    return F.transform(
-        F.regexp_extract_all(inner, F.lit(_VALUE), F.lit(0)), lambda v: F.trim(v, blanks)
-    )
+    return F.transform(F.regexp_extract_all(inner, F.lit(_VALUE), F.lit(0)), lambda v: F.trim(v, F.lit(" \t\r\n")))
 
 
 def _is_quoted(literal: Column) -> Column:
@@ -80,7 +135,15 @@ def unquote(literal: Column) -> Column:
     doubled = F.when(F.startswith(literal, F.lit("'")), F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(
         F.replace(inner, F.lit('""'), F.lit('"'))
     )
-    return F.regexp_replace(doubled, r"(?s)\\(.)", "$1")
+    # escapes with a meaning of their own, between doubled backslashes set aside
+    parts = F.split(doubled, r"\\\\", -1)
+
+    def resolved(part: Column) -> Column:
+        for sign, meant in (("n", "\n"), ("r", "\r"), ("t", "\t"), ("0", "\u0000")):
+            part = F.replace(part, F.lit("\\" + sign), F.lit(meant))
+        return F.regexp_replace(part, r"(?s)\\(.)", "$1")
+
+    return F.array_join(F.transform(parts, resolved), "\\")
 
 
 def value_kind(literal: Column) -> Column:
@@ -95,7 +158,8 @@ def value_kind(literal: Column) -> Column:
 def dump_rows(dump: DataFrame) -> DataFrame:
     """One row per value tuple: table, columns, literals."""
     inserts = dump.where("table IS NOT NULL")
-    rows = inserts.select("table", "columns", F.explode("tuples").alias("row"))
+    tuples = _or_error(_complete(), F.col("tuples"), "an INSERT that can't be taken apart")
+    rows = inserts.select("table", "columns", F.explode(tuples).alias("row"))
     return rows.select("table", "columns", _values(F.col("row")).alias("literals"))
 
 
@@ -108,7 +172,7 @@ def dump_schema(dump: DataFrame) -> DataFrame:
 def dump_table(dump: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """The rows of one table as string columns, bound by the names each INSERT
     states; an INSERT without a column list is bound by position."""
-    rows = dump_rows(dump).where(F.col("table") == table)
+    rows = dump_rows(dump.where(F.col("table") == table))
     stated = F.filter("columns", lambda c: c != "")
     order = F.when(F.size(stated) > 0, stated).otherwise(F.array(*[F.lit(c) for c in columns]))
     cells = rows.select(F.map_from_arrays(order, "literals").alias("cell"))
@@ -128,10 +192,16 @@ def pseudonymize_insert_dump(
     rules: dict[str, ColumnRules],
     seed: str = fk.DEFAULT_SEED,
     preserve: PreserveRules | None = None,
+    layouts: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """The statements with the quoted literals of the rule columns replaced in their
-    own quotes. NULL, numbers and function calls stay, and so does every statement
-    that is no INSERT. One row per statement, nothing is shuffled."""
+    own quotes. NULL, numbers and function calls stay, and so does every other character:
+    blanks, comments, what follows the tuples, statements that are no INSERT. One row per
+    statement, nothing is shuffled.
+
+    ``layouts`` gives the columns of tables whose INSERTs state none. An INSERT into a rule table
+    that can't be taken apart, or whose columns are not known, raises an error.
+    """
     types: dict[tuple[str, str], str] = {}
     for table, columns in rules.items():
         for column, rule in columns.items():
@@ -147,7 +217,14 @@ def pseudonymize_insert_dump(
             out = F.when((table == t) & (column == c), kind).otherwise(out)
         return out
 
-    kinds = F.transform("columns", lambda c: type_of(F.col("table"), c))
+    concerned = F.col("table").isin(sorted({t for t, _ in types}))
+    stated = F.filter("columns", lambda c: c != "")
+    order = F.when(F.size(stated) > 0, stated)
+    for table, columns in (layouts or {}).items():
+        order = order.when(F.col("table") == table, F.array(*[F.lit(c) for c in columns]))
+    usable = _complete() & order.isNotNull()
+    order = _or_error(usable, order, "an INSERT into a table with rules can't be taken apart, or states no columns")
+    kinds = F.when(concerned, F.transform(order, lambda c: type_of(F.col("table"), c)))
 
     def new_literal(literal: Column, kind: Column) -> Column:
         content = unquote(literal)
@@ -157,35 +234,44 @@ def pseudonymize_insert_dump(
             fk.digest(kind, content, seed),
             lambda key: fk.generate_by(kind, sorted(set(types.values())), content, key),
         )
-        escaped = F.replace(made, quote, F.concat(F.lit("\\"), quote))
+        escaped = F.replace(made, F.lit("\\"), F.lit("\\\\"))
+        escaped = F.replace(escaped, quote, F.concat(F.lit("\\"), quote))
         replaced = F.concat(quote, escaped, quote)
         if preserve is not None:
             replaced = F.when(should_preserve(content, preserve), literal).otherwise(replaced)
         return F.when(wanted, replaced).otherwise(literal)
 
+    def new_cell(cell: Column, kind: Column) -> Column:
+        """A cell with the blanks around its literal."""
+        literal = F.trim(cell, F.lit(" \t\r\n"))
+        lead = F.length(cell) - F.length(F.ltrim(cell, F.lit(" \t\r\n")))
+        tail = F.substring(cell, lead + F.length(literal) + 1, F.length(cell))
+        return F.concat(F.left(cell, lead), new_literal(literal, kind), tail)
+
     def new_tuple(row: Column) -> Column:
+        inner = F.substring(row, F.lit(2), F.length(row) - 2)
+        cells = F.regexp_extract_all(inner, F.lit(_VALUE), F.lit(0))
         changed = F.zip_with(
-            _values(row),
-            F.col("kinds"),
-            lambda literal, kind: F.when(literal.isNotNull(), new_literal(literal, kind)),
+            cells, F.col("kinds"), lambda cell, kind: F.when(cell.isNotNull(), new_cell(cell, kind))
         )
-        return F.concat(F.lit("("), F.array_join(changed, ", "), F.lit(")"))
+        return F.concat(F.lit("("), F.array_join(F.filter(changed, lambda c: c.isNotNull()), ","), F.lit(")"))
 
     with_kinds = dump.withColumn("kinds", kinds)
     affected = F.exists("kinds", lambda k: k.isNotNull())
-    rebuilt = F.concat(F.col("head"), F.array_join(F.transform("tuples", new_tuple), ", "))
+    tokens = F.regexp_extract_all("values", F.lit(_TOKEN), F.lit(0))
+    changed = F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit("(")), new_tuple(t)).otherwise(t))
+    rebuilt = F.concat(F.col("head"), F.array_join(changed, ""), F.col("rest"))
     return with_kinds.select(
-        F.when(F.col("head").isNotNull() & affected, rebuilt)
-        .otherwise(F.col("statement"))
-        .alias("statement")
+        F.when(F.coalesce(affected, F.lit(False)), rebuilt).otherwise(F.col("statement")).alias("statement")
     )
 
 
 def sql_literal(value: Column) -> Column:
-    """NULL, or the value as a string literal with backslash escapes."""
+    """NULL, or the value as a string literal with backslash escapes, line breaks among them."""
     text = value.cast("string")
     escaped = F.regexp_replace(text, r"(['\"\\])", r"\\$1")
-    escaped = F.replace(escaped, F.lit("\u0000"), F.lit("\\0"))
+    for sign, written in (("\u0000", "\\0"), ("\n", "\\n"), ("\r", "\\r")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(written))
     return F.when(text.isNull(), "NULL").otherwise(F.concat(F.lit("'"), escaped, F.lit("'")))
 
 
@@ -227,12 +313,8 @@ def write_insert_dump(
 
 
 def export_table(df: DataFrame, table: str, path: str, mode: str = "errorifexists") -> None:
-    """INSERT statements behind comment lines with the table name and row count."""
-    placed = df.select(F.spark_partition_id().alias("partition"))
-    rows, partition = placed.agg(F.count(F.lit(1)), F.min("partition")).first()
-    statements = to_insert_statements(df, table)
-    comment = f"-- Export: {table}\n-- Rows: {rows}\n\n"
-    # the first row of the first partition that has one
-    first = F.monotonically_increasing_id() == ((partition or 0) << 33)
-    headed = F.when(first, F.concat(F.lit(comment), F.col("statement"))).otherwise(F.col("statement"))
-    write_insert_dump(statements.select(headed.alias("statement")), path, mode=mode)
+    """INSERT statements behind comment lines with the table name and row count. The comment is
+    a row of its own in front, so it is there in any layout and for an empty table."""
+    comment = F.concat(F.lit(f"-- Export: {table}\n-- Rows: "), F.count(F.lit(1)).cast("string"), F.lit("\n-- "))
+    header = df.agg(comment.alias("statement"))
+    write_insert_dump(header.unionByName(to_insert_statements(df, table)), path, mode=mode)

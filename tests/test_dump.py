@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from incognita.functions import PreserveRules
 from incognita.sources import (
     dump_rows,
@@ -140,3 +142,62 @@ def test_windows_line_ends(spark, tmp_path):
     path.write_bytes(b"INSERT INTO t (a) VALUES ('x');\r\nINSERT INTO t (a) VALUES ('y');\r\n")
     dump = read_insert_dump(spark, str(path), statement_end=";\r\n")
     assert {r["a"] for r in dump_table(dump, "t", ["a"]).collect()} == {"x", "y"}
+
+
+HARD = [
+    "INSERT INTO users (id, name) VALUES (1,'Bob') ON DUPLICATE KEY UPDATE name=VALUES(name)",
+    "insert into users (id, name) values (f(g(1, ')'), h()), 'Bob'),\n  ( 3 , 'Eve' )",
+    "/* a\n block 'comment */\n-- it's one\nINSERT IGNORE INTO `db`.`users` (`id`, `name`) VALUES (1, \"B\\\"ob\")",
+    "INSERT INTO other VALUES (1, 'Bob')",
+    "CREATE TABLE users (id int, name text)",
+    "INSERT INTO users (id, name) VALUES (1, 'semi;\\nline')",
+]
+
+
+def _rewritten(spark, statements, **options):
+    dump = parse_inserts(spark.createDataFrame([(s,) for s in statements], "statement string"))
+    out = pseudonymize_insert_dump(dump, {"users": {"name": "first_name"}}, **options)
+    return [r.statement for r in out.collect()]
+
+
+def test_nothing_but_the_literals_changes(spark):
+    out = _rewritten(spark, HARD)
+    literal = re.compile(r"""'Bob'|"B\\"ob"|'Eve'|'semi;\\nline'""")
+    for before, after in zip(HARD, out):
+        if before.startswith(("INSERT INTO other", "CREATE")):
+            assert after == before
+            continue
+        pattern = "(?:'[^']*'|\"[^\"]*\")".join(re.escape(x) for x in literal.split(before))
+        assert re.fullmatch(pattern, after, re.S) and after != before and not literal.search(after)
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "INSERT INTO users VALUES (1, 'Bob')",
+        "INSERT INTO users (id, name) SELECT 1, 'Bob'",
+        "INSERT INTO users (id, name) VALUES (1, 'Bob') (2, 'Eve')",
+        "INSERT INTO users (id, name) VALUES (1, ((((((((2)))))))), 'Bob')",
+    ],
+)
+def test_what_cannot_be_taken_apart_is_an_error(spark, statement):
+    with pytest.raises(Exception, match="taken apart"):
+        _rewritten(spark, [statement])
+
+
+def test_columns_told_by_the_caller(spark):
+    out = _rewritten(spark, ["INSERT INTO users VALUES (1, 'Bob')"], layouts={"users": ["id", "name"]})
+    assert "Bob" not in out[0] and out[0].startswith("INSERT INTO users VALUES (1, '")
+
+
+def test_statement_ends_inside_literals(spark, tmp_path):
+    rows = [(1, "a;\nb"), (2, "c\\n;\r\nd'\"\\"), (3, "\t\u0000"), (4, None)]
+    df = spark.createDataFrame(rows, "id string, name string").coalesce(1)
+    path = str(tmp_path / "out")
+    write_insert_dump(to_insert_statements(df, "t"), path)
+    back = dump_table(read_insert_dump(spark, path), "t", df.columns)
+    assert sorted(tuple(r) for r in back.collect()) == [(str(i), v) for i, v in rows]
+    foreign = tmp_path / "foreign.sql"
+    foreign.write_text("INSERT INTO t (id, name) VALUES (1, 'a;\nb');\n")
+    with pytest.raises(Exception, match="not closed"):
+        dump_table(read_insert_dump(spark, str(foreign)), "t", ["id", "name"]).collect()
