@@ -233,7 +233,7 @@ ORACLE["read_csv_sniffed"] = f"""
 SELECT id::VARCHAR AS id, name, coalesce(email, '') AS email, phone, birthdate, city, zip,
   age::VARCHAR AS age, segment, balance::VARCHAR AS balance FROM ({PEOPLE})"""
 ORACLE["write_csv"] = f"""
-SELECT id || '|' || name || '|"say \\"' || segment || '\\" | ' || city || '"|' || phone AS line
+SELECT id || '|' || name || '|"say ""' || segment || '"" | ' || city || '"|' || phone AS line
 FROM ({PEOPLE})"""
 ORACLE["read_json"] = """
 SELECT o_orderkey AS order_id, 'Firma ' || (o_custkey % 50) AS company,
@@ -649,3 +649,51 @@ def _redacted() -> str:
 ORACLE["redact_document"] = _redacted()
 ORACLE["drop_expired"] = """
 SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-04' - INTERVAL 36 HOUR"""
+
+
+# --- hard inputs ------------------------------------------------------------
+_HARD_HEAD = (
+    "'/* order' || chr(10) || ' it''s ' || o_orderkey || ' */' || chr(10) || '-- don''t' || chr(10) "
+    "|| 'INSERT IGNORE INTO `db`.`users` (`id`, `name`, `note`) VALUES' || chr(10)"
+)
+_ONE = "(o_orderpriority || chr(39) || ';' || chr(10) || 'x')"
+_TWO = "('(' || o_custkey || ') \", ' || chr(92))"
+ORACLE["rewrite_hard_dump"] = f"""
+SELECT o_orderkey, {_HARD_HEAD} || '(f(g(' || o_orderkey || ', '')''), h()), ''' || {fake('last_name', _ONE)} || ''', NULL),'
+  || chr(10) || '  ( ' || o_custkey || ' , "' || {fake('last_name', _TWO)} || '" , ''x;'' )'
+  || ' ON DUPLICATE KEY UPDATE name = VALUES(name)' AS statement FROM orders"""
+ORACLE["read_csv_by_hand"] = r"""
+SELECT c_custkey::VARCHAR AS id, 'say "hi", ' || c_custkey || '; ok' AS note, '' AS blank,
+  'a\"b ' || c_nationkey AS kept, ' ' || c_name || ' ' AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS last
+FROM customer"""
+ORACLE["dump_analysis"] = """
+SELECT t AS "table", c AS "column", d AS detected, k AS type, n AS statements FROM (VALUES
+  ('users', 'id', false, NULL), ('users', 'name', true, 'full_name'), ('users', 'email', true, 'email'), ('users', 'city', true, 'city'),
+  ('firms', 'id', false, NULL), ('firms', 'company', true, 'company')) v(t, c, d, k)
+JOIN (SELECT 'users' AS t, count(*) AS n FROM customer UNION ALL SELECT 'firms', count(*) FROM supplier) USING (t)"""
+ORACLE["export_tables"] = """
+SELECT 'customer' AS "table", '-- Export: customer' AS line, 1::BIGINT AS n UNION ALL
+SELECT 'customer', '-- Rows: ' || count(*), 1 FROM customer UNION ALL
+SELECT 'customer', 'row', count(*) FROM customer UNION ALL
+SELECT 'nation', '-- Export: nation', 1 UNION ALL
+SELECT 'nation', '-- Rows: ' || count(*), 1 FROM nation UNION ALL
+SELECT 'nation', 'row', count(*) FROM nation"""
+ORACLE["rules_from_frame"] = f"""
+SELECT id, {fake('full_name', 'name')} AS name, city, {fake('phone', 'phone')} AS phone FROM ({PEOPLE})"""
+ORACLE["session_tables"] = ORACLE["list_tables"]
+ORACLE["detect_own_pattern"] = """
+SELECT c_custkey AS id, c_custkey % 2 = 0 AS found, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' at home' END AS value FROM customer"""
+ORACLE["apply_mapping_repeated"] = f"""
+SELECT id, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE 'City ' || s_nationkey = p.city)
+  THEN least({fake('city', 'p.city', 'one')}, {fake('city', 'p.city', 'two')}) ELSE {fake('city', 'p.city')} END AS city
+FROM ({PEOPLE}) p"""
+ORACLE["apply_mapping_unique"] = f"""
+WITH p AS (SELECT id, age::VARCHAR AS age, (DATE '1950-01-01' + (id % 9000)::INT)::VARCHAR AS born FROM ({PEOPLE})),
+o AS (SELECT DISTINCT 'age' AS type, age AS original FROM p UNION SELECT 'birthdate', born FROM p),
+b AS (SELECT *, {num(md('bucket', 'original'), 0, 4096)} AS bucket FROM o),
+n AS (SELECT *, (row_number() OVER (PARTITION BY type, bucket ORDER BY original) - 1) * 4096 + bucket AS no FROM b)
+SELECT p.id, (a.no + 18)::INT AS age, DATE '1900-01-01' + d.no::INT AS born FROM p
+JOIN n a ON a.type = 'age' AND a.original = p.age JOIN n d ON d.type = 'birthdate' AND d.original = p.born"""
+ORACLE["preserve_many_rules"] = f"""
+SELECT id, CASE WHEN EXISTS (SELECT 1 FROM range(1, 1501) r(i) WHERE contains(lower(name), lpad((r.i * 7)::VARCHAR, 9, '0')))
+  THEN name ELSE {fake('full_name', 'name')} END AS name FROM ({PEOPLE}) p"""

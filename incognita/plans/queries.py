@@ -14,6 +14,7 @@ from incognita import sources as src
 from incognita import streaming
 from incognita.functions.fakes import GENERATORS
 from incognita.plans import inputs as inp
+from incognita.rules import Pattern
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -664,3 +665,148 @@ def drop_expired(spark, sf):
     events = inp.table(spark, sf, "events")
     kept = op.drop_expired(events, "ts", timedelta(hours=36), datetime(2024, 1, 4))
     return kept.select("event_id", "user_id", "event_type")
+
+
+# --- hard inputs ----------------------------------------------------------
+
+
+@query
+def rewrite_hard_dump(spark, sf):
+    """Statements with comments over lines, a qualified name, nested calls, quotes and line ends
+    in literals and a tail, one per order; every character of what comes out."""
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    statement = F.concat(
+        F.lit("/* order\n it's "),
+        key,
+        F.lit(" */\n-- don't\nINSERT IGNORE INTO `db`.`users` (`id`, `name`, `note`) VALUES\n(f(g("),
+        key,
+        F.lit(", ')'), h()), '"),
+        F.col("o_orderpriority"),
+        F.lit("'';\\nx', NULL),\n  ( "),
+        cust,
+        F.lit(' , "('),
+        cust,
+        F.lit(') \\", \\\\" , \'x;\' ) ON DUPLICATE KEY UPDATE name = VALUES(name)'),
+    )
+    orders = inp.table(spark, sf, "orders").select("o_orderkey", statement.alias("statement"))
+    rules = {"users": {"name": "last_name"}}
+    return src.pseudonymize_insert_dump(src.parse_inserts(orders), rules, keep=["o_orderkey"])
+
+
+@query
+def read_csv_by_hand(spark, sf):
+    """A file whose lines are written by hand: doubled quotes, quotes behind backslashes,
+    delimiters in quotes, empty cells, blanks."""
+    path = inp.folder(spark, "csv")
+    customers = inp.table(spark, sf, "customer")
+    key = F.col("c_custkey").cast("string")
+    line = F.concat(
+        key,
+        F.lit(';"say ""hi"", '),
+        key,
+        F.lit('; ok";;"a\\"b '),
+        F.col("c_nationkey").cast("string"),
+        F.lit('"; '),
+        F.col("c_name"),
+        F.lit(" ;"),
+        F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")),
+    )
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    header = F.lit("id;note;blank;kept;name;last")
+    lines = customers.select(F.explode(F.when(first, F.array(header, line)).otherwise(F.array(line))).alias("value"))
+    lines.write.text(path)
+    return src.read_csv_sniffed(spark, path)
+
+
+@query
+def dump_analysis(spark, sf):
+    """Tables and columns of a dump with their verdicts and the number of statements."""
+    path = inp.folder(spark, "dump")
+    users = src.to_insert_statements(inp.customers(spark, sf).select("id", "name", "email", "city"), "users", 1)
+    firms = src.to_insert_statements(inp.suppliers(spark, sf).select("id", "company"), "firms", 1)
+    src.write_insert_dump(users.unionByName(firms), path)
+    dump = src.read_insert_dump(spark, path)
+    verdicts = op.detect_columns(src.dump_schema(dump))
+    counts = dump.where("table IS NOT NULL").groupBy("table").agg(F.count(F.lit(1)).alias("statements"))
+    return verdicts.join(counts, "table").select("table", "column", "detected", "type", "statements")
+
+
+@query
+def export_tables(spark, sf):
+    """Exports with header of two tables: comment lines, and rows counted."""
+    out = None
+    for name in ("customer", "nation"):
+        path = inp.folder(spark, "dump")
+        src.export_table(inp.table(spark, sf, name), name, path)
+        dump = src.read_insert_dump(spark, path)
+        comments = dump.where("table IS NULL").select(F.explode(F.split("statement", "\n")).alias("line"))
+        comments = comments.where(F.length("line") > 3)
+        rows = src.dump_rows(dump).select(F.lit("row").alias("line"))
+        one = comments.unionByName(rows).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+        one = one.select(F.lit(name).alias("table"), "line", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def rules_from_frame(spark, sf):
+    """Confirmed rules read from a frame and applied."""
+    rows = [
+        ("people", "name", "full_name", "pseudonymize"),
+        ("people", "city", "city", "keep"),
+        ("people", "phone", "phone", "pseudonymize"),
+    ]
+    rules = op.rules_from_frame(spark.createDataFrame(rows, "table string, column string, type string, action string"))
+    people = inp.customers(spark, sf).select("id", "name", "city", "phone")
+    return op.pseudonymize_tables({"people": people}, rules)["people"]
+
+
+@query
+def session_tables(spark, sf):
+    """The tables a session lists, with their counts."""
+    tables = inp.all_tables(spark, sf)
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    listed = op.list_tables(spark).where(F.col("name").isin(list(tables)))
+    counts = op.row_counts(tables).withColumnRenamed("table", "name")
+    return listed.join(counts, "name").select("name", "row_count")
+
+
+@query
+def detect_own_pattern(spark, sf):
+    """An own pattern under the name of a built-in type."""
+    own = [Pattern("email", r"\w+ at home", 5, "email")]
+    place = F.when(F.col("c_custkey") % 2 == 0, "at home").otherwise("at work")
+    texts = inp.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat_ws(" ", F.lit("x"), "c_mktsegment", place).alias("text")
+    )
+    found = fn.find_all(F.col("text"), own)
+    verdict = fn.detect_value(F.col("text"), own)
+    return texts.select("id", verdict.isNotNull().alias("found"), F.get(found, F.lit(0))["value"].alias("value"))
+
+
+@query
+def apply_mapping_repeated(spark, sf):
+    """A mapping that holds two fakes for each original."""
+    firms = {"suppliers": inp.suppliers(spark, sf)}
+    rules = {"suppliers": {"city": "city"}}
+    twice = op.build_mapping(firms, rules, seed="one").unionByName(op.build_mapping(firms, rules, seed="two"))
+    return op.apply_mapping(inp.customers(spark, sf).select("id", "city"), twice, {"city": "city"})
+
+
+@query
+def apply_mapping_unique(spark, sf):
+    """Unique fakes on columns of numbers and dates."""
+    born = F.date_add(F.lit("1950-01-01").cast("date"), (F.col("id") % 9000).cast("int"))
+    people = inp.customers(spark, sf).select("id", "age", born.alias("born"))
+    rules = {"age": "age", "born": "birthdate"}
+    mapping = op.build_mapping({"people": people}, {"people": rules}, unique=True)
+    return op.apply_mapping(people, mapping, rules)
+
+
+@query
+def preserve_many_rules(spark, sf):
+    """More rules than fit an expression each."""
+    keep = fn.PreserveRules(tuple(f"{7 * i:09d}" for i in range(1, 1501)), mode="strict")
+    people = inp.customers(spark, sf).select("id", "name")
+    return op.pseudonymize_table(people, {"name": "full_name"}, preserve=keep)

@@ -193,8 +193,9 @@ def pseudonymize_insert_dump(
     seed: str = fk.DEFAULT_SEED,
     preserve: PreserveRules | None = None,
     layouts: dict[str, list[str]] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """The statements with the quoted literals of the rule columns replaced in their
+    """The statements (and the columns named in ``keep``) with the quoted literals of the rule columns replaced in their
     own quotes. NULL, numbers and function calls stay, and so does every other character:
     blanks, comments, what follows the tuples, statements that are no INSERT. One row per
     statement, nothing is shuffled.
@@ -209,7 +210,7 @@ def pseudonymize_insert_dump(
             if rule.get("action", "pseudonymize") == "pseudonymize":
                 types[table, column] = rule["type"]
     if not types:
-        return dump.select("statement")
+        return dump.select(*(keep or []), "statement")
 
     def type_of(table: Column, column: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -262,6 +263,7 @@ def pseudonymize_insert_dump(
     changed = F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit("(")), new_tuple(t)).otherwise(t))
     rebuilt = F.concat(F.col("head"), F.array_join(changed, ""), F.col("rest"))
     return with_kinds.select(
+        *(keep or []),
         F.when(F.coalesce(affected, F.lit(False)), rebuilt).otherwise(F.col("statement")).alias("statement")
     )
 
