@@ -12,7 +12,6 @@ from incognita.operators.catalog import (
 )
 from incognita.operators.json_docs import (
     detect_json_keys,
-    infer_json_schema,
     json_keys,
     preview_rows,
     pseudonymize_json,
@@ -51,7 +50,6 @@ __all__ = [
     "document_profile",
     "drop_expired",
     "findings",
-    "infer_json_schema",
     "json_keys",
     "list_tables",
     "make_unique",

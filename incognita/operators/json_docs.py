@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +59,8 @@ def _is_scalar(dtype: T.DataType) -> bool:
 
 def _touches(dtype: T.DataType, types: dict[str, str]) -> bool:
     """Whether some rule applies inside; untouched subtrees are passed through."""
+    if not types:
+        return False
     if isinstance(dtype, T.StructType):
         return any(
             (f.name in types and _is_scalar(f.dataType)) or _touches(f.dataType, types)
@@ -131,13 +136,6 @@ def pseudonymize_json(
     return df.select(*out)
 
 
-def infer_json_schema(df: DataFrame, column: str) -> T.DataType:
-    """Schema over all texts of a JSON string column: one distributed aggregate.
-    Invalid JSON fails the job."""
-    ddl = df.agg(F.schema_of_variant_agg(F.parse_json(quoted(column))).alias("s")).first()["s"]
-    return T._parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<"))
-
-
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _NUMBER = r"-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?"
 
@@ -191,7 +189,8 @@ def pseudonymize_json_text(
             fk.digest(part["kind"], part["value"], seed),
             lambda key: fk.generate_by(part["kind"], sorted(set(types.values())), part["value"], key),
         )
-        new = F.concat(F.lit('"'), made, F.lit('"'))
+        escaped = F.replace(F.replace(made, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        new = F.concat(F.lit('"'), escaped, F.lit('"'))
         keep = should_preserve(part["value"], preserve)
         return F.concat(part["before"], F.when(keep, part["literal"]).otherwise(new))
 
@@ -214,48 +213,46 @@ def pseudonymize_json_text(
     return df.withColumn(column, checked)
 
 
-def _paths(schema: T.DataType, path: str = "$") -> list[tuple[str, str]]:
-    """(key, path) of every key; arrays are looked into through their first element."""
-    if isinstance(schema, T.ArrayType):
-        return _paths(schema.elementType, path + "[0]")
-    if not isinstance(schema, T.StructType):
-        return []
-    out = []
-    for f in schema.fields:
-        below = path + "['" + f.name.replace("'", "\\'") + "']"
-        out.append((f.name, below))
-        out.extend(_paths(f.dataType, below))
-    return out
+def _keys(text: str) -> set[str]:
+    """Keys at all depths; arrays are looked into through their first element."""
+
+    def refused(name: str) -> None:
+        raise ValueError(f"{name} is no JSON")
+
+    found: set[str] = set()
+    open_nodes = [json.loads(text, parse_constant=refused)]
+    while open_nodes:
+        node = open_nodes.pop()
+        if isinstance(node, dict):
+            found.update(node)
+            open_nodes.extend(node.values())
+        elif isinstance(node, list) and node:
+            open_nodes.append(node[0])
+    return found
 
 
 def json_keys(df: DataFrame, column: str) -> DataFrame:
     """Distinct keys at all depths of a JSON text column, of arrays of objects only
     those of the first element; with the number of texts that hold the key.
 
-    Two aggregates over the column: the merged schema, then the presence of each
-    of its paths. Nothing but one row of counts leaves the executors.
+    Each text gives its keys once, counts are merged in each task, then shuffled by key: any
+    number of keys, under any number of parents, and nothing in the driver. A text that is no
+    JSON raises an error; NULL has no keys.
     """
-    paths = _paths(infer_json_schema(df, column))
-    by_key: dict[str, list[str]] = {}
-    for key, path in paths:
-        by_key.setdefault(key, []).append(path)
-    doc = F.col("__doc")
-
-    def present(options: list[str]) -> Column:
-        return reduce(
-            Column.__or__, [F.variant_get(doc, p, "variant").isNotNull() for p in options]
-        )
 
-    parsed = df.select(F.parse_json(quoted(column)).alias("__doc"))
-    counts = parsed.agg(
-        F.array(
-            *[
-                F.struct(F.lit(k).alias("key"), F.count_if(present(p)).alias("documents"))
-                for k, p in by_key.items()
-            ]
-        ).alias("keys")
-    )
-    return counts.select(F.inline("keys")).where("documents > 0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                if text is not None:
+                    counts.update(_keys(text))
+            yield pa.RecordBatch.from_pydict(
+                {"key": list(counts), "n": list(counts.values())},
+                schema=pa.schema([("key", pa.string()), ("n", pa.int64())]),
+            )
+
+    found = df.select(F.col(quoted(column)).cast("string")).mapInArrow(run, "key string, n long")
+    return found.groupBy("key").agg(F.sum("n").alias("documents"))
 
 
 def detect_json_keys(df: DataFrame, column: str) -> DataFrame:

@@ -191,3 +191,16 @@ def test_write_table(spark, tmp_path):
     df = spark.range(10).selectExpr("id", "id % 2 AS part")
     src.write_table(df, str(tmp_path / "t"), partition_by=["part"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+def test_json_keys_of_wide_and_deep_data(spark):
+    many = [('{"u%d": {"it\'s a.key \\"%d": 1, "same": {"same": [[{"x": null}]]}}}' % (i, i % 3),) for i in range(2000)]
+    got = {r["key"]: r["documents"] for r in op.json_keys(spark.createDataFrame(many, "doc string"), "doc").collect()}
+    assert len(got) == 2005 and got["same"] == got["x"] == 2000 and got["u7"] == 1
+    assert sum(n for k, n in got.items() if k.startswith("it's")) == 2000
+    assert op.json_keys(spark.createDataFrame([(None,)], "doc string"), "doc").collect() == []
+
+
+def test_map_without_rules_stays(spark):
+    df = spark.createDataFrame([({"a": 1},)], "m map<string,int>")
+    assert op.pseudonymize_json(df, {}).schema == df.schema
