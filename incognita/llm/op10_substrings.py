@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from incognita.llm.common import mix, pieces, powers, prefix_hash, small_batches, span_hash, table, written
@@ -314,9 +314,11 @@ def repeated_spans(
     single = single.mapInArrow(_windows(length), "anchor long, seg long, low long, one long, two long")
     single = written(single, "windows")
     again = single.groupBy("anchor", "one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hot = single.join(again, ["anchor", "one", "two"]).select("anchor", "seg", "low", (F.col("low") + 1).alias("high"))
+    hot = written(single.join(again, ["anchor", "one", "two"]).select("anchor", "seg", "low").distinct(), "windows")
+    run = F.col("low") - F.row_number().over(Window.partitionBy("anchor", "seg").orderBy("low"))
+    hot = hot.withColumn("run", run).groupBy("anchor", "seg", "run").agg(F.min("low").alias("low"), (F.max("low") + 1).alias("high"))
 
-    found = written(deep.unionByName(hot), "marks")
+    found = written(deep, "marks").unionByName(written(hot.drop("run"), "marks"))
     found = found.unionByName(kinds.filter("n > 1").select("anchor", "seg", F.lit(0).cast("long").alias("low"), F.col("windows").alias("high")))
     first = F.col("start") + F.col("low")
     spans = varied.join(found, ["anchor", "seg"]).select(
