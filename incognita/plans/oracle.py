@@ -697,3 +697,28 @@ JOIN n a ON a.type = 'age' AND a.original = p.age JOIN n d ON d.type = 'birthdat
 ORACLE["preserve_many_rules"] = f"""
 SELECT id, CASE WHEN EXISTS (SELECT 1 FROM range(1, 1501) r(i) WHERE contains(lower(name), lpad((r.i * 7)::VARCHAR, 9, '0')))
   THEN name ELSE {fake('full_name', 'name')} END AS name FROM ({PEOPLE}) p"""
+
+# A look-behind and a look-ahead: every place is tried, the neighbour before it looked at by
+# itself, the one behind matched outside the group; then the left-most that do not overlap.
+_PHONE = r"^((?:\+49|0)[\s\-]?(?:\d[ \-]?){5,18}\d)(?:\D|$)"
+_GERMAN_IBAN = r"\bDE\d{2}[ ]?(?:\d{4}[ ]?){4}\d{2}\b"
+ORACLE["find_all_corrected"] = rf"""
+WITH RECURSIVE t AS ({ORDER_TEXT}),
+c AS MATERIALIZED (
+  SELECT id, (p - 1)::INT AS start, (p - 1 + length(m))::INT AS "end", m AS value FROM (
+    SELECT id, p, regexp_extract(substr(text, p), '{_PHONE}', 1) AS m
+    FROM (SELECT id, text, unnest(range(1, length(text) + 1)) AS p FROM t)
+    WHERE substr(text, p, 1) IN ('0', '+') AND NOT (p > 1 AND regexp_matches(substr(text, p - 1, 1), '[A-Za-z0-9_-]'))
+  ) WHERE m <> ''
+),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start) AS rn FROM c),
+walk AS (
+  SELECT id, rn, "end" FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.id, r.rn, r."end" FROM r JOIN (
+    SELECT w.id, min(x.rn) AS rn FROM walk w JOIN r x ON x.id = w.id AND x.start >= w."end" GROUP BY w.id) nx
+    ON r.id = nx.id AND r.rn = nx.rn
+)
+SELECT r.id, start, r."end", 'phone_de' AS type, value, 9 AS score FROM r JOIN walk w ON w.id = r.id AND w.rn = r.rn
+UNION ALL SELECT id, {FINDING} FROM ({finds(ORDER_TEXT, 'id', [("iban", 10, _GERMAN_IBAN, "iban")])})
+UNION ALL SELECT id, {FINDING} FROM ({finds(ORDER_TEXT, 'id', [*only("iban"), *only("date_iso")])})"""
