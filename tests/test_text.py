@@ -1,5 +1,6 @@
 """Pattern search and replacement against a plain per-text reading of the rules."""
 
+import datetime
 import re
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from incognita import functions as fn
 from incognita import operators as op
 from incognita import rules as R
+from incognita.rules import Pattern
 
 # Fragments that match, nearly match or touch each other.
 FRAGMENTS = st.sampled_from(
@@ -196,3 +198,34 @@ def test_preserved_flag(spark):
     df = frame(spark, ["info@probe.example x@y.de"])
     rows = op.findings(df, types=["email"], preserve=fn.PreserveRules(("info",), mode="strict")).collect()
     assert [(r["value"], r["preserved"]) for r in rows] == [("info@probe.example", True), ("x@y.de", False)]
+
+
+def test_own_pattern_under_a_built_in_name(spark):
+    own = [Pattern("email", r"\w+ at \w+", 5, "email"), Pattern("iban", r"\bx\d", 5, "iban")]
+    df = spark.createDataFrame([("ann at home",), ("a@b.de",), ("x1 éx2",)], "text string")
+    got = [[(m.type, m.value) for m in r[0]] for r in df.select(fn.find_all(F.col("text"), own)).collect()]
+    assert got == [[("email", "ann at home")], [], [("iban", "x1"), ("iban", "x2")]]
+    assert df.select(fn.detect_value(F.col("text"), own)["type"]).collect() == [("email",), (None,), ("iban",)]
+
+
+def test_names_with_dots_and_clashes(spark):
+    df = spark.createDataFrame([(1, "mail a@b.de", "x")], "`k.1` int, `the text` string, `a.b` string")
+    found = op.findings(df, "the text").collect()
+    assert found[0]["k.1"] == 1 and found[0]["a.b"] == "x" and found[0]["value"] == "a@b.de"
+    assert op.document_findings(df, "the text").first()["position"] == 5
+    assert op.document_profile(df, "the text").first()["total_findings"] == 1
+    with pytest.raises(ValueError, match="rename"):
+        op.findings(df.withColumnRenamed("a.b", "Value"), "the text")
+
+
+def test_sheet_without_strings_has_no_findings(spark):
+    df = spark.createDataFrame([(1, 2.5)], "id int, amount double")
+    out = op.scan_cells(df, "s", "id")
+    assert out.collect() == [] and out.columns == ["sheet", "row", "column", "type", "value", "score"]
+
+
+def test_only_full_dates_are_moved(spark):
+    df = spark.createDataFrame([("2024",), ("2024-1",), ("2024-01-01",)], "v string")
+    a, b, c = (r[0] for r in df.select(fn.fake("birthdate", F.col("v"))).collect())
+    far = [abs((datetime.date.fromisoformat(x) - datetime.date(2024, 1, 1)).days) for x in (a, b, c)]
+    assert far[2] <= 365 and all(datetime.date(1970, 1, 1) <= datetime.date.fromisoformat(x) < datetime.date(2025, 1, 1) for x in (a, b))
