@@ -119,8 +119,10 @@ def held_against(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     linked = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
+    # written before the sums, so that Spark can split the pairs of one partner
+    held = written(pairs.join(left, "a").join(right, "b").select("a", "b", linked.alias("linked")), "held")
     # an id that is repeated with other texts has several sets
-    return pairs.join(left, "a").join(right, "b").groupBy("a", "b").agg(F.max(linked).alias("linked"))
+    return held.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -230,7 +232,7 @@ def mixed_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
         F.ceil(F.col("top.n") / BLOCK).cast("int").alias("main_blocks"),
         F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"),
     )
-    cut = placed.join(lists, "key")
+    cut = placed.join(written(lists, "mixed"), "key")
     in_main = F.col("part") == F.col("main")
     rest = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
     own = F.when(in_main, F.pmod(F.xxhash64("rep"), F.col("main_blocks"))).otherwise(
@@ -271,18 +273,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "signatures"
     )
     linked = features.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    groups = linked.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # every set once, by its least document; all copies have the same signature
-    own = linked.select("d1", "d2", "n_shingles", F.col("doc_id").alias("rep"), "keys")
-    reps = written(groups.join(own, ["d1", "d2", "n_shingles", "rep"]).select("rep", "keys").distinct(), "reps")
+    least = linked.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "keys")).alias("m"))
+    known = written(least.select("d1", "d2", "n_shingles", F.col("m.doc_id").alias("rep"), "m.keys"), "reps")
+    groups, reps = known.drop("keys"), known.select("rep", "keys")
     lists = written(prefix_lists(reps), "lists")
     ids = lists.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>"), "sets")
 
     # one partner each: the member of most of a signature's lists that is closest to all
     heads = lists.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("least"))).alias("top"))
+    heads = written(heads.select("key", (-F.col("top.least")).alias("b")), "heads")
     partner = (
-        lists.join(heads.select("key", (-F.col("top.least")).alias("b")), "key")
+        lists.join(heads, "key")
         .filter("rep <> b")
         .groupBy(F.col("rep").alias("a"), "b")
         .agg(F.count(F.lit(1)).alias("n"))
