@@ -19,6 +19,7 @@ from incognita.llm.op6_secrets import fit_model as fit_secrets
 from incognita.llm.op6_secrets import scan
 from incognita.llm.op7_pieces import encode, load_pieces, model_path
 
+WORDS, PERCENT = 5, 80  # near duplicates here: shingles of five words, similarity 0.8 or more
 TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
 
 
@@ -52,12 +53,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id.
 
-    Of rows that repeat this doc_id, the row that is least by text, then by the other columns,
+    Linked are texts that share 80 % of their five-word shingles, also by way of others. Of rows that repeat this doc_id, the row that is least by text, then by the other columns,
     stays (NULL first). Rows without a doc_id stay; so do blank texts, which are no duplicates of
     each other.
     """
     n = free_name(docs, "rows_of_id")
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
+    kept = near_duplicates(docs, WORDS, PERCENT).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
     kept = written(kept, "kept")
     bare = docs.filter("doc_id IS NULL")
     once = docs.join(kept.filter(column(n) == 1), "doc_id", "left_semi")

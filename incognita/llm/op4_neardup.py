@@ -18,6 +18,7 @@ confirm on full sets and return only links that join components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from incognita.llm.common import LOWER, mix, pieces, powers, prefix_hash, small_
 from incognita.llm.components import connected_components
 
 COORDINATES = 32  # K
-COLLISIONS = 17  # T: a pair at J = 0.85 has fewer with a chance of 3.5 in a million, a closer one less
+MISSED = 4e-6  # chance, at most, that a pair just at the threshold collides on fewer than T
 BLOCK = 256
 SEED = 20_240_607
 
@@ -40,6 +41,17 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
     )
 
 
+def collisions(percent: int) -> int:
+    """T: the most coordinates that pairs at ``percent`` share but for a chance of MISSED; closer
+    pairs miss it less often. 17 at 85 % (3.5 in a million)."""
+    j, chance = percent / 100, 0.0
+    for t in range(COORDINATES):
+        chance += comb(COORDINATES, t) * j**t * (1 - j) ** (COORDINATES - t)
+        if chance > MISSED:
+            return max(t, 1)
+    return COORDINATES
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the distinct shingles of every row, sorted by row, then hash.
 
@@ -187,9 +199,9 @@ def _across(percent: int):
     return run
 
 
-def prefix_lists(reps: DataFrame) -> DataFrame:
-    """(key, rep, score): each signature under the rarest K - T + 1 of its coordinate-value pairs,
-    where another one has that pair in its prefix, too; ``score``: how common its pairs are.
+def prefix_lists(reps: DataFrame, least: int) -> DataFrame:
+    """(key, rep, score): each signature under the rarest K - T + 1 of its coordinate-value pairs
+    (T: ``least``), where another one has that pair in its prefix, too; ``score``: how common its pairs are.
 
     Pairs that no other signature has can't collide and are dropped after the count; they come
     first in the order, so what is left of the prefix is shorter by their number.
@@ -200,9 +212,9 @@ def prefix_lists(reps: DataFrame) -> DataFrame:
         posts.join(shared, "key")
         .groupBy("rep")
         .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("posts"), F.sum("df").alias("score"))
-        .filter(F.size("posts") >= COLLISIONS)
+        .filter(F.size("posts") >= least)
     )
-    head = F.slice("posts", F.lit(1), F.size("posts") - (COLLISIONS - 1))
+    head = F.slice("posts", F.lit(1), F.size("posts") - (least - 1))
     lists = ranked.select("rep", "score", F.explode(head).alias("post"))
     lists = written(lists.select(F.col("post.key").alias("key"), "rep", "score"), "lists")
     more = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
@@ -277,7 +289,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     least = linked.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "keys")).alias("m"))
     known = written(least.select("d1", "d2", "n_shingles", F.col("m.doc_id").alias("rep"), "m.keys"), "reps")
     groups, reps = known.drop("keys"), known.select("rep", "keys")
-    lists = written(prefix_lists(reps), "lists")
+    lists = written(prefix_lists(reps, collisions(percent)), "lists")
     ids = lists.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>"), "sets")
 

@@ -1,9 +1,12 @@
+import random
+from math import comb
+
 import corpus_pipeline as cp
 import data
 from test_op4 import shingles
 from test_op5 import sample
 
-from incognita.llm import op2_mixing, op6_secrets, op7_pieces
+from incognita.llm import op2_mixing, op4_neardup, op6_secrets, op7_pieces
 from incognita.llm.common import table
 
 
@@ -78,3 +81,33 @@ def test_unlabelled_documents_all_stay(spark):
     assert cp.quality(spark, docs, path).count() == len(data.rows())
     assert cp.mixing(spark, docs, path).count() == len(data.rows())
     assert op2_mixing.fit_rates(op2_mixing.memberships(docs, op2_mixing.fit_domains(docs, docs.selectExpr("doc_id", "lang AS domain"), ["xx"])), [1.0]).steps == []
+
+
+def fives(text):
+    words = text.lower().split()
+    return set(zip(*(words[i:] for i in range(5)), strict=False))
+
+
+def test_near_dedup_takes_five_words_and_80_percent(spark):
+    """Eight edits in 300 words are close at three words only, 62 words more at five words only;
+    random edits and tails on both sides of the threshold against every pair."""
+    rng, rows = random.Random(6), []
+    for i in range(60):
+        words = [f"w{i}x{k}" for k in range(300)]
+        more = [f"t{i}x{k}" for k in range(rng.choice([62, rng.randrange(40, 100)]))]
+        places = rng.sample(range(5, 295), rng.randrange(4, 10)) if i else [20 + 30 * k for k in range(8)]
+        other = words + more if i % 2 else [f"e{k}" if k in places else w for k, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words), "en", "s", 1), (2 * i + 1, " ".join(other), "en", "s", 1)]
+    sets = {r[0]: fives(r[1]) for r in rows}
+    far = {i for i in range(1, 120, 2) if 100 * len(sets[i] & sets[i - 1]) < 80 * len(sets[i] | sets[i - 1])}
+    at_3 = {i for i in range(1, 120, 2) if 100 * len(shingles(rows[i][1]) & shingles(rows[i - 1][1])) >= 85 * len(shingles(rows[i][1]) | shingles(rows[i - 1][1]))}
+    assert far & at_3 and set(range(1, 120, 2)) - far - at_3  # pairs of both kinds are there
+    kept = {r.doc_id for r in cp.near_dedup(spark, data.documents(spark, rows), "").collect()}
+    assert kept == far | set(range(0, 120, 2))
+
+
+def test_prefix_is_long_enough_at_each_threshold():
+    assert op4_neardup.collisions(85) == 17
+    for percent in (70, 80, 85, 95):
+        t, j = op4_neardup.collisions(percent), percent / 100
+        assert sum(comb(32, i) * j**i * (1 - j) ** (32 - i) for i in range(t)) <= 4e-6
