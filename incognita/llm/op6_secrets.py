@@ -2,12 +2,14 @@
 
 One model learns random strings, the other ordinary identifiers; a string is told by the ratio
 of the two likelihoods. The labelled samples come from the corpus itself: values that the fixed
-patterns have found (random) and long words elsewhere (ordinary).
+patterns have found (random) and long words elsewhere (ordinary). Words with digits have no label
+in a corpus, so the ordinary model also learns made-up dates, versions, numbers and names of files.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,9 +39,91 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
 
+IDENTIFIERS = 1500  # made-up identifiers with digits that the ordinary model is fitted on, too
+NAMES = """account archive article backup batch build chapter chart client config copy data default demo device
+draft edition example figure file final folder graph group header image index input invoice item layer letter level
+library license linux list local log main manual map meeting member message model module month name network node note
+number office order output package page paper part photo picture plan player point policy product profile project
+python record release report request result review sample scan scene screen section server session sheet source
+special station status step store student study summary system table target team template test text ticket title train
+update user value version video volume week window winter world year""".split()
+
 Span = tuple[str, int, int]
 
 
+def identifiers(n: int, seed: int = 20_240_607) -> list[str]:
+    """Ordinary strings with digits as WORD takes them: dates and times, versions, book, card, phone
+    and account numbers, paths, numbered names; the same at every call."""
+    rng = random.Random(seed)
+
+    def digits(k: int) -> str:
+        return "".join(rng.choice("0123456789") for _ in range(k))
+
+    def name() -> str:
+        word = rng.choice(NAMES)
+        return rng.choice([word, word, word, word.capitalize(), word.upper()])
+
+    def numbered() -> str:
+        return rng.choice(["", "", "v", name() + rng.choice(["", "-", "_"])]) + str(rng.randrange(10 ** rng.randint(1, 4)))
+
+    def day() -> str:
+        y, m, d = rng.randint(1950, 2049), rng.randint(1, 12), rng.randint(1, 28)
+        return rng.choice(["{0}-{1:02}-{2:02}", "{0}-{1:02}-{2:02}", "{0}/{1:02}/{2:02}", "{2:02}/{1:02}/{0}", "{0}{1:02}{2:02}"]).format(y, m, d)
+
+    def moment() -> str:
+        mark = rng.choice(["-", "", "_"])
+        clock = mark.join(f"{rng.randrange(x):02}" for x in (24, 60, 60))
+        return day() + rng.choice("_T-") + clock + rng.choice(["", "", "Z", "+0" + rng.choice("012") + "00"])
+
+    def version() -> str:
+        parts = rng.choice("-_").join(str(rng.randrange(rng.choice([3, 10, 40, 400]))) for _ in range(rng.randint(2, 4)))
+        return name() + rng.choice(["-", "_", "-v", "/v", "="]) + parts + rng.choice(["", "", "-" + name(), "-beta" + digits(1), "-rc" + digits(1), "-x86_64"])
+
+    def grouped(*sizes: int) -> str:
+        return rng.choice(["-", "-", "/"]).join(digits(k) for k in sizes)
+
+    def book() -> str:
+        a = rng.randint(2, 6)
+        tail = rng.choice("0123456789X") if rng.random() < 0.5 else digits(1)
+        return rng.choice(["978-", "979-", "ISBN-", "ISBN-978-"]) + f"{digits(rng.randint(1, 2))}-{digits(a)}-{digits(8 - a)}-{tail}"
+
+    def account() -> str:
+        country = rng.choice(["DE", "FR", "ES", "IT", "NL", "GB", "AT", "CH", "BE", "PL", "PT", "SE", "DK", "LU"])
+        bank = rng.choice(["", "", "", "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4))])
+        return country + digits(2) + bank + digits(rng.randint(12, 20))
+
+    def phone() -> str:
+        return "+" + rng.choice(["-", ""]).join([digits(rng.randint(1, 2)), digits(3), digits(rng.randint(3, 4)), digits(rng.randint(4, 5))])
+
+    def path() -> str:
+        parts = [rng.choice([name, name, numbered, day])() for _ in range(rng.randint(2, 5))]
+        return rng.choice(["/", ""]) + "/".join([*parts, numbered()])
+
+    def chain() -> str:
+        parts = [rng.choice([name, name, numbered])() for _ in range(rng.randint(1, 4))]
+        return rng.choice("-_-_=").join([*parts, rng.choice([numbered, numbered, day])()])
+
+    kinds = [
+        moment,
+        lambda: day() + rng.choice(["/", "_", "--", "-"]) + day(),
+        lambda: name() + rng.choice("-_") + rng.choice([day, moment])(),
+        version,
+        book,
+        lambda: grouped(4, 4, 4, 4),
+        lambda: grouped(*(rng.randint(1, 6) for _ in range(rng.randint(3, 6)))),
+        account,
+        phone,
+        path,
+        chain,
+    ]
+    out: list[str] = []
+    while len(out) < n:
+        made = kinds[len(out) % len(kinds)]()
+        if len(made) >= 16 and not made.isdigit():
+            out.append(made)
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches of the fixed patterns: leftmost, not overlapping within a kind, in code points."""
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -87,9 +171,12 @@ class SecretModel:
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, bool]], margin: float = MARGIN) -> SecretModel:
-        """From (string, is it random); without samples of both labels nothing is found later."""
+        """From (string, is it random) and, for the ordinary model, made-up identifiers with digits;
+        without samples of both labels nothing is found later."""
         samples = [[s for s, r in labelled if r is want] for want in (True, False)]
-        return cls(*(MarkovModel.fit(s) for s in samples), margin if all(samples) else float("inf"))
+        both = all(samples)
+        samples[1] += identifiers(IDENTIFIERS)
+        return cls(*(MarkovModel.fit(s) for s in samples), margin if both else float("inf"))
 
     def ratio(self, text: str) -> float:
         """Log-likelihood ratio per character; above ``margin`` the string counts as random."""

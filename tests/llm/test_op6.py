@@ -87,3 +87,45 @@ def test_redaction_and_clashing_columns(spark):
     docs = data.documents(spark, [(1, "a token=abcdefgh0123456789abcdef0123456789abcdef z", "en", "s", 1), (2, None, None, None, None)])
     out = op.scan(docs.withColumnRenamed("lang", "Spans"), None, redact=True).orderBy("doc_id").collect()
     assert [r.text for r in out] == ["a [assign] z", None] and out[0].spans.startswith("assign:2:")
+
+
+CLEAN = """2024-01-01_12-30-00 2024-01-01/2024-12-31 2021-03-04T10-11-12Z 978-3-16-148410-0 4207-0512-7910-8084
+DE89370400440532013000 GB29NWBK60161331926819 FR7630006000011234567890189 +49-170-1234567-89 1-800-555-0199-4321
+linux-image-6-18-44-generic openssl-1-1-1k-Release /usr/lib/python3/dist-packages /var/log/syslog-2024-01-01
+reports/2023/Q4/summary_v2 chapter12_section3 IMG_20240131_123456 INV-2024-000123456 ISO-IEC-27001-2013""".split()
+
+
+def labelled_rows():
+    """Texts in which the patterns find values of all kinds, besides long words, as a corpus has them."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+        long = "".join(rng.choice(data.WORDS[:13]) for _ in range(4))
+        rows.append((100 + i, f"{data.prose(20, i)} {value} {long} {key} token={value[:20]}", "en", "s", 1))
+    return rows
+
+
+def test_identifiers_with_digits_are_no_secrets(spark):
+    """In clean texts they are left alone, by query and pipeline; random strings beside them are found."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    letters = model()[1]
+    fresh = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(100)]
+    clean = f"{data.prose(30, 7)} {' '.join(CLEAN)} end"
+    rows = [*labelled_rows(), (1, clean, "en", "s", len(clean))]
+    rows += [(1000 + i, f"{x} 2024-01-01_12-30-00", "en", "s", 44) for i, x in enumerate(fresh)]
+    path = data.folder(spark, rows)
+    out = {r.doc_id: r.spans for r in op.op6_secrets(spark, path).collect()}
+    assert out[1] == ""
+    assert sum(out[1000 + i] == "markov:0:24" for i in range(100)) > 90
+    three = corpus_pipeline.secrets(spark, data.documents(spark, rows), path)
+    assert [r.text for r in three.filter("doc_id = 1").collect()] == [clean]
+
+
+def test_made_up_identifiers_are_the_same_at_every_call():
+    made = op.identifiers(300)
+    assert made == op.identifiers(300) and len(set(made)) > 290
+    assert all(op.WORD.fullmatch(x) and any(c.isdigit() for c in x) for x in made)
