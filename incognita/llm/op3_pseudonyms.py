@@ -124,7 +124,7 @@ def iban(text: str, key: bytes) -> str | None:
 def phone(text: str, key: bytes) -> str | None:
     """International numbers of 8 to 15 digits; the country code stays. In +1, numbers whose area and
     exchange begin with 2 to 9 become such numbers, others others."""
-    code = re.match(r"\+(1|7|[2-9]\d)", text)
+    code = re.match(r"\+(1|7|[2-9][0-9])", text)
     digits = plain(text)
     if code is None or not 8 <= len(digits) <= 15:
         return None
@@ -183,12 +183,12 @@ def email(text: str, key: bytes) -> str | None:
 # in the order in which they take a stretch of text
 KINDS: dict[str, tuple[re.Pattern, Callable[[str, bytes], str | None]]] = {
     "email": (re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"), email),
-    "iban": (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)"), iban),
-    "date": (re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-]|[./]\d)"), date),
-    "ipv4": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), ipv4),
-    "ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), ssn),
-    "phone": (re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){4,12}(?!\w))"), phone),
-    "card": (re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"), card),
+    "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)"), iban),
+    "date": (re.compile(r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w-]|[./][0-9])"), date),
+    "ipv4": (re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), ipv4),
+    "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), ssn),
+    "phone": (re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){4,12}(?!\w))"), phone),
+    "card": (re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"), card),
 }
 MAY_HOLD = re.compile(r"[0-9@]")
 

@@ -72,3 +72,25 @@ def test_query(spark):
     assert op.op3_pseudonyms(spark, data.folder(spark, [])).collect() == []
     clash = data.documents(spark).withColumnRenamed("lang", "n_values")
     assert op.pseudonymised(clash, KEY).columns.count("n_values") == 1
+
+
+OTHER_DIGITS = [str.maketrans("0123456789", "".join(chr(zero + i) for i in range(10))) for zero in (0x660, 0x6F0, 0x966, 0xFF10, 0x1D7CE)]
+
+
+@pytest.mark.parametrize("digits", OTHER_DIGITS)
+def test_digits_of_other_scripts_are_no_values(digits):
+    """Nothing with them has the form of a value; they neither stop the query nor hide ASCII values."""
+    for kind, value in VALUES.items():
+        other = value.translate(digits)
+        assert kind == "email" or op.changes(f"a {other} b 1", KEY) == []
+        found = op.changes(f"{other} and {value}, {other}", KEY)
+        assert [f[0] for f in found if f[1] > len(other)][:1] == [kind]
+    assert op.changes("123-45-6789".translate(digits) + " 1", KEY) == []
+    mixed = "".join(c.translate(digits) if i % 2 else c for i, c in enumerate("123-45-6789"))
+    assert op.changes(mixed, KEY) == []
+
+
+def test_query_on_digits_of_other_scripts(spark):
+    rows = [(i, f"1 {v.translate(d)} z", None, None, None) for i, d in enumerate(OTHER_DIGITS) for v in ("123-45-6789", "4207051279108084", "31.12.2020")]
+    out = op.op3_pseudonyms(spark, data.folder(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted((r[0], r[1]) for r in rows)
