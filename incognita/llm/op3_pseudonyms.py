@@ -98,10 +98,14 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and not luhn(digits) and len(set(digits)) > 1
+
+
 def card(text: str, key: bytes) -> str | None:
     """13 to 19 digits with a valid check digit; the first digit stays."""
     digits = plain(text)
-    if not 13 <= len(digits) <= 19 or luhn(digits) or len(set(digits)) == 1:
+    if not is_card(digits):
         return None
     body = digits[0] + permute_text(digits[1:-1], key, "card")
     return fill(text, body + str((10 - luhn(body + "0")) % 10))
@@ -188,13 +192,54 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str, bytes], str | None]]] = {
     "ipv4": (re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), ipv4),
     "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), ssn),
     "phone": (re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){4,12}(?!\w))"), phone),
-    "card": (re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"), card),
+    "card": (re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,}(?![\w-])"), card),
 }
 MAY_HOLD = re.compile(r"[0-9@]")
+GROUP = re.compile(r"[0-9]+")
 
 Change = tuple[str, int, int, str]  # kind, start, end, pseudonym
 
 
+def usual_card(sizes: list[int]) -> bool:
+    """Whether cards are written in groups of these sizes."""
+    fours = len(sizes) > 3 and all(k == 4 for k in sizes[:-1]) and sizes[-1] <= 4
+    return len(sizes) == 1 or fours or sizes in ([4, 6, 5], [4, 6, 4])
+
+
+def card_spans(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of a run of groups of digits that are valid card numbers; none overlap.
+
+    Groups in a stretch already taken by another value are left out. What is left is tried as a
+    whole first, then each shorter stretch from group to group: those in the usual groups first,
+    then by an issuer's first digit, then the longest, then the first.
+    """
+    parts: list[list[tuple[int, int]]] = [[]]
+    for g in GROUP.finditer(text, start, end):
+        if any(a < g.end() and g.start() < b for a, b in taken):
+            parts.append([])
+        else:
+            parts[-1].append(g.span())
+    out: list[tuple[int, int]] = []
+    for groups in parts:
+        found = []
+        for i in range(len(groups)):
+            digits, sizes = "", []
+            for j in range(i, len(groups)):
+                a, b = groups[j]
+                digits, sizes = digits + text[a:b], [*sizes, b - a]
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13 and is_card(digits):
+                    part = i > 0 or j < len(groups) - 1
+                    found.append((part, not usual_card(sizes), digits[0] not in "3456", -len(digits), i, j))
+        used: set[int] = set()
+        for *_, i, j in sorted(found):
+            if used.isdisjoint(range(i, j + 1)):
+                used.update(range(i, j + 1))
+                out.append((groups[i][0], groups[j][1]))
+    return sorted(out)
+
+
 def changes(text: str, key: bytes) -> list[Change]:
     """Valid values by start, in code points; none overlap."""
     out: list[Change] = []
@@ -204,6 +249,12 @@ def changes(text: str, key: bytes) -> list[Change]:
         starts = [c[1] for c in out]  # of the kinds before, in order; those of one kind never overlap
         more = []
         for m in pattern.finditer(text):
+            if kind == "card":
+                # only what touches the run: the value before its start may reach into it
+                near = out[max(0, bisect.bisect_right(starts, m.start()) - 1) : bisect.bisect_left(starts, m.end())]
+                spans = card_spans(text, *m.span(), [(a, b) for _, a, b, _ in near])
+                more += [(kind, a, b, new) for a, b in spans if (new := pseudonym(text[a:b], key)) is not None]
+                continue
             i = bisect.bisect_right(starts, m.start())
             if i and out[i - 1][2] > m.start():
                 continue

@@ -94,3 +94,27 @@ def test_query_on_digits_of_other_scripts(spark):
     rows = [(i, f"1 {v.translate(d)} z", None, None, None) for i, d in enumerate(OTHER_DIGITS) for v in ("123-45-6789", "4207051279108084", "31.12.2020")]
     out = op.op3_pseudonyms(spark, data.folder(spark, rows)).collect()
     assert sorted((r.doc_id, r.text) for r in out) == sorted((r[0], r[1]) for r in rows)
+
+
+CARDS = ["4111 1111 1111 1111", "4207-0512-7910-8084", "5500000000000004", "3714 496353 98431"]
+BESIDE = ["{} 123", "{} 12/27", "12 {}", "{} 1234", "12345 {}", "{} 12345", "7 {} 123 45", "{} 2024-01-01", "2024-01-01 {}", "123-45-6789 {}", "54.158.173.199 {}", "{}-123", "1 {} x", "1 2 3 {} 4 5 6 7 8 9 10 11 12 13"]
+
+
+@pytest.mark.parametrize("beside", BESIDE)
+@pytest.mark.parametrize("card", CARDS)
+def test_cards_beside_other_numbers(beside, card):
+    text = f"a {beside.format(card)} b"
+    found = op.changes(text, KEY)
+    spans = [(a, b) for kind, a, b, _ in found if kind == "card"]
+    at = text.index(card)
+    assert any(a <= at and at + len(card) <= b for a, b in spans)
+    assert all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+    assert card not in op.applied(text, found)
+    assert all(op.luhn(op.plain(new)) == 0 for kind, _, _, new in found if kind == "card")
+
+
+def test_two_cards_and_runs_without_a_card():
+    text = "pay 4111 1111 1111 1111 5500 0000 0000 0004 9"
+    assert [text[a:b] for _, a, b, _ in op.changes(text, KEY)] == ["4111 1111 1111 1111", "5500 0000 0000 0004"]
+    for text in ("4111 1111 1111 1112", "41111111111111110", "x4111 1111 1111", "4111111111111111 "[:-1] + "123456"):
+        assert op.changes(text, KEY) == []
