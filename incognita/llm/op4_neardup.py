@@ -4,7 +4,9 @@ Every distinct set of shingles has a signature of K coordinates. Posted under ea
 coordinate and value, it collides with a set of Jaccard similarity J on about J * K of them, so
 pairs are sought that collide on at least T. Two such sets share one of the K - T + 1 pairs that
 are rarest in the corpus (ties by the pair's hash), whichever T they share: each set posts only
-this prefix, and skips the long lists of common text behind it.
+this prefix, and skips the long lists of common text behind it. The collisions of a pair are not
+counted: all that share a pair of their prefixes are candidates, with T collisions or fewer, and
+the full sets decide.
 
 Links are transitive, so no list is expanded into all its pairs. First every set is held against
 one partner, the member of most of its lists whose own pairs are the commonest (in a group of
