@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incognita.llm.common import column, small_batches, table
+from incognita.llm.common import column, small_batches, table, written
 
 # fixed values: patterns and least lengths as stated
 ASSIGN = re.compile(
@@ -141,6 +141,20 @@ def _codes(text: str) -> np.ndarray:
     return _CODE[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 127)]
 
 
+SIZE = len(ALPHABET) + 1  # characters and one for all others; the start is one more state
+
+
+def bigrams(samples: Iterable[str]) -> np.ndarray:
+    """How often each character follows each state in whole strings; the last state is the start."""
+    counts = np.zeros((SIZE + 1, SIZE), np.int64)
+    for s in samples:
+        codes = _codes(s)
+        if len(codes):
+            counts[SIZE, codes[0]] += 1
+            counts[:SIZE] += np.bincount(codes[:-1] * SIZE + codes[1:], minlength=SIZE * SIZE).reshape(SIZE, SIZE)
+    return counts
+
+
 @dataclass
 class MarkovModel:
     """log P(next character | character), with a start state; add-half smoothing."""
@@ -148,15 +162,9 @@ class MarkovModel:
     logs: np.ndarray
 
     @classmethod
-    def fit(cls, samples: list[str]) -> MarkovModel:
-        size = len(ALPHABET) + 1
-        counts = np.full((size + 1, size), 0.5)
-        for s in samples:
-            codes = _codes(s)
-            if len(codes):
-                counts[size, codes[0]] += 1
-                np.add.at(counts, (codes[:-1], codes[1:]), 1)
-        return cls(np.log(counts / counts.sum(axis=1, keepdims=True)))
+    def of_counts(cls, counts: np.ndarray) -> MarkovModel:
+        smooth = counts + 0.5
+        return cls(np.log(smooth / smooth.sum(axis=1, keepdims=True)))
 
     def score(self, text: str) -> float:
         codes = _codes(text)
@@ -169,14 +177,18 @@ class SecretModel:
     ordinary: MarkovModel
     margin: float = MARGIN
 
+    @classmethod
+    def of_counts(cls, random_ones: np.ndarray, ordinary: np.ndarray, margin: float = MARGIN) -> SecretModel:
+        """From the bigrams of strings of either label and, for the ordinary model, of made-up
+        identifiers with digits; without samples of both labels nothing is found later."""
+        both = random_ones.any() and ordinary.any()
+        made = bigrams(identifiers(IDENTIFIERS))
+        return cls(MarkovModel.of_counts(random_ones), MarkovModel.of_counts(ordinary + made), margin if both else float("inf"))
+
     @classmethod
     def fit(cls, labelled: list[tuple[str, bool]], margin: float = MARGIN) -> SecretModel:
-        """From (string, is it random) and, for the ordinary model, made-up identifiers with digits;
-        without samples of both labels nothing is found later."""
-        samples = [[s for s, r in labelled if r is want] for want in (True, False)]
-        both = all(samples)
-        samples[1] += identifiers(IDENTIFIERS)
-        return cls(*(MarkovModel.fit(s) for s in samples), margin if both else float("inf"))
+        """From (string, is it random)."""
+        return cls.of_counts(*(bigrams(s for s, r in labelled if r is want) for want in (True, False)), margin)
 
     def ratio(self, text: str) -> float:
         """Log-likelihood ratio per character; above ``margin`` the string counts as random."""
@@ -184,11 +196,22 @@ class SecretModel:
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Random strings that touch no span already taken. Digits alone are numbers, no secrets."""
-        out = []
-        for m in WORD.finditer(text):
-            if not m[0].isdigit() and self.ratio(m[0]) > self.margin and all(b <= m.start() or a >= m.end() for _, a, b in taken):
-                out.append(("markov", m.start(), m.end()))
-        return out
+        return [
+            ("markov", m.start(), m.end())
+            for m in free_words(text, taken)
+            if not m[0].isdigit() and self.ratio(m[0]) > self.margin
+        ]
+
+
+def free_words(text: str, taken: list[Span]) -> Iterator[re.Match[str]]:
+    """Words the models look at that touch none of the spans, which are sorted by start; one merge."""
+    at, reach = 0, 0  # spans that start before the word's end, and how far they go
+    for m in WORD.finditer(text):
+        while at < len(taken) and taken[at][1] < m.end():
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach <= m.start():
+            yield m
 
 
 def find_secrets(text: str | None, model: SecretModel | None) -> tuple[list[Span], list[Span]]:
@@ -198,8 +221,11 @@ def find_secrets(text: str | None, model: SecretModel | None) -> tuple[list[Span
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+SAMPLES = pa.schema([("s", pa.string()), ("random", pa.bool_())])
+
+
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled strings of each text: values the patterns found, and a few long words besides."""
+    """Labelled strings of each text: values the patterns found, and long words besides."""
     for batch in batches:
         rows: set[tuple[str, bool]] = set()
         for text in batch.column(0).to_pylist():
@@ -207,26 +233,48 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, a, b in taken:
                 value = ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
                 if len(value) >= 16:
-                    rows.add((value[:200], True))
-            free = (m for m in WORD.finditer(text or "") if all(b <= m.start() or a >= m.end() for _, a, b in taken))
+                    rows.add((value, True))
             # a word with digits could be an unlabelled secret, so it is no sample of either label
-            rows.update((m[0][:200], False) for m in free if not any(c.isdigit() for c in m[0]))
+            rows.update((m[0], False) for m in free_words(text or "", taken) if not any(c.isdigit() for c in m[0]))
         listed = sorted(rows)
-        yield pa.RecordBatch.from_pydict({"s": [s for s, _ in listed], "random": [r for _, r in listed]})
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in listed], SAMPLES.types[i]) for i in (0, 1)], schema=SAMPLES)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams of the strings of either label, summed over the task."""
+    total = np.zeros((2, SIZE + 1, SIZE), np.int64)
+    for batch in batches:
+        for s, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[int(r)] += bigrams([s])
+    flat = total.reshape(-1)
+    some = np.flatnonzero(flat)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(flat[some])], ["cell", "n"])
 
 
 def fit_model(docs: DataFrame, text: str = "text", sample: int = SAMPLE, rows: int = SAMPLE_ROWS) -> SecretModel:
-    """Models from ``sample`` strings a label at most, chosen by hash among those of the share
-    of all texts (by hash, too) that makes up about ``rows`` documents."""
+    """Models from ``sample`` strings a label at most, chosen by hash among those of about ``rows``
+    documents, which are chosen by hash of doc_id (if there is one) and length.
+
+    The chosen documents are read once. Strings count whole: their bigrams are added up in the
+    tasks, and only those counts come to the driver.
+    """
     small_batches(docs.sparkSession)
     share = min(1.0, rows / max(docs.count(), 1))
-    chosen = docs.select(column(text).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    by = [column(c) for c in docs.columns if c == "doc_id"] + [F.octet_length(column(text))]
+    chosen = docs.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(share * (1 << 30))).select(column(text))
     strings = chosen.mapInArrow(_samples, "s string, random boolean").distinct()
-    labelled = []
+    strings = written(strings.withColumn("h", F.xxhash64("s")), "strings")
+    kept = None
     for label in (True, False):
-        part = strings.filter(F.col("random") == label).orderBy(F.xxhash64("s")).limit(sample)
-        labelled += [(r.s, r.random) for r in part.collect()]
-    return SecretModel.fit(labelled)
+        of = strings.filter(F.col("random") == label)
+        last = of.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        part = of.filter(F.col("h") <= F.lit(last).cast("long"))
+        kept = part if kept is None else kept.unionByName(part)
+    counts = np.zeros(2 * (SIZE + 1) * SIZE, np.int64)
+    for r in kept.select("s", "random").mapInArrow(_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[r.cell] = r.n
+    ordinary, random_ones = counts.reshape(2, SIZE + 1, SIZE)
+    return SecretModel.of_counts(random_ones, ordinary)
 
 
 def scan(docs: DataFrame, model: SecretModel | None, text: str = "text", redact: bool = False) -> DataFrame:
@@ -277,7 +325,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole document.
 
     A NULL text counts as empty; a document without secrets has no spans and the digest of the
-    empty string. Repeated rows give repeated rows.
+    empty string. Repeated rows give repeated rows, an empty table gives none. Texts are scanned
+    whole, in time that grows with their length.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs, fit_model(docs))
