@@ -243,7 +243,7 @@ def _windows(length: int):
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cells: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
+        cells: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_chars", "spans")}
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
             whole = memoryview(text.cast(pa.binary()).as_buffer()) if text.is_valid else memoryview(b"")
             merged: list[list[int]] = []
@@ -252,17 +252,20 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
                     merged.append(list(s))
-            digest, at = hashlib.sha256(), 0
-            for a, b in merged:
+            digest, kept, at = hashlib.sha256(), [], 0
+            for a, b in [*merged, [len(whole), len(whole)]]:
                 digest.update(whole[at:a])
+                kept.append(str(whole[at:a], "utf-8", "ignore"))  # a character that is cut in two goes
                 at = b
-            digest.update(whole[at:])
+            left = "".join(kept)
             cells["n_bytes"].append(len(whole))
             cells["n_removed"].append(sum(b - a for a, b in merged))
             cells["n_spans"].append(len(merged))
             cells["kept_sha256"].append(digest.hexdigest())
+            cells["text"].append(left)
+            cells["n_chars"].append(len(left))
             cells["spans"].append([{"low": a, "high": b} for a, b in merged])
-        kinds = [pa.int64()] * 3 + [pa.string(), _SPANS]
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64(), _SPANS]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(cells.values(), kinds, strict=True))],
             ["doc_id", *cells],
@@ -333,7 +336,8 @@ def repeated_spans(
 def without_repeats(
     docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gather: int = GATHER, hot_bytes: int = HOT
 ) -> DataFrame:
-    """For documents (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and
+    """For documents (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, the ``text``
+    that is left, without characters of which a byte was removed, its code points (n_chars), and
     ``spans``, the removed runs of bytes (low, high).
 
     A NULL text counts as empty; texts below ``length`` bytes keep all; rows that are repeated as
@@ -349,14 +353,14 @@ def without_repeats(
     joined = keyed.join(spans, ["doc", "mark"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(
         _removed,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:long,high:long>>",
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, n_chars long, spans array<struct<low:long,high:long>>",
     )
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the bytes of 400-byte strings that occur more than once."""
+    """All documents without the bytes of 400-byte strings that occur more than once, and what is left."""
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_chars")
 
 
 SQL = """
@@ -366,11 +370,15 @@ rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM
 st AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM rep),
 sp AS (SELECT r, g, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM st) GROUP BY r, g),
 gap AS (
-  SELECT sp.r, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY sp.r ORDER BY a), 0) + 1,
-    2 * (a - coalesce(lag(b) OVER (PARTITION BY sp.r ORDER BY a), 0))) AS k FROM sp JOIN d USING (r)
+  SELECT r, a, b, substr(h, 2 * before + 1, 2 * (a - before)) AS k
+  FROM (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM sp) JOIN d USING (r)
+  UNION ALL SELECT r, len(h) // 2 + 1, NULL, substr(h, 2 * coalesce(e, 0) + 1) FROM d LEFT JOIN (SELECT r, max(b) AS e FROM sp GROUP BY r) USING (r)
 ),
-f AS (SELECT r, count(*) AS n, sum(b - a) AS x, max(b) AS e, string_agg(k, '' ORDER BY a) AS k FROM gap GROUP BY r)
-SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(x, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN f USING (r)
+f AS (
+  SELECT r, count(b) AS n, coalesce(sum(b - a), 0) AS x, string_agg(k, '' ORDER BY a) AS k,
+    decode(unhex(string_agg(regexp_replace(regexp_replace(k, '^([89AB][0-9A-F])+', ''), '([CDEF][0-9A-F]|E[0-9A-F][89AB][0-9A-F]|F[0-9A-F]([89AB][0-9A-F]){1,2})$', ''), '' ORDER BY a))) AS t
+  FROM gap GROUP BY r
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, x::BIGINT AS n_removed, n::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256, t AS text, len(t)::BIGINT AS n_chars
+FROM d JOIN f USING (r)
 """

@@ -41,7 +41,12 @@ def brute(rows, length):
         gone = np.cumsum(gone)[:-1] > 0 if t else np.zeros(0, bool)
         spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
         kept = bytes(np.frombuffer(t, np.uint8)[~gone])
-        out.append((r[0], len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        left, at = [], 0
+        for c in r[1] or "":  # a character stays if none of its bytes goes
+            size = len(c.encode())
+            left += [c] * (not gone[at : at + size].any())
+            at += size
+        out.append((r[0], len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), "".join(left), len(left)))
     return sorted(out, key=str)
 
 
