@@ -115,11 +115,28 @@ def _iban_number(text: str) -> int:
     return int("".join(str(int(ch, 36)) for ch in text[4:] + text[:4]))
 
 
-def iban(text: str, key: bytes) -> str | None:
-    """Country, two check digits, 11 to 30 characters; the country stays."""
+# fixed values: characters of an account number by country
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def valid_iban(text: str) -> bool:
     value = plain(text)
-    if not 15 <= len(value) <= 34 or _iban_number(value) % 97 != 1:
+    return 15 <= len(value) <= 34 and IBAN_LENGTHS.get(value[:2], len(value)) == len(value) and _iban_number(value) % 97 == 1
+
+
+def iban(text: str, key: bytes) -> str | None:
+    """Country, two check digits, 11 to 30 characters, as many as the country has; the country stays."""
+    if not valid_iban(text):
         return None
+    value = plain(text)
     body = permute_text(value[4:], key, "iban" + value[:2])
     check = 98 - _iban_number(value[:2] + "00" + body) % 97
     return fill(text, f"{value[:2]}{check:02d}{body}")
@@ -186,7 +203,7 @@ def email(text: str, key: bytes) -> str | None:
 
 # in the order in which they take a stretch of text
 KINDS: dict[str, tuple[re.Pattern, Callable[[str, bytes], str | None]]] = {
-    "email": (re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"), email),
+    "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"), email),
     "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)"), iban),
     "date": (re.compile(r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w-]|[./][0-9])"), date),
     "ipv4": (re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), ipv4),
@@ -194,6 +211,7 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str, bytes], str | None]]] = {
     "phone": (re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){4,12}(?!\w))"), phone),
     "card": (re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,}(?![\w-])"), card),
 }
+IBAN_START = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?=[ ]?[A-Z0-9])")
 MAY_HOLD = re.compile(r"[0-9@]")
 GROUP = re.compile(r"[0-9]+")
 
@@ -240,6 +258,32 @@ def card_spans(text: str, start: int, end: int, taken: list[tuple[int, int]]) ->
     return sorted(out)
 
 
+def iban_spans(text: str, taken: list[tuple[int, int]], listed: bool) -> list[tuple[int, int]]:
+    """Valid account numbers that reach into none of ``taken`` (by start); none overlap. Their
+    countries are those in the list of lengths, or others.
+
+    What follows a number may look like one more group of it, so from each start all stretches that
+    end where a word ends are tried, the longest first.
+    """
+    pattern, out, behind, at = KINDS["iban"][0], [], 0, 0
+    for start in IBAN_START.finditer(text):
+        a = start.start()
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if (text[a : a + 2] in IBAN_LENGTHS) != listed or a < behind or (at < len(taken) and taken[at][0] <= a):
+            continue
+        limit = taken[at][0] if at < len(taken) else len(text)
+        m = pattern.match(text, a, limit)
+        while m:
+            b = m.end()
+            if not (b < len(text) and (text[b].isalnum() or text[b] == "_")) and valid_iban(m[0]):
+                out.append((a, b))
+                behind = b
+                break
+            m = pattern.match(text, a, b - 1)
+    return out
+
+
 def changes(text: str, key: bytes) -> list[Change]:
     """Valid values by start, in code points; none overlap."""
     out: list[Change] = []
@@ -248,7 +292,11 @@ def changes(text: str, key: bytes) -> list[Change]:
     for kind, (pattern, pseudonym) in KINDS.items():
         starts = [c[1] for c in out]  # of the kinds before, in order; those of one kind never overlap
         more = []
-        for m in pattern.finditer(text):
+        if kind == "iban":
+            for listed in (True, False):  # a word before a number may by chance look like its country
+                taken = sorted(c[1:3] for c in out + more)
+                more += [(kind, a, b, pseudonym(text[a:b], key)) for a, b in iban_spans(text, taken, listed)]
+        for m in pattern.finditer(text) if kind != "iban" else ():
             if kind == "card":
                 # only what touches the run: the value before its start may reach into it
                 near = out[max(0, bisect.bisect_right(starts, m.start()) - 1) : bisect.bisect_left(starts, m.end())]
@@ -307,6 +355,9 @@ QUERY_KEY = b"a key for the registered query only"
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with personal numbers, dates and addresses replaced; repeated rows alike."""
+    """All documents with personal numbers, dates and addresses replaced; repeated rows alike.
+
+    NULL texts stay NULL and empty ones empty, both without values; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymised(docs, QUERY_KEY).select("doc_id", "text", "n_values", F.col("value_spans").alias("spans"))

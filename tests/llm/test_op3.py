@@ -1,3 +1,5 @@
+import time
+
 import data
 import pytest
 from hypothesis import given
@@ -118,3 +120,50 @@ def test_two_cards_and_runs_without_a_card():
     assert [text[a:b] for _, a, b, _ in op.changes(text, KEY)] == ["4111 1111 1111 1111", "5500 0000 0000 0004"]
     for text in ("4111 1111 1111 1112", "41111111111111110", "x4111 1111 1111", "4111111111111111 "[:-1] + "123456"):
         assert op.changes(text, KEY) == []
+
+
+IBANS = ["ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "NO93 8601 1117 947", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"]
+
+
+@pytest.mark.parametrize("beside", ["{} BIC X", "{} IBAN", "{} BIC OPSK", "{} ABCD EFGH", "{} 1234", "IBAN {} BIC", "AB12 {}", "X {}-A", "{} DE"])
+@pytest.mark.parametrize("number", IBANS)
+def test_account_numbers_beside_words_in_capitals(number, beside):
+    text = f"a {beside.format(number)} b"
+    found = [c for c in op.changes(text, KEY) if c[0] == "iban"]
+    at = text.index(number)
+    assert [(a, b) for _, a, b, _ in found] == [(at, at + len(number))]
+    assert op.valid_iban(found[0][3]) and found[0][3] != number
+
+
+def expected(kind, text):
+    """An independent finder: every stretch at word borders that has the kind's form, by plain means."""
+    words = text.split(" ")
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            part = " ".join(words[i:j])
+            if part == VALUES[kind]:
+                return len(" ".join(words[:i])) + (i > 0), part
+    return None
+
+
+@pytest.mark.parametrize("kind", VALUES)
+def test_every_kind_beside_every_other(kind):
+    for other in VALUES:
+        for text in (f"{VALUES[kind]} {VALUES[other]}", f"{VALUES[other]} {VALUES[kind]}", f"x {VALUES[other]} {VALUES[kind]} {VALUES[other]} y"):
+            at, part = expected(kind, text)
+            spans = [(a, b) for k, a, b, _ in op.changes(text, KEY) if k == kind]
+            assert (at, at + len(part)) in spans, (kind, other, text)
+            assert VALUES[kind] not in op.applied(text, op.changes(text, KEY))
+
+
+@pytest.mark.parametrize("bit", ["%", "+", "a.", "1", "1 ", "DE89 ", "a@", "-", "1.", "+1 ", "A1", "@a.", "12-"])
+def test_long_runs_take_linear_time(bit):
+    begun = time.time()
+    op.changes(bit * (300_000 // len(bit)) + "@ 1", KEY)
+    assert time.time() - begun < 20
+
+
+def test_mail_starts_at_the_head_of_a_run():
+    for text, want in (("%%%jo@ex.org", "%%%jo@ex.org"), ("\u00e9jo@ex.org", "jo@ex.org"), ("a jo@ex.org,mo@ex.org", "jo@ex.org")):
+        _, a, b, _ = op.changes(text, KEY)[0]
+        assert text[a:b] == want
