@@ -76,7 +76,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; every secret found is replaced by its kind in brackets, n_chars follows."""
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     apart, back = protected(docs, names)
-    clean = scan(apart, fit_secrets(docs.select("text")), redact=True).drop(*names)
+    clean = scan(apart, fit_secrets(docs.select("doc_id", "text")), redact=True).drop(*names)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
