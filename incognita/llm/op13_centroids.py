@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incognita.llm.common import column, table, written
+from incognita.llm.common import column, table, text_bytes, written
 
 DIMS = 64
 CENTROIDS = 40
@@ -53,10 +53,8 @@ def pack(df: DataFrame, vector: str = "embedding", dims: int = DIMS, scale: int
 
 
 def unpacked(cells: pa.Array, dims: int) -> np.ndarray:
-    _, starts, data = cells.cast(pa.large_binary()).buffers()
-    at = np.frombuffer(starts, np.int64)[cells.offset]
-    flat = np.frombuffer(data, "<i4", count=len(cells) * dims, offset=int(at)) if len(cells) else np.empty(0, "<i4")
-    return flat.reshape(-1, dims).astype(np.int64)
+    data, at = text_bytes(cells)
+    return data[at[0] : at[-1]].view("<i4").reshape(-1, dims).astype(np.int64)
 
 
 class Orchard:

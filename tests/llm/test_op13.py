@@ -96,3 +96,19 @@ def test_ties_on_a_line():
     cluster, distance = op.Orchard(hearts).nearest(points)
     every = ((points[:, None, :] - hearts[None]) ** 2).sum(axis=2)
     assert (cluster == every.argmin(axis=1)).all() and (distance == every.min(axis=1)).all()
+
+
+def test_more_vectors_than_are_searched_at_once(spark):
+    made = spark.range(9000).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST(pmod(hash(id % 700, i), 2000) / 500 AS FLOAT)) AS embedding")
+    made = made.coalesce(1)
+    out = sorted(data.listed(op.clustered(made)), key=str)
+    rows = [(r.vec_id, [math.floor(256 * x) for x in r.embedding]) for r in made.collect()]
+    points = np.array([v for _, v in rows])
+    order = sorted(range(len(rows)), key=lambda i: hashlib.sha256(f"2:{rows[i][0]}".encode()).hexdigest())
+    hearts = points[order[:40]]
+    for step in range(6):
+        gaps = ((points[:, None, :] - hearts[None]) ** 2).sum(axis=2)
+        cluster = gaps.argmin(axis=1)
+        if step < 5:
+            hearts = np.array([points[cluster == j].sum(axis=0) // max((cluster == j).sum(), 1) if (cluster == j).any() else hearts[j] for j in range(40)])
+    assert [r[:3] for r in out] == sorted(((rows[i][0], int(cluster[i]), int(gaps[i, cluster[i]])) for i in range(len(rows))), key=str)
