@@ -140,6 +140,10 @@ _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _NUMBER = r"-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?"
 
 
+_KEY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_ESCAPED_KEY = r'(?s)\\[u/][^"]*+"\s*+:'
+
+
 def _pair_regex(keys: str) -> str:
     """One of the keys with the string or number behind it. In valid JSON a quote
     before a letter that no backslash precedes opens a string, and a string before
@@ -175,12 +179,17 @@ def pseudonymize_json_text(
     text = F.col(quoted(column))
     kind_of = literal_map(types)
 
-    def renewed(pair: Column) -> Column:
+    def string(literal: Column) -> Column:
+        return F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v")
+
+    def renewed(pair: Column, regex: str, spelt: bool) -> Column:
         key, literal = F.regexp_extract(pair, regex, 1), F.regexp_extract(pair, regex, 2)
+        name = string(F.concat(F.lit('"'), key, F.lit('"'))) if spelt else key
         return F.struct(
+            pair.alias("pair"),
             F.left(pair, F.length(pair) - F.length(literal)).alias("before"),
-            F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v").alias("value"),
-            F.try_element_at(kind_of, normalize_name(key) if rules is None else key).alias("kind"),
+            string(literal).alias("value"),
+            F.try_element_at(kind_of, normalize_name(name) if rules is None else name).alias("kind"),
             literal.alias("literal"),
         )
 
@@ -192,21 +201,26 @@ def pseudonymize_json_text(
         escaped = F.replace(F.replace(made, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
         new = F.concat(F.lit('"'), escaped, F.lit('"'))
         keep = should_preserve(part["value"], preserve)
-        return F.concat(part["before"], F.when(keep, part["literal"]).otherwise(new))
-
-    def rebuild(parts: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                parts,
-                lambda part, i: F.when(i % 2 == 1, bind(renewed(part), replaced)).otherwise(part),
-            ),
-            "",
+        changed = F.concat(part["before"], F.when(keep, part["literal"]).otherwise(new))
+        return F.when(part["kind"].isNull(), part["pair"]).otherwise(changed)
+
+    def rebuilt(regex: str, spelt: bool) -> Column:
+        def rebuild(parts: Column) -> Column:
+            return F.array_join(
+                F.transform(
+                    parts,
+                    lambda part, i: F.when(i % 2 == 1, bind(renewed(part, regex, spelt), replaced)).otherwise(part),
+                ),
+                "",
+            )
+
+        return bind(
+            cut_at_matches(text, regex),
+            lambda parts: F.when(F.size(parts) > 1, rebuild(parts)).otherwise(text),
         )
 
-    out = bind(
-        cut_at_matches(text, regex),
-        lambda parts: F.when(F.size(parts) > 1, rebuild(parts)).otherwise(text),
-    )
+    # keys may be spelt with escapes; in texts that have some, every key is read before it is looked up
+    out = F.when(text.rlike(_ESCAPED_KEY), rebuilt(_pair_regex(_KEY), True)).otherwise(rebuilt(regex, False))
     checked = F.when(F.try_parse_json(text).isNotNull(), out).when(
         text.isNotNull(), F.raise_error(F.lit("invalid JSON"))
     )
@@ -220,7 +234,8 @@ def _keys(text: str) -> set[str]:
         raise ValueError(f"{name} is no JSON")
 
     found: set[str] = set()
-    open_nodes = [json.loads(text, parse_constant=refused)]
+    # numbers are not read: the parser refuses to make integers of very many digits
+    open_nodes = [json.loads(text, parse_constant=refused, parse_int=len, parse_float=len)]
     while open_nodes:
         node = open_nodes.pop()
         if isinstance(node, dict):

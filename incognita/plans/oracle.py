@@ -662,6 +662,13 @@ ORACLE["rewrite_hard_dump"] = f"""
 SELECT o_orderkey, {_HARD_HEAD} || '(f(g(' || o_orderkey || ', '')''), h()), ''' || {fake('last_name', _ONE)} || ''', NULL),'
   || chr(10) || '  ( ' || o_custkey || ' , "' || {fake('last_name', _TWO)} || '" , ''x;'' )'
   || ' ON DUPLICATE KEY UPDATE name = VALUES(name)' AS statement FROM orders"""
+ORACLE["rewrite_dump_file"] = f"SELECT statement FROM ({ORACLE['rewrite_hard_dump']})"
+ORACLE["read_csv_multi_line"] = """
+SELECT c_custkey::VARCHAR AS id, 'first' || chr(10) || chr(10) || '"' || c_custkey || '";' || chr(10) || 'last' AS note, c_mktsegment AS segment FROM customer
+UNION ALL SELECT 'id', 'note', 'segment' FROM customer WHERE c_custkey % 5 = 0"""
+ORACLE["pseudonymize_json_spelt_keys"] = f"""
+SELECT c_custkey AS id, '{{"na\\u006de": "' || {fake('full_name', 'c_name')} || '", "x\\u006de": "name", "a": [{{"n\\u0061me" : "'
+  || {fake('full_name', 'c_mktsegment')} || '"}}]}}' AS doc FROM customer"""
 ORACLE["read_csv_by_hand"] = r"""
 SELECT c_custkey::VARCHAR AS id, 'say "hi", ' || c_custkey || '; ok' AS note, '' AS blank,
   'a\"b ' || c_nationkey AS kept, ' ' || c_name || ' ' AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS last

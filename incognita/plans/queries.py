@@ -670,10 +670,9 @@ def drop_expired(spark, sf):
 # --- hard inputs ----------------------------------------------------------
 
 
-@query
-def rewrite_hard_dump(spark, sf):
+def hard_statements(spark, sf):
     """Statements with comments over lines, a qualified name, nested calls, quotes and line ends
-    in literals and a tail, one per order; every character of what comes out."""
+    in literals and a tail, one per order."""
     key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     statement = F.concat(
         F.lit("/* order\n it's "),
@@ -688,9 +687,44 @@ def rewrite_hard_dump(spark, sf):
         cust,
         F.lit(') \\", \\\\" , \'x;\' ) ON DUPLICATE KEY UPDATE name = VALUES(name)'),
     )
-    orders = inp.table(spark, sf, "orders").select("o_orderkey", statement.alias("statement"))
+    return inp.table(spark, sf, "orders").select("o_orderkey", statement.alias("statement"))
+
+
+@query
+def rewrite_hard_dump(spark, sf):
+    """Hard statements, one per order; every character of what comes out."""
     rules = {"users": {"name": "last_name"}}
-    return src.pseudonymize_insert_dump(src.parse_inserts(orders), rules, keep=["o_orderkey"])
+    return src.pseudonymize_insert_dump(src.parse_inserts(hard_statements(spark, sf)), rules, keep=["o_orderkey"])
+
+
+@query
+def rewrite_dump_file(spark, sf):
+    """The same statements written to files, where a ; at a line end stands in literals, and read back."""
+    path = inp.folder(spark, "dump")
+    src.write_insert_dump(hard_statements(spark, sf), path)
+    return src.pseudonymize_insert_dump(src.read_insert_dump(spark, path), {"users": {"name": "last_name"}})
+
+
+@query
+def read_csv_multi_line(spark, sf):
+    """Line breaks, blank lines, doubled quotes and delimiters in quotes; a record like the header is data."""
+    path = inp.folder(spark, "csv")
+    key = F.col("c_custkey").cast("string")
+    record = F.concat(key, F.lit(';"first\n\n""'), key, F.lit('"";\nlast";'), F.col("c_mktsegment"))
+    header = F.lit("id;note;segment")
+    again = F.when(F.col("c_custkey") % 5 == 0, F.array(record, header)).otherwise(F.array(record))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    records = inp.table(spark, sf, "customer").select(F.explode(F.when(first, F.concat(F.array(header), again)).otherwise(again)).alias("value"))
+    records.write.text(path)
+    return src.read_csv_sniffed(spark, path, multi_line=True)
+
+
+@query
+def pseudonymize_json_spelt_keys(spark, sf):
+    """Keys spelt with escapes, beside keys that only look like them."""
+    doc = F.concat(F.lit('{"na\\u006de": "'), F.col("c_name"), F.lit('", "x\\u006de": "name", "a": [{"n\\u0061me" : "'), F.col("c_mktsegment"), F.lit('"}]}'))
+    docs = inp.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), doc.alias("doc"))
+    return op.pseudonymize_json_text(docs, "doc", {"name": "full_name"})
 
 
 @query

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from incognita.sources.records import CSV_LEXER, read_records
+
 DELIMITERS = [",", ";", "\t", "|"]  # fixed order: decides ties
 QUOTE, ESCAPE = '"', "\\"
 # stand for a quote behind a backslash while a line is taken apart
@@ -51,54 +54,61 @@ def _together(text: Column) -> Column:
     return F.replace(text, F.lit(_SIGN + "a"), F.lit(_SIGN))
 
 
+def _lines_below_header(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all files but the first one of each, which is its header; blank ones left out."""
+    # read as one column: the delimiter is a character that no text may hold, quotes mean nothing
+    options = {"sep": "\uffff", "quote": "", "escape": "", "header": True, "maxCharsPerColumn": -1, "emptyValue": "", "nullValue": "\uffff"}
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines = spark.read.schema("value string").options(**options, **blanks).csv(path)
+    return lines.where(F.trim("value") != "")
+
+
 def read_csv_sniffed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """All columns as strings, bound by header; an empty cell is an empty string, not
     NULL. A doubled quote in a quoted cell is one quote; a quote behind a backslash does not
     end the cell, and both characters stay.
 
-    Files stay splittable: lines are read as text and taken apart one by one; lines that equal
-    the header are headers (of the part files). ``multi_line`` is for quoted line breaks; it
-    reads a file in one task and knows doubled quotes only.
+    Files stay splittable. The first line of each file is its header, however often a line like it
+    comes again. Lines are taken apart one by one; ``multi_line`` is for line breaks in quotes: records
+    are then put together across lines and splits first (``read_records``).
     """
     layout = sniff_csv(spark, path)
-    if multi_line:
-        df = spark.read.csv(
-            path,
-            sep=layout.delimiter,
-            header=True,
-            inferSchema=False,
-            quote=QUOTE,
-            escape=QUOTE,
-            multiLine=True,
-            ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False,
-        )
-        return df.fillna("")
     names = list(layout.columns)
     if not names:
         return spark.read.text(path).limit(0).select()
-    lines = spark.read.text(path).where((F.col("value") != layout.header) & (F.trim("value") != ""))
+    if multi_line:
+        lines = read_records(spark, path, CSV_LEXER).where(~F.col("first"))
+        lines = lines.select(F.rtrim("record", F.lit("\r")).alias("value")).where(F.trim("value") != "")
+    else:
+        lines = _lines_below_header(spark, path)
     plain = ", ".join(f"c{i} string" for i in range(len(names)))
     options = {"sep": layout.delimiter, "quote": QUOTE, "escape": QUOTE, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
-    cells = lines.select(F.from_csv(_apart(F.col("value")), plain, options).alias("cell"))
-    return cells.select(
-        *[F.coalesce(_together(F.col(f"cell.c{i}")), F.lit("")).alias(name) for i, name in enumerate(names)]
-    )
+    if multi_line:
+        options["lineSep"] = "\ufffe"  # line breaks are characters of a cell like others
+    # few lines hold a backslash; only those need the stand-ins
+    slash = F.contains("value", F.lit(ESCAPE))
+    text = F.when(slash, _apart(F.col("value"))).otherwise(F.col("value"))
+    cells = lines.select(slash.alias("slash"), F.from_csv(text, plain, options).alias("cell"))
+
+    def cell(i: int) -> Column:
+        raw = F.coalesce(F.col(f"cell.c{i}"), F.lit(""))
+        return F.when(F.col("slash"), _together(raw)).otherwise(raw)
+
+    return cells.select(*[cell(i).alias(name) for i, name in enumerate(names)])
 
 
 def csv_cell(value: Column, delimiter: str) -> Column:
     """A cell as it is written: in quotes where it holds the delimiter, a quote, a line break or
     blanks at its ends. A quoted cell can't end with a backslash, as that would take the closing
     quote; such a value raises an error rather than being written as something else."""
+
     text = F.coalesce(value.cast("string"), F.lit(""))
-    inner = _together(F.replace(_apart(text), F.lit(QUOTE), F.lit(QUOTE + QUOTE)))
-    special = F.lit(False)
-    for sign in (delimiter, QUOTE, "\n", "\r"):
-        special = special | F.contains(text, F.lit(sign))
-    special = special | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    doubled = F.replace(text, F.lit(QUOTE), F.lit(QUOTE + QUOTE))
+    slashed = _together(F.replace(_apart(text), F.lit(QUOTE), F.lit(QUOTE + QUOTE)))
+    inner = F.when(F.contains(text, F.lit(ESCAPE)), slashed).otherwise(doubled)
     error = F.raise_error(F.concat(F.lit("a quoted CSV cell can't end with a backslash: "), text)).cast("string")
     whole = F.when(F.endswith(text, F.lit(ESCAPE)), error).otherwise(F.concat(F.lit(QUOTE), inner, F.lit(QUOTE)))
-    return F.when(special, whole).otherwise(text)
+    return F.when(text.rlike(f'[{re.escape(delimiter)}"\\n\\r]|^ | $'), whole).otherwise(text)
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", mode: str = "errorifexists") -> None:

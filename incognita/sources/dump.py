@@ -20,6 +20,7 @@ from incognita.functions import fakes as fk
 from incognita.functions.arrays import bind
 from incognita.functions.preserve import PreserveRules, should_preserve
 from incognita.operators.tables import ColumnRules, quoted
+from incognita.sources.records import DUMP_LEXER, read_records
 
 STATEMENT_END = ";\n"
 ROWS_PER_INSERT = 1000  # fixed value
@@ -48,35 +49,24 @@ _NAME = r"(?:`[^`]*+`|\"[^\"]*+\"|[\w$]++)"
 _WORDS = r"(?:insert|replace)(?:\s++(?:ignore|low_priority|delayed|high_priority))*+(?:\s++into)?+"
 _START = rf"(?is)^{_LEAD}{_WORDS}\s*+(?:{_NAME}\s*+\.\s*+)?+({_NAME})"
 _HEAD = rf"(?is)^({_LEAD}{_WORDS}\s*+(?:{_NAME}\s*+\.\s*+)?+({_NAME})\s*+(?:\(([^)]*+)\)\s*+)?+values?\s*+)"
-# a literal that is not closed: a statement cut in the middle
-_OPEN = rf"(?s)^(?:[^'\"`#/-]++|{_SINGLE}|{_DOUBLE}|`[^`]*+`|--[^\n]*+|#[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|[/-])*+['\"]"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
-def line_end(spark: SparkSession, path: str) -> str:
-    """The line end of the files, told from a first line."""
-    first = spark.read.text(path, lineSep="\n").first()
-    return "\r\n" if first is not None and first[0].endswith("\r") else "\n"
-
-
 def read_insert_dump(spark: SparkSession, path: str, statement_end: str | None = None) -> DataFrame:
     """One row per statement: statement, head, table, columns, tuples, values, rest (the last six
     NULL or empty for anything but an INSERT).
 
-    A statement ends where a line ends in ``;``. The reader splits there, by the line end that
-    the first line has, so large dumps are read in parallel. A literal that holds a ``;`` at a line
-    end (dumps write line breaks as ``\\n``, as the export here does) would be cut; such a piece
-    raises an error when it is used.
+    A statement ends where a line ends in ``;`` outside quotes and comments of several lines.
+    Large dumps are read in parallel: what a split begins with is told by ``read_records``. With a
+    ``statement_end`` given, every occurrence of it ends a statement.
     """
-    end = statement_end or ";" + line_end(spark, path)
-    raw = spark.read.text(path, lineSep=end)
-    pieces = raw.select(F.explode(F.split("value", r";[ \t\r]*+(?:\n|$)", -1)).alias("statement"))
-    whole = pieces.where(F.trim(F.col("statement"), F.lit(" \t\r\n")) != "")
     text = F.col("statement")
-    cut = F.raise_error(F.concat(F.lit("a literal is not closed in this statement: "), F.left(text, F.lit(200))))
-    quotes = F.contains(text, F.lit("'")) | F.contains(text, F.lit('"'))
-    checked = F.when(quotes & text.rlike(_OPEN), cut.cast("string")).otherwise(text)
-    return parse_inserts(whole.select(checked.alias("statement")))
+    if statement_end:
+        statements = spark.read.text(path, lineSep=statement_end).select(F.col("value").alias("statement"))
+    else:
+        ended = F.regexp_replace("record", r";[ \t\r]*+$", "")
+        statements = read_records(spark, path, DUMP_LEXER).select(ended.alias("statement"))
+    return parse_inserts(statements.where(F.trim(text, F.lit(" \t\r\n")) != ""))
 
 
 def parse_inserts(df: DataFrame, column: str = "statement") -> DataFrame:

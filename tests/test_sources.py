@@ -204,3 +204,19 @@ def test_json_keys_of_wide_and_deep_data(spark):
 def test_map_without_rules_stays(spark):
     df = spark.createDataFrame([({"a": 1},)], "m map<string,int>")
     assert op.pseudonymize_json(df, {}).schema == df.schema
+
+
+def test_json_keys_of_long_numbers_deep_and_repeated(spark):
+    texts = ['{"n":' + "9" * 5000 + ',"m":1e999,"n":2}', '{"a":' * 1500 + "1" + "}" * 1500, "[" * 1500 + '{"z":1}' + "]" * 1500]
+    got = {r["key"]: r["documents"] for r in op.json_keys(spark.createDataFrame([(t,) for t in texts], "doc string"), "doc").collect()}
+    assert got == {"n": 1, "m": 1, "a": 1, "z": 1}
+
+
+def test_json_text_with_spelt_keys(spark):
+    docs = ['{"na\\u006de":"Bob","e":1}', '{"NA\\u006DE" : "Bob", "x\\u006d": "Bob"}', '{"x":"\\u0041","name":"Bob"}', '{"a\\/b":"Bob"}', '{"v":"na\\u006de: 1"}']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string")
+    by_rule = {r.i: r.doc for r in op.pseudonymize_json_text(df, "doc", {"name": "full_name", "a/b": "city"}).collect()}
+    detected = {r.i: r.doc for r in op.pseudonymize_json_text(df, "doc").collect()}
+    assert "Bob" not in by_rule[0] + by_rule[2] + by_rule[3] and by_rule[1] == docs[1] and by_rule[4] == docs[4]
+    assert '"x\\u006d": "Bob"' in detected[1] and detected[1].count("Bob") == 1 and "Bob" not in detected[0] + detected[2]
+    assert by_rule[0].startswith('{"na\\u006de":"') and by_rule[0].endswith('","e":1}') and detected[3] == docs[3]
