@@ -27,6 +27,7 @@ from incognita.llm.common import column, free_name, mix, pieces, small_batches,
 SPACE = "▁"
 DROPOUT = 0.1
 SEED = 20_240_607
+AT_ONCE = 1 << 18  # bytes of text whose symbols are held as numbers at once, about
 LONG = 200  # characters from which a run without white space takes the agenda one by one
 NEVER = np.iinfo(np.int64).max
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -308,7 +309,7 @@ def encode(
             values = batch.column(text)
             keys = mix(batch.column(own).to_numpy().view(np.uint64) ^ mix(salt))
             nulls = values.is_null().to_numpy(zero_copy_only=False)
-            for a, b, data, at in pieces(values):
+            for a, b, data, at in pieces(values, AT_ONCE):
                 ids, counts = encode_rows(model, data, at, keys[a:b], dropout)
                 back, sizes = decode_rows(model, ids, counts)
                 wrong = np.zeros(b - a, bool)
