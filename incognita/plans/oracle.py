@@ -548,16 +548,46 @@ _arms = " ".join(
 )
 ORACLE["build_mapping"] = f"""
 SELECT DISTINCT type, original, CASE type {_arms} END AS fake FROM ({ALL_PAIRS})"""
+# numbers without gaps: originals in order of their bucket, then of themselves
+NUMBERED = f"row_number() OVER (PARTITION BY type ORDER BY {num(md('bucket', 'original'), 0, 4096)}, original) - 1"
+
+
+def feistel(kind: str, source: str, no: str, a: int, b: int) -> str:
+    """``source`` with ``no`` sent through four rounds over a x b cells."""
+
+    def drawn(i: int, v: str) -> str:
+        return f"('0x' || substr(md5('incognita|permuted {kind}|{i}:' || {v}), 1, 8))::BIGINT"
+
+    return f"""(SELECT * EXCLUDE ({no}, l0, r0, l1, r1, l2), l2 * {b} + (r1 + {drawn(3, 'l2')}) % {b} AS {no} FROM (
+  SELECT *, (l1 + {drawn(2, 'r1')}) % {a} AS l2 FROM (SELECT *, (r0 + {drawn(1, 'l1')}) % {b} AS r1 FROM (
+    SELECT *, (l0 + {drawn(0, 'r0')}) % {a} AS l1 FROM (SELECT *, {no} // {b} AS l0, {no} % {b} AS r0 FROM {source}))))) """
+
+
 ORACLE["build_mapping_unique"] = f"""
 WITH p AS (
   SELECT DISTINCT 'email' AS type, o_orderkey::VARCHAR AS original FROM orders
   UNION SELECT 'last_name', o_custkey::VARCHAR FROM orders
   UNION SELECT 'last_name', o_orderpriority FROM orders),
-b AS (SELECT *, {num(md('bucket', 'original'), 0, 4096)} AS bucket FROM p),
-n AS (SELECT *, (row_number() OVER (PARTITION BY type, bucket ORDER BY original) - 1) * 4096 + bucket AS no FROM b)
+n AS (SELECT *, {NUMBERED} AS no FROM p)
 SELECT type, original, CASE type
   WHEN 'email' THEN replace({fake('email', 'original')}, '@', '-' || no || '@')
   ELSE {fake('last_name', 'original')} || '-' || no END AS fake FROM n"""
+_ORDER_PAIRS = """SELECT DISTINCT 'email' AS type, o_orderkey::VARCHAR AS original FROM orders WHERE {0}
+  UNION SELECT 'iban', o_custkey::VARCHAR FROM orders WHERE {0} UNION SELECT 'last_name', o_orderpriority FROM orders WHERE {0}"""
+ORACLE["build_mapping_continued"] = f"""
+WITH e AS ({_ORDER_PAIRS.format('o_custkey % 3 = 0')}),
+l AS (SELECT * FROM ({_ORDER_PAIRS.format('true')}) x WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.type = x.type AND e.original = x.original)),
+n AS (SELECT *, {NUMBERED} AS no FROM e UNION ALL
+  SELECT *, {NUMBERED} + (SELECT count(*) FROM e WHERE e.type = l.type) FROM l),
+i AS (SELECT original, no AS x FROM {feistel('iban', "(SELECT * FROM n WHERE type = 'iban')", 'no', 10**9, 10**9)})
+SELECT type, original, CASE type WHEN 'email' THEN replace({fake('email', 'original')}, '@', '-' || no || '@')
+  ELSE {fake('last_name', 'original')} || '-' || no END AS fake FROM n WHERE type <> 'iban'
+UNION ALL SELECT 'iban', original, 'DE' || lpad((98 - (x::HUGEINT * 1000000 + 131400) % 97)::VARCHAR, 2, '0') || lpad(x::VARCHAR, 18, '0') FROM i"""
+ORACLE["preserve_one_character"] = """
+WITH rules AS (SELECT DISTINCT lower(p_name) AS rule FROM part UNION SELECT '#'),
+vals AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN substr(p_name, 3, 12)
+  ELSE p_type || CASE WHEN p_partkey % 4 = 0 THEN '#' ELSE '+' END END AS value FROM part)
+SELECT p_partkey, value, EXISTS (SELECT 1 FROM rules WHERE contains(lower(value), rule) OR contains(rule, lower(value))) AS preserved FROM vals"""
 
 
 def reused(kind: str, v: str, source: str) -> str:
@@ -695,12 +725,15 @@ SELECT id, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE 'City ' || s_nationkey
   THEN least({fake('city', 'p.city', 'one')}, {fake('city', 'p.city', 'two')}) ELSE {fake('city', 'p.city')} END AS city
 FROM ({PEOPLE}) p"""
 ORACLE["apply_mapping_unique"] = f"""
-WITH p AS (SELECT id, age::VARCHAR AS age, (DATE '1950-01-01' + (id % 9000)::INT)::VARCHAR AS born FROM ({PEOPLE})),
+WITH p AS (SELECT id, (id % 63 + 18)::VARCHAR AS age, (DATE '1950-01-01' + (id % 9000)::INT)::VARCHAR AS born FROM ({PEOPLE})),
 o AS (SELECT DISTINCT 'age' AS type, age AS original FROM p UNION SELECT 'birthdate', born FROM p),
-b AS (SELECT *, {num(md('bucket', 'original'), 0, 4096)} AS bucket FROM o),
-n AS (SELECT *, (row_number() OVER (PARTITION BY type, bucket ORDER BY original) - 1) * 4096 + bucket AS no FROM b)
-SELECT p.id, (a.no + 18)::INT AS age, DATE '1900-01-01' + d.no::INT AS born FROM p
-JOIN n a ON a.type = 'age' AND a.original = p.age JOIN n d ON d.type = 'birthdate' AND d.original = p.born"""
+n AS (SELECT *, {NUMBERED} AS no FROM o),
+a AS (SELECT original, no FROM {feistel('age', "(SELECT * FROM n WHERE type = 'age')", 'no', 7, 9)}),
+d1 AS (SELECT original, no FROM {feistel('birthdate', "(SELECT * FROM n WHERE type = 'birthdate')", 'no', 150, 487)}),
+d2 AS (SELECT original, no FROM {feistel('birthdate', "(SELECT * FROM d1 WHERE no >= 73049)", 'no', 150, 487)}),
+d AS (SELECT * FROM d1 WHERE no < 73049 UNION ALL SELECT * FROM d2)
+SELECT p.id, (a.no + 18)::TINYINT AS age, DATE '1900-01-01' + d.no::INT AS born FROM p
+JOIN a ON a.original = p.age JOIN d ON d.original = p.born"""
 ORACLE["preserve_many_rules"] = f"""
 SELECT id, CASE WHEN EXISTS (SELECT 1 FROM range(1, 1501) r(i) WHERE contains(lower(name), lpad((r.i * 7)::VARCHAR, 9, '0')))
   THEN name ELSE {fake('full_name', 'name')} END AS name FROM ({PEOPLE}) p"""

@@ -439,6 +439,30 @@ def build_mapping_unique(spark, sf):
     return op.build_mapping(tables, rules, unique=True)
 
 
+@query
+def build_mapping_continued(spark, sf):
+    """A unique mapping of some orders' values, then of all: the first fakes stay, none comes twice."""
+    orders = inp.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    rules = {"orders": {"o_orderkey": "email", "o_custkey": "iban", "o_orderpriority": "last_name"}}
+    first = op.build_mapping({"orders": orders.where("o_custkey % 3 = 0")}, rules, unique=True)
+    path = inp.folder(spark, "mapping")
+    src.write_table(first, path)
+    return op.build_mapping({"orders": orders}, rules, unique=True, earlier=spark.read.parquet(path))
+
+
+@query
+def preserve_one_character(spark, sf):
+    """Long rules beside one of a single character."""
+    parts = inp.table(spark, sf, "part")
+    rules = parts.select(F.col("p_name").alias("rule")).unionByName(parts.select(F.lit("#").alias("rule")))
+    sign = F.when(F.col("p_partkey") % 4 == 0, "#").otherwise("+")
+    values = parts.select(
+        "p_partkey",
+        F.when(F.col("p_partkey") % 2 == 0, F.concat("p_type", sign)).otherwise(F.substring("p_name", 3, 12)).alias("value"),
+    )
+    return op.mark_preserved(values, "value", rules)
+
+
 @query
 def apply_mapping(spark, sf):
     """An earlier mapping (of the suppliers, another seed) reused on the customers."""
@@ -832,7 +856,8 @@ def apply_mapping_repeated(spark, sf):
 def apply_mapping_unique(spark, sf):
     """Unique fakes on columns of numbers and dates."""
     born = F.date_add(F.lit("1950-01-01").cast("date"), (F.col("id") % 9000).cast("int"))
-    people = inp.customers(spark, sf).select("id", "age", born.alias("born"))
+    age = (F.col("id") % 63 + 18).cast("tinyint")  # as many ages as there are fakes
+    people = inp.customers(spark, sf).select("id", age.alias("age"), born.alias("born"))
     rules = {"age": "age", "born": "birthdate"}
     mapping = op.build_mapping({"people": people}, {"people": rules}, unique=True)
     return op.apply_mapping(people, mapping, rules)

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from incognita import operators as op
+from incognita.operators.preserve import _grams, contained_pairs
 from incognita.functions import PreserveRules, parse_rules
 
 CASES = [
@@ -91,3 +92,21 @@ def test_long_lists_answer_like_short_ones(spark):
         assert got == [True, True, mode == "compat", mode == "compat", False, False]
         marked = op.mark_preserved(df, "v", spark.createDataFrame([(w,) for w in words], "rule string"), mode=mode)
         assert {r.v: r.preserved for r in marked.collect()} == dict(zip([r.v for r in df.collect()], got))
+
+
+def test_a_short_rule_does_not_make_all_pairs(spark):
+    """2,000 rules and one of a single character over 3,000 values: few pairs are looked at."""
+    rules = spark.range(2000).selectExpr("concat('common prefix ', lpad(id * 37, 7, '0'), ' end') AS small").unionByName(spark.createDataFrame([("z",)], "small string"))
+    values = spark.range(3000).selectExpr("concat('a common prefix ', lpad(id * 11, 7, '0'), IF(id % 5 = 0, ' z', ' end'), ' tail') AS large")
+    pairs = contained_pairs(rules, values)
+    joins = pairs._jdf.queryExecution()
+    rows = {(r.small, r.large) for r in pairs.collect()}
+    small, large = [r.small for r in rules.collect()], [r.large for r in values.collect()]
+    assert rows == {(s, v) for v in large for s in small if s in v}
+    assert joins.optimizedPlan().toString().count("Cartesian") == 0
+    grams = values.select("large", F.explode(F.flatten(F.array(_grams(F.col("large"), 8), _grams(F.col("large"), 1)))).alias("gram"))
+    seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("length(gram) = 8")
+    own = rules.where("small <> 'z'").select("small", F.explode(_grams(F.col("small"), 8)).alias("gram")).join(seen, "gram", "left")
+    rarest = own.groupBy("small").agg(F.min("n").alias("n"), F.max(F.col("n").isNull()).alias("lacks one")).where("NOT `lacks one`")
+    looked = rarest.agg(F.sum("n")).first()[0]
+    assert len(rows) <= looked + 600 < 2 * 3000
