@@ -23,6 +23,7 @@ from incognita.operators.preserve import mark_preserved
 from incognita.operators.retention import drop_expired
 from incognita.operators.sheets import profile_sheets, pseudonymize_sheets, scan_cells, scan_sheets
 from incognita.operators.tables import (
+    StreamProgress,
     pseudonymize_table,
     pseudonymize_tables,
     rules_from_frame,
@@ -39,6 +40,7 @@ from incognita.operators.texts import (
 )
 
 __all__ = [
+    "StreamProgress",
     "analyze_schema",
     "apply_mapping",
     "available_types",

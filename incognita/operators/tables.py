@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from incognita.functions import fakes as fk
 from incognita.functions.preserve import PreserveRules, should_preserve
@@ -15,13 +17,17 @@ from incognita.functions.preserve import PreserveRules, should_preserve
 ColumnRules = dict[str, dict | str]
 
 _KEY = "__key_"
+RULES_AT_MOST = 100_000
 
 
 def rules_from_frame(rules: DataFrame) -> dict[str, ColumnRules]:
     """Confirmed rules (table, column, type, action) as {table: {column: rule}}.
-    A rule frame is a reviewed list of columns and as small as a schema."""
+    A rule frame is a reviewed list of columns; one of more than RULES_AT_MOST rows is an error."""
     out: dict[str, ColumnRules] = {}
-    for r in rules.select("table", "column", "type", "action").toLocalIterator():
+    rows = rules.select("table", "column", "type", "action").head(RULES_AT_MOST + 1)
+    if len(rows) > RULES_AT_MOST:
+        raise ValueError(f"more than {RULES_AT_MOST} rules: this is no reviewed list of columns")
+    for r in rows:
         out.setdefault(r["table"], {})[r["column"]] = {"action": r["action"], "type": r["type"]}
     return out
 
@@ -140,13 +146,50 @@ def with_progress(
     rules: ColumnRules,
     preserve: PreserveRules | None = None,
     keep_empty: bool = False,
-) -> tuple[DataFrame, Observation]:
-    """The input frame with live counters; after (or, on a stream, during) the run
-    ``observation.get`` holds ``processed`` and ``updated`` without a second scan."""
+) -> tuple[DataFrame, Observation | None]:
+    """The input frame with counters of rows ``processed`` and ``updated``, without a second scan.
+    After a batch run ``observation.get`` holds them; for a stream, where there is no such object,
+    ``StreamProgress`` adds them up."""
     chosen = targets(df, rules)
     updated = _updated(df, chosen, preserve, keep_empty) if chosen else F.lit(False)
-    watch = Observation(table)
-    counted = df.observe(
-        watch, F.count(F.lit(1)).alias("processed"), F.count_if(updated).alias("updated")
-    )
-    return counted, watch
+    watch = None if df.isStreaming else Observation(table)
+    counts = F.count(F.lit(1)).alias("processed"), F.count_if(updated).alias("updated")
+    return df.observe(watch or table, *counts), watch
+
+
+class StreamProgress:
+    """Counters of streams whose inputs went through ``with_progress``, added up over micro-batches
+    while they run. Poll ``update`` (or let ``follow`` do it); no listener, so nothing calls back.
+
+    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` batches (100). A batch that
+    fell out between two polls is an error, not a number too small.
+    """
+
+    def __init__(self) -> None:
+        self.tables: dict[str, dict[str, int]] = {}
+        self._seen: dict[str, int] = {}  # last batch of each run
+
+    def update(self, query: StreamingQuery) -> dict[str, dict[str, int]]:
+        run = str(query.runId)
+        for p in query.recentProgress:
+            last = self._seen.get(run)
+            if not p.observedMetrics or (last is not None and p.batchId <= last):
+                continue
+            if last is not None and p.batchId > last + 1:
+                raise RuntimeError(f"the progress of batches {last + 1} to {p.batchId - 1} is no longer kept")
+            self._seen[run] = p.batchId
+            for table, row in p.observedMetrics.items():
+                counts = self.tables.setdefault(table, {})
+                for name, n in row.asDict().items():
+                    counts[name] = counts.get(name, 0) + n
+        return self.tables
+
+    def follow(self, query: StreamingQuery, callback: Callable[[dict], None] | None = None, seconds: float = 1.0) -> dict[str, dict[str, int]]:
+        """Until the query ends; ``callback`` gets the counters after each poll."""
+        ended = False
+        while not ended:
+            ended = bool(query.awaitTermination(seconds))
+            self.update(query)
+            if callback:
+                callback(self.tables)
+        return self.tables

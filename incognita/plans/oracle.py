@@ -681,6 +681,12 @@ ORACLE["drop_expired"] = """
 SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-04' - INTERVAL 36 HOUR"""
 
 
+ORACLE["fetch_page"] = "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 300"
+ORACLE["stream_progress"] = f"""
+SELECT count(*) AS processed, count(*) FILTER (email IS NOT NULL AND NOT {kept('email')}) AS updated FROM ({PEOPLE})"""
+ORACLE["write_table_resumed"] = "SELECT o_orderkey, o_orderpriority, o_custkey FROM orders"
+
+
 # --- hard inputs ------------------------------------------------------------
 _HARD_HEAD = (
     "'/* order' || chr(10) || ' it''s ' || o_orderkey || ' */' || chr(10) || '-- don''t' || chr(10) "

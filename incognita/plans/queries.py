@@ -58,7 +58,7 @@ def table_columns(spark, sf):
             ).alias("x")
         ).select(F.lit(name).alias("table"), F.inline("x"))
         filled = one if filled is None else filled.unionByName(one)
-    joined = catalog.join(F.broadcast(filled), ["table", "column"])  # one row per column
+    joined = catalog.join(filled, ["table", "column"])
     return joined.select("table", "column", "ordinal", "primary", "filled")
 
 
@@ -200,7 +200,7 @@ def available_types(spark, sf):
     judged = op.detect_columns(inp.named_cells(spark, sf)).where("detected")
     cells = judged.groupBy("type").agg(F.count(F.lit(1)).alias("cells"))
     types = op.available_types(spark)
-    return types.join(F.broadcast(cells), "type", "left").select(  # at most one row per type
+    return types.join(cells, "type", "left").select(
         "type", "faker_method", F.coalesce("cells", F.lit(0)).alias("cells")
     )
 
@@ -691,6 +691,38 @@ def drop_expired(spark, sf):
     return kept.select("event_id", "user_id", "event_type")
 
 
+@query
+def fetch_page(spark, sf):
+    """The fourth page of 100 orders by way of a directory."""
+    orders = inp.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    index = src.write_page_index(orders, "o_orderkey", inp.folder(spark, "pages"))
+    return src.fetch_page(index, ["o_orderkey", "o_custkey"], 3, 100)
+
+
+@query
+def stream_progress(spark, sf):
+    """Counters of a stream of several micro-batches."""
+    source = inp.folder(spark, "stream")
+    people = inp.customers(spark, sf)
+    people.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(people.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rules = {"name": "full_name", "email": "email"}
+    counted, _ = op.with_progress(stream, "customers", {"email": "email"}, preserve=KEEP_ADMIN)
+    run = streaming.start_available(streaming.pseudonymize_stream(counted, rules), inp.folder(spark, "out"), inp.folder(spark, "checkpoint"))
+    seen = op.StreamProgress().follow(run)["customers"]
+    return spark.range(1).select(F.lit(seen["processed"]).alias("processed"), F.lit(seen["updated"]).alias("updated"))
+
+
+@query
+def write_table_resumed(spark, sf):
+    """A table written in two runs, the first of which was stopped."""
+    path = inp.folder(spark, "table")
+    orders = inp.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    src.write_table_resumed(orders.where("o_orderpriority < '3'"), path, "o_orderpriority", 1)
+    src.write_table_resumed(orders, path, "o_orderpriority", 2)
+    return spark.read.parquet(path)
+
+
 # --- hard inputs ----------------------------------------------------------
 
 

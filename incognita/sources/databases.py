@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Default ports and the catalogue query of each database.
 DEFAULT_PORTS = {"mysql": 3306, "pgsql": 5432}
@@ -119,3 +121,68 @@ def fetch_after(df: DataFrame, columns: list[str], key: str, last: object, limit
     top-k instead of a sort."""
     rest = df if last is None else df.where(F.col(key) > F.lit(last))
     return rest.orderBy(key).limit(limit).select(*columns)
+
+
+@dataclass(frozen=True)
+class PageIndex:
+    """A table in key order with a directory of its parts."""
+
+    spark: SparkSession
+    path: str
+    schema: StructType  # of the rows
+
+
+def write_page_index(df: DataFrame, key: str | list[str], path: str, parts: int | None = None) -> PageIndex:
+    """Writes ``df`` in key order, cut into range partitions, and a directory that says how many rows
+    lie before each: one sort for any number of pages. Rows with equal keys are in any, but a fixed order."""
+    spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else key
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id()
+    ordered = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ordered = ordered.withColumn("__part", F.shiftright(place, 33).cast("int")).withColumn("__at", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    ordered.write.partitionBy("__part").parquet(f"{path}/rows")
+    index = PageIndex(spark, path, ordered.schema)
+    counts = spark.read.schema(index.schema).parquet(f"{path}/rows").groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")  # one row a part
+    counts.select("__part", "n", before.alias("before")).coalesce(1).write.parquet(f"{path}/directory")
+    return index
+
+
+def fetch_page(index: PageIndex, columns: list[str], page: int, size: int) -> DataFrame:
+    """The rows page * size ... in key order, read from the parts that hold them and from no others."""
+    low, high = page * size, page * size + size
+    listed = index.spark.read.parquet(f"{index.path}/directory")
+    found = listed.where((F.col("before") < high) & (F.col("before") + F.col("n") > low)).collect()
+    rows = index.spark.read.schema(index.schema).parquet(f"{index.path}/rows")
+    start = F.lit(None).cast("long")
+    for r in found:
+        start = F.when(F.col("__part") == r["__part"], r["before"]).otherwise(start)
+    place = start + F.col("__at")
+    kept = rows.where(F.col("__part").isin([r["__part"] for r in found])).where((place >= low) & (place < high))
+    return kept.orderBy("__part", "__at").select(*columns)
+
+
+def write_table_resumed(df: DataFrame, path: str, partition_by: str, at_once: int = 100) -> int:
+    """Writes a table partition by partition value, ``at_once`` values a job, and notes finished ones in
+    a manifest beside it; a run that was stopped goes on behind what is noted. A group of values that was
+    half written is overwritten, so no row comes twice. Returns the number of values written now.
+
+    The values of ``partition_by`` are collected: one for each folder of the table.
+    """
+    spark = df.sparkSession
+    manifest = f"{path.rstrip('/')}_finished"
+    name = F.col("`" + partition_by.replace("`", "``") + "`")
+    values = {r[0] for r in df.select(name.cast("string")).distinct().collect()}
+    try:
+        done = {r["value"] for r in spark.read.schema("value string").parquet(manifest).collect()}
+    except AnalysisException:  # nothing was finished yet
+        done = set()
+    waiting = sorted(values - done, key=lambda v: (v is None, v or ""))
+    for i in range(0, len(waiting), at_once):
+        group = waiting[i : i + at_once]
+        text = name.cast("string")
+        some = df.where(text.isin([v for v in group if v is not None]) | (text.isNull() if None in group else F.lit(False)))
+        some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+        spark.createDataFrame([(v,) for v in group], "value string").coalesce(1).write.mode("append").parquet(manifest)
+    return len(waiting)
