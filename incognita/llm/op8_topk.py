@@ -4,12 +4,12 @@ The dimensions are cut into slices; for one query each slice gives every candida
 score, that is a score list. Queries and candidates meet in blocks, each pair of blocks in a
 task of its own, so nothing but a few numbers per query leaves a task.
 
-1. Gather: every block names the best k of each of its lists, and their whole scores; the k-th
-   best of all of these is a score that the true k-th can't be below: the safe cutoff.
+1. Gather: every block names the best k of each of its lists, and sums the scores of these alone; the
+   k-th best of all of them is a score that the true k-th can't be below: the safe cutoff.
 2. Collect: the cutoff and the best value of each list go out with the queries. If a candidate
    stays more than an even share of (sum of the lists' best - cutoff) below the best in every
    list, its sum is below the cutoff; all others are sufficient entries.
-3. Resolve: the entries' whole scores are computed exactly, and the best k are kept.
+3. Resolve: whole scores are formed exactly for the entries and for nothing else; the best k are kept.
 """
 
 from __future__ import annotations
@@ -112,14 +112,43 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
     else:
         row, col = np.nonzero(score > -np.inf)
-    value = score[row, col]
-    if score.dtype == object:
+    return _best_of(row, col, score[row, col], ids, k)[:2]
+
+
+def _best_of(row: np.ndarray, col: np.ndarray, value: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the k highest values of each row among these entries, ties to smaller ids."""
+    if value.dtype == object:
         order = np.array(sorted(range(len(row)), key=lambda i: (row[i], -value[i], ids[col[i]])), dtype=np.int64)
     else:
         order = np.lexsort((ids[col], -value, row))
-    row, col = row[order], col[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
-    return row[rank < k], col[rank < k]
+    row, col, value = row[order], col[order], value[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    return row[first], col[first], value[first]
+
+
+def _summed(lists: list[np.ndarray], row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Whole scores of these entries, and of no others."""
+    return sum(part[row, col] for part in lists)
+
+
+def named_entries(lists: list[np.ndarray], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what is among the best k of one of its lists, each once."""
+    found = [_best(part, ids, k) for part in lists]
+    width = max(len(ids), 1)
+    place = np.unique(np.concatenate([r * width + c for r, c in found]))
+    return place // width, place % width
+
+
+def sufficient_entries(lists: list[np.ndarray], cutoff: np.ndarray, peaks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what comes within an even share of (sum of peaks - cutoff) of the peak in some
+    list; the sum of all others is below the cutoff. The share is widened by what rounding could take."""
+    share = (sum(peaks) - cutoff) / len(lists)
+    share = share + 1e-9 * (np.abs(share) + sum(np.abs(p) for p in peaks)) + 1e-6
+    enough = np.zeros(lists[0].shape, bool)
+    for part, peak in zip(lists, peaks, strict=True):
+        enough |= part.astype(float) >= peak - share
+    # a query's own vector is -inf in every list, which an infinite share would let in
+    return np.nonzero(enough & (lists[0] > -np.inf))
 
 
 def _whole(value) -> int:
@@ -137,13 +166,9 @@ def _gather(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, c_ids, lists = _sides(row)
-                whole = sum(lists)
-                named = np.zeros(whole.shape, bool)
-                for part in lists:
-                    named[_best(part, c_ids, k)] = True
-                r, c = _best(np.where(named, whole, -np.inf), c_ids, k)
-                for i, j in zip(r, c, strict=True):
-                    _merge(kept, int(q_ids[i]), [(-_whole(whole[i, j]), int(c_ids[j]))], k)
+                r, c = named_entries(lists, c_ids, k)
+                for i, j, s in zip(*_best_of(r, c, _summed(lists, r, c), c_ids, k), strict=True):
+                    _merge(kept, int(q_ids[i]), [(-_whole(s), int(c_ids[j]))], k)
                 for i, q in enumerate(q_ids):
                     peaks = [float(p[i].max(initial=-np.inf)) for p in lists]
                     most[int(q)] = [max(a, b) for a, b in zip(most.get(int(q), peaks), peaks, strict=True)]
@@ -167,16 +192,9 @@ def _resolve(k: int):
                 q_ids, c_ids, lists = _sides(row)
                 cutoff = np.frombuffer(row["q_cutoff"])[:, None]
                 peaks = [np.frombuffer(row[f"q_peak{g}"])[:, None] for g in range(SLICES)]
-                # the even share, widened by what rounding could take from it
-                share = (sum(peaks) - cutoff) / SLICES
-                share = share + 1e-9 * (np.abs(share) + sum(np.abs(p) for p in peaks)) + 1e-6
-                enough = np.zeros((len(q_ids), len(c_ids)), bool)
-                for part, peak in zip(lists, peaks, strict=True):
-                    enough |= part.astype(float) >= peak - share
-                whole = np.where(enough, sum(lists), -np.inf)
-                r, c = _best(whole, c_ids, k)
-                for i, j in zip(r, c, strict=True):
-                    _merge(kept, int(q_ids[i]), [(-_whole(whole[i, j]), int(c_ids[j]))], k)
+                r, c = sufficient_entries(lists, cutoff, peaks)
+                for i, j, s in zip(*_best_of(r, c, _summed(lists, r, c), c_ids, k), strict=True):
+                    _merge(kept, int(q_ids[i]), [(-_whole(s), int(c_ids[j]))], k)
         rows = [{"query_id": q, "vec_id": v, "score": -s} for q, best in kept.items() for s, v in best]
         yield pa.RecordBatch.from_pylist(
             rows, schema=pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score")])

@@ -55,3 +55,21 @@ def test_few_and_no_rows(spark):
     assert ours(spark, [(50, [1.0, 2.0], 0)]) == []
     assert ours(spark, [(50, [1.0, 2.0], 0), (51, [1.0, -2.0], 0)]) == brute([(50, [1.0, 2.0], 0), (51, [1.0, -2.0], 0)])
     assert ours(spark, vectors(30, 4)[1:]) == []
+
+
+def test_whole_scores_are_formed_for_few(spark):
+    """Of 40 queries and 2,000 candidates: the named ones, and those the cutoff leaves."""
+    rng = np.random.default_rng(4)
+    q, c = (np.floor(256 * rng.normal(size=(n, 64))) for n in (40, 2000))
+    ids = np.arange(2000)
+    lists = [q[:, d] @ c[:, d].T for d in np.array_split(np.arange(64), op.SLICES)]
+    whole = sum(lists)
+    row, col = op.named_entries(lists, ids, 5)
+    assert len(row) <= 40 * 5 * op.SLICES and (op._summed(lists, row, col) == whole[row, col]).all()
+    cutoff = np.array([np.sort(whole[i, col[row == i]])[-5] for i in range(40)])[:, None]
+    peaks = [part.max(axis=1)[:, None] for part in lists]
+    row, col = op.sufficient_entries(lists, cutoff, peaks)
+    assert len(row) < 0.6 * whole.size
+    left = np.ones(whole.shape, bool)
+    left[row, col] = False
+    assert (whole[left] < np.broadcast_to(cutoff, whole.shape)[left]).all()
