@@ -85,16 +85,14 @@ def read_csv_sniffed(spark: SparkSession, path: str, multi_line: bool = False) -
     options = {"sep": layout.delimiter, "quote": QUOTE, "escape": QUOTE, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
     if multi_line:
         options["lineSep"] = "\ufffe"  # line breaks are characters of a cell like others
-    # few lines hold a backslash; only those need the stand-ins
+    # few lines hold a backslash; only those need the stand-ins. One lambda serves all columns, so the
+    # expressions stay small however wide the file is
     slash = F.contains("value", F.lit(ESCAPE))
     text = F.when(slash, _apart(F.col("value"))).otherwise(F.col("value"))
-    cells = lines.select(slash.alias("slash"), F.from_csv(text, plain, options).alias("cell"))
-
-    def cell(i: int) -> Column:
-        raw = F.coalesce(F.col(f"cell.c{i}"), F.lit(""))
-        return F.when(F.col("slash"), _together(raw)).otherwise(raw)
-
-    return cells.select(*[cell(i).alias(name) for i, name in enumerate(names)])
+    split = lines.select(slash.alias("slash"), F.from_csv(text, plain, options).alias("cell"))
+    cells = F.array(*[F.coalesce(F.col(f"cell.c{i}"), F.lit("")) for i in range(len(names))])
+    whole = split.select(F.when(F.col("slash"), F.transform(cells, _together)).otherwise(cells).alias("cells"))
+    return whole.select(*[F.col("cells")[i].alias(name) for i, name in enumerate(names)])
 
 
 def csv_cell(value: Column, delimiter: str) -> Column:
@@ -111,12 +109,21 @@ def csv_cell(value: Column, delimiter: str) -> Column:
     return F.when(text.rlike(f'[{re.escape(delimiter)}"\\n\\r]|^ | $'), whole).otherwise(text)
 
 
+def _name_cell(name: str, delimiter: str) -> str:
+    """A column's name as ``csv_cell`` writes it."""
+    if not re.search(f'[{re.escape(delimiter)}"\\n\\r]|^ | $', name):
+        return name
+    if name.endswith(ESCAPE):
+        raise ValueError(f"a quoted CSV cell can't end with a backslash: {name}")
+    return QUOTE + re.sub(r'(\\?)"', lambda m: m[0] if m[1] else '""', name) + QUOTE
+
+
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", mode: str = "errorifexists") -> None:
     """Lines as ``read_csv_sniffed`` takes them, with the header in front of every file; an
     empty frame gives a file with the header alone."""
-    named = F.concat_ws(delimiter, *[csv_cell(F.lit(c), delimiter) for c in df.columns])
-    cells = [csv_cell(F.col("`" + c.replace("`", "``") + "`"), delimiter) for c in df.columns]
-    line = F.concat_ws(delimiter, *cells)
+    named = F.lit(delimiter.join(_name_cell(c, delimiter) for c in df.columns))
+    cells = F.array(*[F.coalesce(F.col("`" + c.replace("`", "``") + "`").cast("string"), F.lit("")) for c in df.columns])
+    line = F.array_join(F.transform(cells, lambda c: csv_cell(c, delimiter)), delimiter)
     # the id counts the rows of a partition in its lower bits
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     lines = df.select(F.explode(F.when(first, F.array(named, line)).otherwise(F.array(line))).alias("value"))

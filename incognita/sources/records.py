@@ -13,7 +13,6 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,15 +133,15 @@ def _summaries(lexer: Lexer):
     return run
 
 
-def _scanned(splits: pd.DataFrame) -> pd.DataFrame:
+def _scanned(splits: pa.Table) -> pa.Table:
     """The state at each split's start fixed along one file, and the record its first lines are of."""
-    out, state, record = [], 0, 0
-    for s in splits.sort_values("block").itertuples():
-        first, last = s.first[state], s.last[state]
-        out.append((s.file, s.block, first, last, record))
+    rows, state, record = [], 0, 0
+    for s in splits.sort_by("block").to_pylist():
+        first, last = s["first"][state], s["last"][state]
+        rows.append({"file": s["file"], "block": s["block"], "first": first, "last": last, "record": record})
         record += last >= 0
-        state = s.after[state]
-    return pd.DataFrame(out, columns=["file", "block", "first", "last", "record"])
+        state = s["after"][state]
+    return pa.Table.from_pylist(rows, schema=pa.schema([(c, pa.int64()) for c in ("file", "block", "first", "last", "record")]))
 
 
 def _cut(lexer: Lexer):
@@ -177,7 +176,7 @@ def read_records(spark: SparkSession, path: str, lexer: Lexer) -> DataFrame:
     """
     lines = _lines(spark, path)
     splits = lines.mapInArrow(_summaries(lexer), _SUMMARY)
-    found = splits.groupBy("file").applyInPandas(_scanned, "file long, block long, first long, last long, record long")
+    found = splits.groupBy("file").applyInArrow(_scanned, "file long, block long, first long, last long, record long")
     target = shared_dir(spark, "splits")
     found.write.parquet(target)
     found = spark.read.parquet(target)
