@@ -56,11 +56,12 @@ def _together(text: Column) -> Column:
 
 def _lines_below_header(spark: SparkSession, path: str) -> DataFrame:
     """The lines of all files but the first one of each, which is its header; blank ones left out."""
-    # read as one column: the delimiter is a character that no text may hold, quotes mean nothing
-    options = {"sep": "\uffff", "quote": "", "escape": "", "header": True, "maxCharsPerColumn": -1, "emptyValue": "", "nullValue": "\uffff"}
-    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    lines = spark.read.schema("value string").options(**options, **blanks).csv(path)
-    return lines.where(F.trim("value") != "")
+    # read as one column: delimiter and quote are no characters of a text; a line that holds the
+    # delimiter all the same has too many cells and comes back whole as a corrupt record
+    options = {"sep": "\ufffe", "quote": "\ufdd0", "escape": "\ufdd0", "header": True, "maxCharsPerColumn": -1, "emptyValue": "", "nullValue": "\ufdd0"}
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "columnNameOfCorruptRecord": "raw"}
+    lines = spark.read.schema("value string, raw string").options(**options, **blanks).csv(path)
+    return lines.select(F.coalesce("raw", "value").alias("value")).where(F.trim("value") != "")
 
 
 def read_csv_sniffed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

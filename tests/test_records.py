@@ -107,6 +107,12 @@ def test_line_like_the_header_is_data(spark, tmp_path):
     assert {tuple(r) for r in src.read_csv_sniffed(spark, str(tmp_path)).collect()} == set(want)
 
 
+def test_lines_with_any_character_come_back_whole(spark, tmp_path):
+    rows = [("a\ufffeb", "1"), ("\u0000x\u0000", "2"), ("x\ufdd0y", "3"), (" z ", "4"), ("\\", "5"), ("#c", "6")]
+    (tmp_path / "x.csv").write_text("v,n\n" + "".join(f"{v},{n}\n" for v, n in rows), encoding="utf-8")
+    assert [tuple(r) for r in src.read_csv_sniffed(spark, str(tmp_path / "x.csv")).collect()] == rows
+
+
 def test_odd_files(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     assert src.read_csv_sniffed(spark, str(tmp_path / "empty.csv"), multi_line=True).count() == 0
