@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them. A pattern for a
+    path gives both; a plain path must be a folder, a filter on names sees only the files in it."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
+
+
 def all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {name: table(spark, sf, name) for name in TABLES}
 

@@ -675,13 +675,10 @@ def pseudonymize_stream(spark, sf):
 def pseudonymize_text_stream(spark, sf):
     """Document texts as a stream."""
     target, state = inp.folder(spark, "stream"), inp.folder(spark, "state")
-    schema = inp.table(spark, sf, "documents").schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    ).select("doc_id", "text")
+    stream = inp.table_stream(spark, sf, "documents").select("doc_id", "text")
     out = streaming.pseudonymize_text_stream(stream, types=["email", "ipv4"])
     streaming.start_available(out, target, state).awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.schema(out.schema).parquet(target)
 
 
 @query

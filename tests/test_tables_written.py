@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from incognita import operators as op
 from incognita import sources as src
 from incognita import streaming
+from incognita.functions import pseudonymize_text
+from incognita.plans.queries import REGISTRY
 
 
 def test_pages_equal_sorted_batches(spark, tmp_path):
@@ -67,3 +69,18 @@ def test_a_rule_frame_of_any_size_is_an_error(spark, monkeypatch):
     monkeypatch.setattr("incognita.operators.tables.RULES_AT_MOST", 10)
     with pytest.raises(ValueError, match="more than 10 rules"):
         op.rules_from_frame(rules)
+
+
+def test_text_stream_over_a_file_or_a_folder(spark, tmp_path):
+    """The documents may be one file or a folder of part files; both are worked off whole."""
+    rows = [(i, f"mail an a{i}@b.de") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    want = {r["doc_id"]: r["t"] for r in docs.select("doc_id", pseudonymize_text(F.col("text")).alias("t")).collect()}
+    for kind in ("folder", "file"):
+        out = REGISTRY["pseudonymize_text_stream"](spark, str(tmp_path / kind)).collect()
+        assert {r["doc_id"]: r["text"] for r in out} == want
+        assert len(out) == 6
