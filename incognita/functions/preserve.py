@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,9 +16,10 @@ from incognita.functions.arrays import literal_array
 from incognita.rules import DEFAULT_PRESERVE_WORDS
 
 _SEPARATOR = "\u0000"
-# Longer lists are tested as one array constant instead of one expression per rule, which
-# gives the same answers; for lists too long for that, operators.preserve.mark_preserved joins.
+# Longer lists are tested by one regular expression over their prefix tree instead of one expression
+# per rule, which gives the same answers; for lists too long for that, operators.preserve.mark_preserved joins.
 _SHORT = 200
+_DEPTH = 40  # branches within branches; what is left below is listed
 
 
 def _flatten(node: object) -> Iterable[str]:
@@ -97,10 +100,12 @@ class PreserveRules:
                 bodies = (".*".join(re.escape(p) for p in g.split("*")) for g in globs)
                 hit = hit | folded.rlike("(?s)^(?:" + "|".join(bodies) + ")$")
         if len(plain) > _SHORT:
-            listed = literal_array(plain)
-            hit = hit | F.exists(listed, lambda r: F.contains(folded, r))
-            if self.mode == "compat":
-                hit = hit | F.exists(listed, lambda r: F.contains(r, folded))
+            hit = hit | folded.rlike(prefix_tree(plain))
+            if self.mode == "compat" and any(_SEPARATOR in r for r in plain):
+                hit = hit | F.exists(literal_array(plain), lambda r: F.contains(r, folded))
+            elif self.mode == "compat":
+                joined = F.lit(_SEPARATOR.join(plain))
+                hit = hit | (F.contains(joined, folded) & ~F.contains(folded, F.lit(_SEPARATOR)))
         elif plain:
             # A rule that contains another rule adds nothing to "value contains rule".
             shortest = [r for r in plain if not any(o != r and o in r for o in plain)]
@@ -111,6 +116,30 @@ class PreserveRules:
         return F.coalesce(hit, F.lit(False))
 
 
+def prefix_tree(rules: list[str]) -> str:
+    """A regular expression that occurs where one of the rules does. Rules with a common beginning
+    share it, so that a place in a value is tested against few characters, not against every rule."""
+    shortest: list[str] = []
+    for rule in sorted(rules):
+        if not (shortest and rule.startswith(shortest[-1])):
+            shortest.append(rule)
+
+    def literal(text: str) -> str:
+        return "".join(c if c.isascii() and c.isalnum() else "\\" + c for c in text)
+
+    def tree(some: list[str], depth: int) -> str:
+        start = os.path.commonprefix(some)
+        rest = [r[len(start) :] for r in some]
+        if len(some) == 1:
+            return literal(start)
+        if depth == _DEPTH:
+            return literal(start) + "(?:" + "|".join(map(literal, rest)) + ")"
+        branches = [tree(list(group), depth + 1) for _, group in groupby(rest, lambda r: r[0])]
+        return literal(start) + "(?:" + "|".join(branches) + ")"
+
+    return tree(shortest, 0)
+
+
 def _inside_a_rule(value: Column, rules: list[str]) -> Column:
     """True where some rule contains the value: one search in the joined rules."""
     if any(_SEPARATOR in r for r in rules):

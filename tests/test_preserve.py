@@ -110,3 +110,17 @@ def test_a_short_rule_does_not_make_all_pairs(spark):
     rarest = own.groupBy("small").agg(F.min("n").alias("n"), F.max(F.col("n").isNull()).alias("lacks one")).where("NOT `lacks one`")
     looked = rarest.agg(F.sum("n")).first()[0]
     assert len(rows) <= looked + 600 < 2 * 3000
+
+
+@pytest.mark.parametrize("mode", ["strict", "compat"])
+def test_long_lists_test_a_value_once(spark, mode):
+    """Not once per rule: a long list is one regular expression, with the same answers."""
+    odd = ["a.b", "a.b+", "(x", "ü😀", "é", "\\d", "a b", "n\nm", "$", "[q]", "zz" * 30]
+    rules = [f"{7 * i:05d}" for i in range(1, 400)] + odd + ["x" * i + "y" for i in range(1, 120)]
+    keep = PreserveRules(tuple(rules), mode=mode, case_sensitive=True)
+    values = ["00007", "900078", "0000", "axb", "a.b", "wa.b+w", "(", "(x", "ü😀!", "e", "é", "5", "\\d", "n\nm", "z", "Q", "[q", "", "\u0000", "xxxy", "xxx", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", keep.matches(F.col("v")).alias("m"))
+    inside = [] if mode == "strict" else rules
+    want = {v: v is not None and (any(r in v for r in rules) or any(v in r for r in inside)) for v in values}
+    assert {r["v"]: r["m"] for r in df.collect()} == want
+    assert "exists(" not in df._jdf.queryExecution().optimizedPlan().toString()
