@@ -1,23 +1,30 @@
 """Pattern search and replacement inside text columns.
 
-Everything here is one expression per row: no shuffle, no Python worker, whole
-texts. Positions count characters from 0, ``end`` is exclusive.
+Everything here is one expression per row: no shuffle, whole texts. Built-in patterns are
+searched in Arrow batches (see ``search``), patterns of one's own by Spark's functions.
+Positions count characters from 0, ``end`` is exclusive.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from incognita.functions import fakes as fk
 from incognita.functions.arrays import BLOCK, bind, blocks, empty_array, literal_array, running_starts
 from incognita.functions.preserve import PreserveRules
-from incognita.rules import DIGIT, Pattern, patterns_for
+from incognita.functions.search import cut_in, found_in
+from incognita.rules import DIGIT, PATTERN_SETS, Pattern, patterns_for
 
 # A match. Its end is start + length(value), its type the ordinal-th pattern. Natural
 # struct order is "by position, then by pattern order".
 _MATCH = "struct<start:int,ordinal:int,value:string>"
 _REPLACEMENT = "struct<start:int,end:int,type:string,value:string,fake:string>"
+_FOUND = "array<struct<start:int,end:int,type:string,value:string,score:int>>"
+_PLANNED = "array<struct<start:int,end:int,type:string,value:string,ordinal:int>>"
+_BUILT_IN = frozenset(p for patterns in PATTERN_SETS.values() for p in patterns)
 
 # Up to about this many matches of a pattern are located one by one.
 _FEW = 32
@@ -140,9 +147,18 @@ def _of_pattern(values: list, match: Column) -> Column:
     return F.get(literal_array(values), match["ordinal"])
 
 
+def _searched(text: Column, patterns: list[Pattern], returned: str, resolve: bool = False) -> Column:
+    """Matches of built-in patterns, on request without overlaps; an empty array for NULL text."""
+    chosen, last = tuple(patterns), "ordinal" if "ordinal" in returned else "score"
+    found = F.arrow_udf(lambda texts: found_in(texts, chosen, resolve, last), returned)
+    return found(text.cast("string"))
+
+
 def find_all(text: Column, patterns: Patterns = "standard", types: list[str] | None = None) -> Column:
     """array<struct<start,end,type,value,score>>, sorted by start."""
     chosen = patterns_for(patterns, types)
+    if chosen and _BUILT_IN.issuperset(chosen):
+        return _searched(text, chosen, _FOUND)
     kinds, scores = [p.type for p in chosen], [p.weight for p in chosen]
     return F.transform(
         _matches(text, chosen),
@@ -238,7 +254,8 @@ def planned_replacements(
         def choose(k: Column) -> Column:
             out = None
             for target in dict.fromkeys(targets):
-                own = m["ordinal"].isin([i for i, t in enumerate(targets) if t == target])
+                # IN is slow where Spark interprets it, as it does inside transform
+                own = reduce(Column.__or__, [m["ordinal"] == i for i, t in enumerate(targets) if t == target])
                 made = fk.generate(target, m["value"], k)
                 out = F.when(own, made) if out is None else out.when(own, made)
             return out
@@ -246,6 +263,11 @@ def planned_replacements(
         made = bind(key, choose)
         return made if preserve is None else F.when(~preserve.matches(m["value"]), made)
 
+    if _BUILT_IN.issuperset(chosen):
+        return F.transform(
+            _searched(text, chosen, _PLANNED, resolve=True),
+            lambda m: F.struct(*[m[c].alias(c) for c in ("start", "end", "type", "value")], fake_of(m).alias("fake")),
+        )
     return F.transform(
         resolve_overlaps(_matches(text, chosen)),
         lambda m: F.struct(
@@ -278,12 +300,9 @@ def redact_document(
 ) -> Column:
     """Document variant: the types are applied one after the other, each to the
     text the ones before it left, with the word-bounded document patterns."""
-    def apply(p: Pattern):
-        return lambda current: _replace_each(current, p, seed, preserve)
-
     out = text
     for p in patterns_for("document", types):
-        out = bind(out, apply(p))
+        out = _replace_each(out, p, seed, preserve)
     return out
 
 
@@ -292,10 +311,7 @@ def _replace_each(text: Column, p: Pattern, seed: str, preserve: PreserveRules |
         made = bind(fk.digest(p.fake_type, value, seed), lambda key: fk.generate(p.fake_type, value, key))
         return made if preserve is None else F.when(preserve.matches(value), value).otherwise(made)
 
-    def rebuild(parts: Column) -> Column:
-        return F.array_join(
-            F.transform(parts, lambda part, i: F.when(i % 2 == 1, replacement(part)).otherwise(part)), ""
-        )
-
-    parts = F.when(_may_occur(text, p), cut_at_matches(text, p.spark_regex))
-    return bind(parts, lambda x: F.when(F.size(x) > 1, rebuild(x)).otherwise(text))
+    # The text itself is used once, so that a chain of replacements stays a chain.
+    parts = F.arrow_udf(lambda texts: cut_in(texts, p), "array<string>")(text.cast("string"))
+    changed = F.transform(parts, lambda part, i: F.when(i % 2 == 1, replacement(part)).otherwise(part))
+    return F.array_join(changed, "")

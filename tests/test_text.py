@@ -1,7 +1,9 @@
 """Pattern search and replacement against a plain per-text reading of the rules."""
 
 import datetime
+import random
 import re
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 from incognita import functions as fn
 from incognita import operators as op
 from incognita import rules as R
-from incognita.rules import Pattern
+from incognita.functions.search import scanner
+from incognita.rules import PATTERN_SETS, Pattern
 
 # Fragments that match, nearly match or touch each other.
 FRAGMENTS = st.sampled_from(
@@ -229,3 +232,44 @@ def test_only_full_dates_are_moved(spark):
     a, b, c = (r[0] for r in df.select(fn.fake("birthdate", F.col("v"))).collect())
     far = [abs((datetime.date.fromisoformat(x) - datetime.date(2024, 1, 1)).days) for x in (a, b, c)]
     assert far[2] <= 365 and all(datetime.date(1970, 1, 1) <= datetime.date.fromisoformat(x) < datetime.date(2025, 1, 1) for x in (a, b))
+
+
+_PARTS = "a@b.de x.y+z@p.example.org ++49 0 1234567 DE89 3704 0044 0532 0130 00AB 12 10.13.27.7 256.1.1.1 1.2.3.4.5 fe80:0:0:0:7cf0:0:0:1 1:2:3:4:5:6:7:8:9 https://www.ex.com/o/2?a=1 7cf0ce3b-4236-4000-8000-59f8c013f132 40210 2024-01-15 20.02.1999 1999-02-2000-01-01 20.02.19991.02.2000 ü ß _ @ @@ - . | 😀 0 + %".split() + [" ", "\n", "\u0002"]
+
+
+def _random_texts(n: int) -> list[str]:
+    rnd = random.Random(7)
+    return ["".join(rnd.choice(_PARTS) for _ in range(rnd.randint(0, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("patterns", sorted(PATTERN_SETS))
+def test_searched_spellings_equal_the_stated_patterns(patterns):
+    for text in _random_texts(2000):
+        for p in PATTERN_SETS[patterns]:
+            want = [m.span() for m in re.compile(p.regex, re.ASCII).finditer(text)]
+            assert list(scanner(p)(text)) == want, (p.type, text)
+            assert not want or not p.needs or re.search(p.needs, text)
+
+
+def test_built_in_patterns_are_searched_once_in_arrow(spark):
+    """One pass for all patterns, with the same matches as one pass of Spark's functions for each."""
+    df = spark.createDataFrame([(t,) for t in _random_texts(300)] + [(None,)], "text string").coalesce(1)
+    own = [replace(p, edges=(*p.edges, "", False, False)[:3]) for p in PATTERN_SETS["standard"]]
+    own = [replace(p, needs=p.needs and f"(?:{p.needs})") for p in own]  # equal in meaning, not built in
+    for make in (lambda p: fn.find_all(F.col("text"), p), lambda p: fn.planned_replacements(F.col("text"), p)):
+        out = df.select(make("standard").alias("new"), make(own).alias("old"))
+        assert out.where("NOT (new <=> old)").count() == 0
+    plan = df.select(fn.find_all(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_replace" not in plan
+    many = "0 1.2.3.4 a@b.de " * 5000 + "@" * 50_000 + "x" * 100_000
+    assert spark.createDataFrame([(many,)], "text string").select(F.size(fn.find_all(F.col("text"), types=["email", "ipv4"]))).first()[0] == 10_000
+
+
+def test_redacting_is_a_chain(spark):
+    """Six types, the text of each step used once; odd texts stay whole."""
+    types = ["email", "phone", "iban", "ipv4", "url", "uuid"]
+    df = spark.createDataFrame([("",), (None,), ("ü\u0002 ok",), ("1.2.3.4 \u0002 a@b.de",)], "text string")
+    out = [r[0] for r in df.coalesce(1).select(fn.redact_document(F.col("text"), types)).collect()]
+    assert out[:3] == ["", None, "ü\u0002 ok"] and " \u0002 " in out[3] and "a@b.de" not in out[3]
+    plan = df.select(fn.redact_document(F.col("text"), types))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 6
