@@ -15,7 +15,7 @@ from incognita import rules as R
 from incognita.functions import fakes as fk
 from incognita.functions.arrays import bind, literal_map
 from incognita.functions.names import normalize_name
-from incognita.functions.preserve import PreserveRules, should_preserve
+from incognita.functions.preserve import PreserveRules, prefix_tree, should_preserve
 from incognita.functions.text import cut_at_matches
 from incognita.operators.catalog import detect_columns
 from incognita.operators.tables import ColumnRules, quoted
@@ -151,6 +151,17 @@ def _pair_regex(keys: str) -> str:
     return rf'(?s)(?<!\\)"({keys})"\s*+:\s*+({_STRING}|{_NUMBER})'
 
 
+# A pair as it was found, taken apart.
+_FOUND_PAIR = rf'(?s)^"({_KEY})"\s*+:\s*+(.*)$'
+
+
+def _listed_pair_regex(names: list[str]) -> str:
+    """The pairs of all listed names in any case, with blanks and hyphens for underscores. The names are
+    tested as a prefix tree: a key is compared with few of them, not with each."""
+    tree = prefix_tree([n + '"' for n in names]).replace(r"\_", "[-_ ]")
+    return rf'(?s)(?<!\\)"(?=(?iu:{tree}))({_KEY})"\s*+:\s*+({_STRING}|{_NUMBER})'
+
+
 def _regex_literal(text: str) -> str:
     return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in text)
 
@@ -169,8 +180,7 @@ def pseudonymize_json_text(
     """
     if rules is None:
         types = {r.name: r.type for r in R.COLUMN_RULES}
-        names = "|".join(_regex_literal(n).replace("_", "[-_ ]") for n in types)
-        regex = "(?iu)" + _pair_regex(names)
+        regex = _listed_pair_regex(list(types))
     else:
         types = _types(rules)
         regex = _pair_regex("|".join(_regex_literal(n) for n in types))
@@ -180,10 +190,17 @@ def pseudonymize_json_text(
     kind_of = literal_map(types)
 
     def string(literal: Column) -> Column:
-        return F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v")
+        plain = F.startswith(literal, F.lit('"')) & ~F.contains(literal, F.lit("\\"))
+        read = F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v")
+        return F.when(plain, F.substring(literal, F.lit(2), F.length(literal) - 2)).otherwise(read)
+
+    def renewed(pair: Column, spelt: bool) -> Column:
+        return bind(
+            F.struct(*[F.regexp_extract(pair, _FOUND_PAIR, g).alias(n) for g, n in ((1, "key"), (2, "literal"))]),
+            lambda cut: described(pair, cut["key"], cut["literal"], spelt),
+        )
 
-    def renewed(pair: Column, regex: str, spelt: bool) -> Column:
-        key, literal = F.regexp_extract(pair, regex, 1), F.regexp_extract(pair, regex, 2)
+    def described(pair: Column, key: Column, literal: Column, spelt: bool) -> Column:
         name = string(F.concat(F.lit('"'), key, F.lit('"'))) if spelt else key
         return F.struct(
             pair.alias("pair"),
@@ -209,7 +226,7 @@ def pseudonymize_json_text(
             return F.array_join(
                 F.transform(
                     parts,
-                    lambda part, i: F.when(i % 2 == 1, bind(renewed(part, regex, spelt), replaced)).otherwise(part),
+                    lambda part, i: F.when(i % 2 == 1, bind(renewed(part, spelt), replaced)).otherwise(part),
                 ),
                 "",
             )

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from incognita import operators as op
 from incognita import streaming
 from incognita.functions import PreserveRules, fake
+from incognita.functions import fakes as fk
+from incognita.operators import json_docs
 from incognita.operators.mapping import RANGES, permuted, sides
 from incognita.operators.skew import hot_values, salted_left_join
+from incognita.rules import COLUMN_RULES
 from incognita.session import shared_dir
 
 RULES = {"firstname": "first_name", "email": "email", "age": "age"}
@@ -287,3 +291,25 @@ def test_apply_mapping_looks_all_columns_up_in_one_join(spark):
         hit = F.col(c).isin("v0", "v1", "v2", "v3") & F.lit(kind == "city")
         want = want.withColumn(c, F.when(F.col(c).isNull(), None).when(hit, F.concat(F.lit("K"), F.substring(c, 2, 9))).otherwise(fake(kind, F.col(c))))
     assert out.exceptAll(want).count() == 0 and out.count() == 300
+
+
+def test_listed_json_keys_are_found_by_their_prefix_tree(spark):
+    """Each name of the column rules in other spellings, beside keys that only begin or end like one;
+    the same pairs as by one alternative per name."""
+    names = [r.name for r in COLUMN_RULES]
+    keys = [*names, *(n.upper().replace("_", "-") for n in names), *(n.title().replace("_", " ") for n in names)]
+    keys += [n + "x" for n in names] + ["x" + n for n in names] + [n[:-1] for n in names if len(n) > 1]
+    values = ['"a b"', '"q\\"u, \\"name\\": 1"', "12", "-1.50E3", "true", "null", '""', '"\\u00e4"', "[1]"]
+    docs = ["{" + ", ".join(f'"{k}" : {v}' for k in keys[i::7]) + "}" for i in range(7) for v in values]
+    old = "(?iu)" + json_docs._pair_regex("|".join(json_docs._regex_literal(n).replace("_", "[-_ ]") for n in names))
+    df = spark.createDataFrame([(d,) for d in docs], "doc string").coalesce(1)
+    pairs = [F.regexp_extract_all("doc", F.lit(r), F.lit(0)) for r in (old, json_docs._listed_pair_regex(names))]
+    found = df.select(pairs[0].alias("old"), pairs[1].alias("new")).collect()
+    assert all(r["old"] == r["new"] for r in found) and sum(len(r["new"]) for r in found) > 1000
+    one = spark.createDataFrame([('{"Name" : "q\\"u\\\\", "mail": -1.50E3, "xname": "n", "PLZ":"\\u00e4"}',)], "doc string")
+    got = json.loads(op.pseudonymize_json_text(one, "doc", seed="s").first()[0])
+    text = '{"v": -1.50E3}'
+    number = one.select(F.get_json_object(F.lit(text), "$.v")).first()[0]
+    wants = {"Name": ("full_name", 'q"u\\'), "mail": ("email", number), "PLZ": ("postcode", "ä")}
+    want = one.select(*[fk.fake(t, F.lit(v), "s").alias(k) for k, (t, v) in wants.items()]).first().asDict()
+    assert got == {**want, "xname": "n"}
