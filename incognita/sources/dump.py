@@ -133,7 +133,8 @@ def unquote(literal: Column) -> Column:
             part = F.replace(part, F.lit("\\" + sign), F.lit(meant))
         return F.regexp_replace(part, r"(?s)\\(.)", "$1")
 
-    return F.array_join(F.transform(parts, resolved), "\\")
+    escaped = F.array_join(F.transform(parts, resolved), "\\")
+    return F.when(F.contains(doubled, F.lit("\\")), escaped).otherwise(doubled)
 
 
 def value_kind(literal: Column) -> Column:
@@ -218,9 +219,11 @@ def pseudonymize_insert_dump(
     kinds = F.when(concerned, F.transform(order, lambda c: type_of(F.col("table"), c)))
 
     def new_literal(literal: Column, kind: Column) -> Column:
-        content = unquote(literal)
+        replaced = bind(unquote(literal), lambda content: new_content(literal, content, kind))
+        return F.when(_is_quoted(literal), replaced).otherwise(literal)
+
+    def new_content(literal: Column, content: Column, kind: Column) -> Column:
         quote = F.left(literal, F.lit(1))
-        wanted = kind.isNotNull() & _is_quoted(literal)
         made = bind(
             fk.digest(kind, content, seed),
             lambda key: fk.generate_by(kind, sorted(set(types.values())), content, key),
@@ -228,16 +231,17 @@ def pseudonymize_insert_dump(
         escaped = F.replace(made, F.lit("\\"), F.lit("\\\\"))
         escaped = F.replace(escaped, quote, F.concat(F.lit("\\"), quote))
         replaced = F.concat(quote, escaped, quote)
-        if preserve is not None:
-            replaced = F.when(should_preserve(content, preserve), literal).otherwise(replaced)
-        return F.when(wanted, replaced).otherwise(literal)
+        return replaced if preserve is None else F.when(should_preserve(content, preserve), literal).otherwise(replaced)
 
     def new_cell(cell: Column, kind: Column) -> Column:
-        """A cell with the blanks around its literal."""
-        literal = F.trim(cell, F.lit(" \t\r\n"))
+        """A cell with the blanks around its literal; without a rule it stays as it is."""
         lead = F.length(cell) - F.length(F.ltrim(cell, F.lit(" \t\r\n")))
-        tail = F.substring(cell, lead + F.length(literal) + 1, F.length(cell))
-        return F.concat(F.left(cell, lead), new_literal(literal, kind), tail)
+
+        def renewed(literal: Column) -> Column:
+            tail = F.substring(cell, lead + F.length(literal) + 1, F.length(cell))
+            return F.concat(F.left(cell, lead), new_literal(literal, kind), tail)
+
+        return F.when(kind.isNull(), cell).otherwise(bind(F.trim(cell, F.lit(" \t\r\n")), renewed))
 
     def new_tuple(row: Column) -> Column:
         inner = F.substring(row, F.lit(2), F.length(row) - 2)

@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from incognita.functions import PreserveRules
+from incognita.functions import PreserveRules, fake
 from incognita.sources import (
     dump_rows,
     dump_schema,
@@ -201,3 +202,15 @@ def test_statement_ends_inside_literals(spark, tmp_path):
     foreign.write_text("INSERT INTO t (id, name) VALUES (1, 'a;\nb');\n")
     back = dump_table(read_insert_dump(spark, str(foreign)), "t", ["id", "name"])
     assert [tuple(r) for r in back.collect()] == [("1", "a;\nb")]
+
+
+def test_cells_without_a_rule_are_not_taken_apart(spark):
+    """They and the literals' contents are read once, and every character of them stays."""
+    cells = "( 1 ,\t'a' , \"b\"), (NULL,'it''s','c\\\\d'), (f(1, ')') , 'x' ,' ')"
+    df = spark.createDataFrame([(f"INSERT INTO t (i, a, b) VALUES {cells}",)], "statement string")
+    out = pseudonymize_insert_dump(parse_inserts(df), {"t": {"a": "city"}}, seed="s")
+    want = df.select(*[fake("city", F.lit(v), "s") for v in ("a", "it's", "x")]).first()
+    a, b, c = (f"'{w}'" for w in want)
+    assert out.first()[0] == f"INSERT INTO t (i, a, b) VALUES ( 1 ,\t{a} , \"b\"), (NULL,{b},'c\\\\d'), (f(1, ')') , {c} ,' ')"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") <= 6
