@@ -1,56 +1,177 @@
 """Search of the built-in patterns in Arrow batches.
 
-Per batch of texts every pattern is searched with Python's regular expressions; what
-comes back is one list of matches a text. Patterns of one's own are Java expressions and are
-searched by Spark's functions instead, see ``text``.
+The texts of a batch are laid in a row as UTF-8 bytes, a zero byte between them: the patterns know
+ASCII characters only and none matches a zero byte, so matches are those of each text alone. Numpy
+tells for all texts at once where a match may start, from a few classes of bytes; the stated pattern
+is tried there only. What comes back is one list of matches a text. Patterns of one's own are Java
+expressions and are searched by Spark's functions instead, see ``text``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from incognita.rules import Pattern
 
-# A match whose head has a fixed width is looked for at the character behind its head, which
-# is far rarer than the head's first one: type -> head as stated, its width.
-_HEADS = {"uuid": ("[0-9a-fA-F]{8}", 8), "date_iso": (r"\d{4}", 4), "date_de": (r"\d{2}", 2)}
-
-# Equal spellings of the beginnings of stated patterns that fail sooner: as stated, as searched.
-_SPELT = (
-    (r"(?:\+49|0)", r"[+0](?:(?<=0)|49)"),
-    (r"[A-Z]{2}\d{2}", r"[A-Z][A-Z]\d{2}"),
-    (r"\d{5}\b", r"\d(?<!\w\d)\d{4}\b"),
-    (r"(?:[0-9a-fA-F]{1,4}:){7}", r"[0-9a-fA-F]{1,4}:(?:[0-9a-fA-F]{1,4}:){6}"),
-    (r"(?:(?:25[0-5]", r"(?=[0-9]{1,3}\.[0-9]{1,3}\.[0-9])\b(?:(?:25[0-5]"),
-)
-_BORDERLESS = ("postcode_de", "ipv4")  # the spelling above holds the word border in front
-_LOCAL = re.compile(r"(\\b)?(\[[^\]]*\])\+@")
+PIECE = 1 << 20  # bytes of texts that are searched at once, or one longer text
+_AHEAD = 40  # more than the places behind a start that are looked at
 
-Scan = Callable[[str], Iterator[tuple[int, int]]]
+Spans = tuple[np.ndarray, np.ndarray]
+Scan = Callable[["Bytes"], Spans]
 
 
-def _plain(regex: str) -> Scan:
-    find = re.compile(regex, re.ASCII).finditer
-    return lambda text: (m.span() for m in find(text))
+class Bytes:
+    """Texts in a row, and where bytes of some classes stand in them. The arrays hold one place in front
+    of the first byte and some behind the last."""
 
+    def __init__(self, text: bytes):
+        self.text = text
+        self.codes = np.zeros(len(text) + 1 + _AHEAD, np.uint8)
+        self.codes[1 : len(text) + 1] = np.frombuffer(text, np.uint8)
 
-def _behind_head(regex: str, head: str, width: int) -> Scan:
-    """Matches of head + rest, looked for at the first character of the rest."""
-    border, tail = regex.split(head, 1)
-    sign = re.match(r"\\?.", tail)[0]
-    search = re.compile(f"{sign}(?<={border}{head}{sign}){tail[len(sign):]}", re.ASCII).search
+    def ahead(self, marks: np.ndarray, by: int) -> np.ndarray:
+        """For each byte, the mark of the one ``by`` places ahead."""
+        return marks[1 + by : 1 + by + len(self.text)]
 
-    def scan(text: str) -> Iterator[tuple[int, int]]:
-        end, m = 0, search(text)
-        while m:
-            if m.start() - width >= end:  # else it overlaps the match before it
-                end = m.end()
-                yield m.start() - width, end
-            m = search(text, m.start() + 1)
+    def of(self, character: str, by: int = 0) -> np.ndarray:
+        return self.ahead(self.codes, by) == ord(character)
+
+    @cached_property
+    def digit(self) -> np.ndarray:
+        return self.codes - 48 < 10
+
+    @cached_property
+    def hexadecimal(self) -> np.ndarray:
+        return self.digit | ((self.codes | 32) - 97 < 6)
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        return self.digit | ((self.codes | 32) - 97 < 26) | (self.codes == ord("_"))
+
+    @cached_property
+    def upper(self) -> np.ndarray:
+        return self.codes - 65 < 26
+
+    @cached_property
+    def dialled(self) -> np.ndarray:
+        """Digits, white space, hyphens and slashes: what telephone numbers are made of."""
+        out = self.digit | (self.codes - 9 < 5)
+        for c in " -/":
+            out |= self.codes == ord(c)
+        return out
+
+    @cached_property
+    def continued(self) -> np.ndarray | None:
+        """The bytes in front of each that do not begin a character; None if there are none at all."""
+        return None if self.text.isascii() else np.cumsum(self.codes & 0xC0 == 0x80, dtype=np.int64)
+
+
+# --- where a match may start ---------------------------------------------------------------
+
+
+def _phone(t: Bytes) -> np.ndarray:
+    two = t.dialled[:-1] & t.dialled[1:]
+    six = two[:-4] & two[2:-2] & two[4:]
+    return np.flatnonzero((t.of("0") & t.ahead(six, 1)) | (t.of("+") & t.ahead(six, 3)))
+
+
+def _iban(t: Bytes) -> np.ndarray:
+    return np.flatnonzero(t.ahead(t.upper, 0) & t.ahead(t.upper, 1) & t.ahead(t.digit, 2) & t.ahead(t.digit, 3))
+
+
+def _groups(t: Bytes, marks: np.ndarray, width: int, behind: str, count: int) -> np.ndarray:
+    """Where up to ``width`` marked bytes stand in front of the first of ``count`` such characters with at
+    most ``width`` bytes between them."""
+    at = np.flatnonzero(t.of(behind))
+    gaps = np.diff(at)
+    near = np.concatenate([[0], np.cumsum((gaps >= 2) & (gaps <= width + 1))])
+    last = max(0, len(at) - count + 1)
+    low, out = at[:last][near[count - 1 : count - 1 + last] - near[:last] == count - 1], []
+    for _ in range(width):
+        low = low[marks[low]] - 1
+        out.append(low)
+    return np.sort(np.concatenate(out))
+
+
+def _ipv4(t: Bytes) -> np.ndarray:
+    starts = _groups(t, t.digit, 3, ".", 3)
+    return starts[~t.word[starts]]
+
+
+def _ipv6(t: Bytes) -> np.ndarray:
+    return _groups(t, t.hexadecimal, 4, ":", 7)
+
+
+def _url(t: Bytes) -> np.ndarray:
+    return np.flatnonzero(t.of("h") & t.of("t", 1) & t.of("t", 2) & t.of("p", 3))
+
+
+_STARTS = {"phone_de": _phone, "phone": _phone, "iban": _iban, "ipv4": _ipv4, "ipv6": _ipv6, "url": _url}
+
+# Patterns of one width, with the class of the characters that are not written out.
+_FIXED = {"uuid": "hexadecimal", "postcode_de": "digit", "date_iso": "digit", "date_de": "digit"}
+
+
+
+# --- scans ---------------------------------------------------------------------------------
+
+
+def _spans(found: list[tuple[int, int]]) -> Spans:
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _tried(regex: str, starts: Callable[[Bytes], np.ndarray]) -> Scan:
+    """The pattern, tried at every place where it may start and no match before it stands."""
+    match = re.compile(regex.encode()).match
+
+    def scan(t: Bytes) -> Spans:
+        end, found = 0, []
+        for at in starts(t).tolist():
+            if at >= end:
+                m = match(t.text, at)
+                if m:
+                    end = m.end()
+                    found.append((at, end))
+        return _spans(found)
+
+    return scan
+
+
+def _of_one_width(kind: str, shape: str, first: bool, last: bool) -> Scan:
+    """Matches of a shape such as ``0000-00-00``, where 0 stands for any byte of the class; on request with
+    a word border in front of the first and behind the last one."""
+    signs = [(i, c) for i, c in enumerate(shape) if c != "0"]
+    others = [i for i, c in enumerate(shape) if c == "0"]
+
+    def scan(t: Bytes) -> Spans:
+        marks, may = getattr(t, kind), np.ones(len(t.text), bool)
+        for i, c in signs:
+            may &= t.of(c, i)
+        if not signs:
+            for i in others:
+                may &= t.ahead(marks, i)
+        starts = np.flatnonzero(may)
+        for i in others if signs else ():
+            starts = starts[marks[starts + 1 + i]]
+        if first:
+            starts = starts[~t.word[starts]]
+        if last:
+            starts = starts[~t.word[starts + 1 + len(shape)]]
+        if len(starts) > 1 and np.diff(starts).min() < len(shape):  # the left-most of overlapping ones
+            end, apart = 0, []
+            for at in starts.tolist():
+                if at >= end:
+                    end = at + len(shape)
+                    apart.append(at)
+            starts = np.array(apart, np.int64)
+        return starts, starts + len(shape)
 
     return scan
 
@@ -58,100 +179,146 @@ def _behind_head(regex: str, head: str, width: int) -> Scan:
 def _addresses(regex: str, border: str, local: str) -> Scan:
     """E-mail addresses: a leftmost match starts at the head of a run of local-part characters, with a
     border at the first one of the run that has it, or within what is left of a run behind a match."""
-    domain = regex[len(border) + len(local) + 1 :]
-    run = re.compile(f"{local}+", re.ASCII)
-    rest = re.compile(domain, re.ASCII)
-    first = re.compile(border + local, re.ASCII)
-    allowed = frozenset(chr(c) for c in range(128) if run.match(chr(c)))
+    rest = re.compile(regex[len(border) + len(local) + 1 :].encode())
+    first = re.compile((border + local).encode())
+    run = re.compile(local.encode())
+    allowed = frozenset(c for c in range(128) if run.match(bytes([c])))
 
-    def scan(text: str) -> Iterator[tuple[int, int]]:
-        end, at = 0, text.find("@")
-        while at >= 0:
+    def scan(t: Bytes) -> Spans:
+        text, end, found = t.text, 0, []
+        for at in np.flatnonzero(t.of("@")).tolist():
+            if at < end:
+                continue
             low = at
             while low > end and text[low - 1] in allowed:
                 low -= 1
             head = first.search(text, low, at) if low < at else None
-            found = rest.match(text, at) if head else None
-            if found:
-                end = found.end()
-                yield head.start(), end
-                at = text.find("@", end)
-            else:
-                at = text.find("@", at + 1)
+            m = rest.match(text, at) if head else None
+            if m:
+                end = m.end()
+                found.append((head.start(), end))
+        return _spans(found)
 
     return scan
 
 
+_LOCAL = re.compile(r"(\\b)?(\[[^\]]*\])\+@")
+_REPEATED = re.compile(r"(?:\[0-9a-fA-F\]|\\d)\{(\d+)\}")
+
+
 @cache
-def scanner(p: Pattern) -> Scan:
-    """Gives (start, end) of the leftmost, non-overlapping matches of a stated pattern."""
-    regex = p.regex
-    local = _LOCAL.match(regex)
+def scan_of(p: Pattern) -> Scan:
+    """Gives first and last place (exclusive) of the leftmost, non-overlapping matches of a built-in pattern."""
+    local = _LOCAL.match(p.regex)
     if local:
-        return _addresses(regex, local[1] or "", local[2])
-    if p.type in _HEADS and _HEADS[p.type][0] in regex:
-        return _behind_head(regex, *_HEADS[p.type])
-    for stated, spelt in _SPELT:
-        if stated in regex and not regex.startswith("(?<!"):
-            body = regex.removeprefix(r"\b") if p.type in _BORDERLESS else regex
-            regex = body.replace(stated, spelt, 1)
-    return _plain(regex)
-
-
-def kept_of_overlapping(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Of overlapping (start, ordinal, end) the right-most, at equal starts the earlier pattern."""
+        return _addresses(p.regex, local[1] or "", local[2])
+    if p.type in _FIXED:
+        first, last = p.regex.startswith(r"\b"), p.regex.endswith(r"\b")
+        shape = _REPEATED.sub(lambda m: "0" * int(m[1]), p.regex.removeprefix(r"\b").removesuffix(r"\b"))
+        return _of_one_width(_FIXED[p.type], shape.replace(r"\.", "."), first, last)
+    return _tried(p.regex, _STARTS[p.type])
+
+
+def scanner(p: Pattern) -> Callable[[str], Iterator[tuple[int, int]]]:
+    """The same for one text, in characters."""
+
+    def scan(text: str) -> Iterator[tuple[int, int]]:
+        t = Bytes(text.encode())
+        starts, ends = scan_of(p)(t)
+        first = _characters(t, starts, np.zeros(len(starts), np.int64))
+        return zip(first.tolist(), (first + ends - starts).tolist(), strict=True)
+
+    return scan
+
+
+def _characters(t: Bytes, places: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Characters between places in the bytes and the beginnings of their texts."""
+    if t.continued is None:
+        return places - begin
+    return places - begin - (t.continued[places] - t.continued[begin])
+
+
+# --- batches -------------------------------------------------------------------------------
+
+
+def kept_of_overlapping(starts: np.ndarray, ordinals: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which ones stay, in ascending order: of overlapping ones the right-most, at equal starts the
+    earlier pattern."""
+    order = np.lexsort((ordinals, -starts))
     kept, last = [], 1 << 62
-    for m in sorted(found, key=lambda m: (-m[0], m[1])):
-        if m[2] <= last:
-            kept.append(m)
-            last = m[0]
-    return kept[::-1]
+    for i, a, b in zip(order.tolist(), starts[order].tolist(), ends[order].tolist(), strict=True):
+        if b <= last:
+            kept.append(i)
+            last = a
+    return np.array(kept[::-1], np.int64)
 
 
-def _texts(column: pa.Array) -> list[str | None]:
+def _pieces(column: pa.Array) -> Iterator[tuple[pa.Array, Bytes, np.ndarray, np.ndarray]]:
+    """Runs of texts (as they are, in a row) with the first place of each, and the place behind its last."""
     try:
-        return column.to_pylist()
-    except UnicodeDecodeError:  # bytes that are no UTF-8 read as they do in the JVM
-        return [b if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+        column.validate(full=True)
+    except pa.ArrowInvalid:  # bytes that are no UTF-8 read as they do in the JVM
+        cells = column.cast(pa.binary()).to_pylist()
+        column = pa.array([b if b is None else b.decode("utf-8", "replace") for b in cells], pa.string())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    total, a = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + PIECE, "right")) - 1)
+        part = column.slice(a, b - a)
+        cells = part.cast(pa.large_binary() if pa.types.is_large_string(part.type) else pa.binary()).to_pylist()
+        begin = total[a:b] - total[a]
+        yield part, Bytes(b"\0".join([c or b"" for c in cells])), begin, begin + sizes[a:b] - 1
+        a = b
+
+
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *arrays])
 
 
 def found_in(column: pa.Array, patterns: tuple[Pattern, ...], resolve: bool, last: str = "score") -> pa.Array:
     """The matches in each text as start, end, type, value and, as ``last``, score or ordinal, sorted
     by position and pattern."""
-    scans = [(i, re.compile(p.needs).search if p.needs else None, scanner(p)) for i, p in enumerate(patterns)]
-    offsets, starts, ends, ordinals, values = [0], [], [], [], []
-    for text in _texts(column):
-        if text:
-            found = [(a, i, b) for i, needs, scan in scans if needs is None or needs(text) for a, b in scan(text)]
-            found = kept_of_overlapping(found) if resolve and len(found) > 1 else sorted(found)
-            for a, i, b in found:
-                starts.append(a)
-                ends.append(b)
-                ordinals.append(i)
-                values.append(text[a:b])
-        offsets.append(len(starts))
-    which = pa.array(ordinals, pa.int32())
+    scans = [scan_of(p) for p in patterns]
+    firsts, sizes, kinds, values, counts = [], [], [], [], []
+    for _, t, begin, _ in _pieces(column):
+        found = [scan(t) for scan in scans]
+        starts, ends = (_joined([f[k] for f in found]) for k in (0, 1))
+        ordinals = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        order = kept_of_overlapping(starts, ordinals, ends) if resolve else np.lexsort((ordinals, starts))
+        starts, ends = starts[order], ends[order]
+        behind = np.append(np.searchsorted(starts, begin), len(starts))
+        counts.append(np.diff(behind))
+        firsts.append(_characters(t, starts, np.repeat(begin, counts[-1])))
+        sizes.append(ends - starts)
+        kinds.append(ordinals[order])
+        values += [t.text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    first, which = _joined(firsts), pa.array(_joined(kinds), pa.int32())
     cells = {
-        "start": pa.array(starts, pa.int32()),
-        "end": pa.array(ends, pa.int32()),
+        "start": pa.array(first, pa.int32()),
+        "end": pa.array(first + _joined(sizes), pa.int32()),
         "type": pa.array([p.type for p in patterns], pa.string()).take(which),
-        "value": pa.array(values, pa.string()),
+        "value": pa.array(values, pa.binary()).cast(pa.string()),
         last: which if last == "ordinal" else pa.array([p.weight for p in patterns], pa.int32()).take(which),
     }
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(cells.values()), list(cells)))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(_joined(counts))]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(cells.values()), list(cells)))
 
 
 def cut_in(column: pa.Array, pattern: Pattern) -> pa.Array:
     """The texts as gap, match, gap, ..., gap; NULL stays NULL."""
-    needs, scan = re.compile(pattern.needs).search if pattern.needs else None, scanner(pattern)
-    out: list[list[str] | None] = []
-    for text in _texts(column):
-        if text is None or (needs and not needs(text)):
-            out.append(None if text is None else [text])
-            continue
-        parts, at = [], 0
-        for a, b in scan(text):
-            parts += [text[at:a], text[a:b]]
-            at = b
-        out.append([*parts, text[at:]])
-    return pa.array(out, pa.list_(pa.string()))
+    scan, out = scan_of(pattern), []
+    for part, t, begin, behind in _pieces(column):
+        starts, ends = scan(t)
+        cuts = np.stack([starts, ends], 1).reshape(-1)
+        low = np.concatenate([begin, cuts])
+        by = np.argsort(low, kind="stable")  # a text's beginning stands before a match that begins there
+        high = np.concatenate([cuts, behind])
+        high.sort(kind="stable")
+        parts = [t.text[a:b] for a, b in zip(low[by].tolist(), high.tolist(), strict=True)]
+        counts = 1 + 2 * np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        lists = pa.ListArray.from_arrays(
+            pa.array(at, pa.int32()), pa.array(parts, pa.binary()).cast(pa.string()), mask=part.is_null()
+        )
+        out.append(lists)
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
