@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from incognita.functions.fakes_in_batches import fakes_of, strings
 from incognita.rules import Pattern
 
 PIECE = 1 << 20  # bytes of texts that are searched at once, or one longer text
@@ -68,8 +69,8 @@ class Bytes:
 
     @cached_property
     def continued(self) -> np.ndarray | None:
-        """The bytes in front of each that do not begin a character; None if there are none at all."""
-        return None if self.text.isascii() else np.cumsum(self.codes & 0xC0 == 0x80, dtype=np.int64)
+        """The places of bytes that do not begin a character; None if there are none at all."""
+        return None if self.text.isascii() else np.flatnonzero(self.codes & 0xC0 == 0x80) - 1
 
 
 # --- where a match may start ---------------------------------------------------------------
@@ -122,9 +123,8 @@ _FIXED = {"uuid": "hexadecimal", "postcode_de": "digit", "date_iso": "digit", "d
 # --- scans ---------------------------------------------------------------------------------
 
 
-def _spans(found: list[tuple[int, int]]) -> Spans:
-    both = np.array(found, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+def _spans(starts: list[int], ends: list[int]) -> Spans:
+    return np.array(starts, np.int64), np.array(ends, np.int64)
 
 
 def _tried(regex: str, starts: Callable[[Bytes], np.ndarray]) -> Scan:
@@ -132,14 +132,13 @@ def _tried(regex: str, starts: Callable[[Bytes], np.ndarray]) -> Scan:
     match = re.compile(regex.encode()).match
 
     def scan(t: Bytes) -> Spans:
-        end, found = 0, []
+        text, end, low, high = t.text, 0, [], []
         for at in starts(t).tolist():
-            if at >= end:
-                m = match(t.text, at)
-                if m:
-                    end = m.end()
-                    found.append((at, end))
-        return _spans(found)
+            if at >= end and (m := match(text, at)):
+                end = m.end()
+                low.append(at)
+                high.append(end)
+        return _spans(low, high)
 
     return scan
 
@@ -185,19 +184,21 @@ def _addresses(regex: str, border: str, local: str) -> Scan:
     allowed = frozenset(c for c in range(128) if run.match(bytes([c])))
 
     def scan(t: Bytes) -> Spans:
-        text, end, found = t.text, 0, []
+        text, end, starts, ends = t.text, 0, [], []
         for at in np.flatnonzero(t.of("@")).tolist():
             if at < end:
                 continue
             low = at
             while low > end and text[low - 1] in allowed:
                 low -= 1
-            head = first.search(text, low, at) if low < at else None
-            m = rest.match(text, at) if head else None
-            if m:
+            if border and low < at:
+                head = first.search(text, low, at)
+                low = head.start() if head else at
+            if low < at and (m := rest.match(text, at)):
                 end = m.end()
-                found.append((head.start(), end))
-        return _spans(found)
+                starts.append(low)
+                ends.append(end)
+        return _spans(starts, ends)
 
     return scan
 
@@ -235,7 +236,7 @@ def _characters(t: Bytes, places: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Characters between places in the bytes and the beginnings of their texts."""
     if t.continued is None:
         return places - begin
-    return places - begin - (t.continued[places] - t.continued[begin])
+    return places - begin - (np.searchsorted(t.continued, places) - np.searchsorted(t.continued, begin))
 
 
 # --- batches -------------------------------------------------------------------------------
@@ -244,13 +245,24 @@ def _characters(t: Bytes, places: np.ndarray, begin: np.ndarray) -> np.ndarray:
 def kept_of_overlapping(starts: np.ndarray, ordinals: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which ones stay, in ascending order: of overlapping ones the right-most, at equal starts the
     earlier pattern."""
-    order = np.lexsort((ordinals, -starts))
-    kept, last = [], 1 << 62
-    for i, a, b in zip(order.tolist(), starts[order].tolist(), ends[order].tolist(), strict=True):
+    order = _in_order(starts, ordinals)
+    low, high = starts[order], ends[order]
+    apart = np.ones(len(order) + 1, bool)  # begins behind all before it
+    apart[1:-1] = low[1:] >= np.maximum.accumulate(high)[:-1]
+    keep = apart[:-1] & apart[1:]
+    some = np.flatnonzero(~keep)
+    some = some[np.lexsort((ordinals[order[some]], -low[some]))]
+    last = 1 << 62
+    for i, a, b in zip(some.tolist(), low[some].tolist(), high[some].tolist(), strict=True):
         if b <= last:
-            kept.append(i)
+            keep[i] = True
             last = a
-    return np.array(kept[::-1], np.int64)
+    return order[keep]
+
+
+def _in_order(starts: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
+    """By position, then by pattern; the matches of one pattern come sorted, which a stable sort makes use of."""
+    return np.argsort(starts * (int(ordinals.max(initial=0)) + 1) + ordinals, kind="stable")
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[pa.Array, Bytes, np.ndarray, np.ndarray]]:
@@ -275,8 +287,10 @@ def _joined(arrays: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *arrays])
 
 
-def found_in(column: pa.Array, patterns: tuple[Pattern, ...], resolve: bool, last: str = "score") -> pa.Array:
-    """The matches in each text as start, end, type, value and, as ``last``, score or ordinal, sorted
+def found_in(
+    column: pa.Array, patterns: tuple[Pattern, ...], resolve: bool, last: str = "score", seed: str = ""
+) -> pa.Array:
+    """The matches in each text as start, end, type, value and, as ``last``, score, ordinal or fake, sorted
     by position and pattern."""
     scans = [scan_of(p) for p in patterns]
     firsts, sizes, kinds, values, counts = [], [], [], [], []
@@ -284,21 +298,27 @@ def found_in(column: pa.Array, patterns: tuple[Pattern, ...], resolve: bool, las
         found = [scan(t) for scan in scans]
         starts, ends = (_joined([f[k] for f in found]) for k in (0, 1))
         ordinals = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        order = kept_of_overlapping(starts, ordinals, ends) if resolve else np.lexsort((ordinals, starts))
+        order = kept_of_overlapping(starts, ordinals, ends) if resolve else _in_order(starts, ordinals)
         starts, ends = starts[order], ends[order]
         behind = np.append(np.searchsorted(starts, begin), len(starts))
         counts.append(np.diff(behind))
         firsts.append(_characters(t, starts, np.repeat(begin, counts[-1])))
         sizes.append(ends - starts)
         kinds.append(ordinals[order])
-        values += [t.text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    first, which = _joined(firsts), pa.array(_joined(kinds), pa.int32())
+        text = t.text
+        values += [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    first, size, ordinal = _joined(firsts), _joined(sizes), _joined(kinds)
+    which = pa.array(ordinal, pa.int32())
+    if last == "fake":
+        made = fakes_of(values, [p.fake_type for p in patterns], ordinal, seed)
+    else:
+        made = which if last == "ordinal" else pa.array([p.weight for p in patterns], pa.int32()).take(which)
     cells = {
         "start": pa.array(first, pa.int32()),
-        "end": pa.array(first + _joined(sizes), pa.int32()),
+        "end": pa.array(first + size, pa.int32()),
         "type": pa.array([p.type for p in patterns], pa.string()).take(which),
-        "value": pa.array(values, pa.binary()).cast(pa.string()),
-        last: which if last == "ordinal" else pa.array([p.weight for p in patterns], pa.int32()).take(which),
+        "value": strings(b"".join(values), size),
+        last: made,
     }
     offsets = pa.array(np.concatenate([[0], np.cumsum(_joined(counts))]), pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(cells.values()), list(cells)))

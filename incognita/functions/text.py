@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from incognita.functions import fakes as fk
 from incognita.functions.arrays import BLOCK, bind, blocks, empty_array, literal_array, running_starts
+from incognita.functions.fakes_in_batches import can_make
 from incognita.functions.preserve import PreserveRules
 from incognita.functions.search import cut_in, found_in
 from incognita.rules import DIGIT, PATTERN_SETS, Pattern, patterns_for
@@ -147,10 +148,11 @@ def _of_pattern(values: list, match: Column) -> Column:
     return F.get(literal_array(values), match["ordinal"])
 
 
-def _searched(text: Column, patterns: list[Pattern], returned: str, resolve: bool = False) -> Column:
+def _searched(text: Column, patterns: list[Pattern], returned: str, resolve: bool = False, seed: str = "") -> Column:
     """Matches of built-in patterns, on request without overlaps; an empty array for NULL text."""
-    chosen, last = tuple(patterns), "ordinal" if "ordinal" in returned else "score"
-    found = F.arrow_udf(lambda texts: found_in(texts, chosen, resolve, last), returned)
+    chosen = tuple(patterns)
+    last = returned.rpartition(",")[2].partition(":")[0]
+    found = F.arrow_udf(lambda texts: found_in(texts, chosen, resolve, last, seed), returned)
     return found(text.cast("string"))
 
 
@@ -247,6 +249,18 @@ def planned_replacements(
     if not chosen:
         return empty_array(_REPLACEMENT)
     kinds, targets = [p.type for p in chosen], [p.fake_type for p in chosen]
+    built_in = _BUILT_IN.issuperset(chosen)
+    if built_in and can_make(targets):
+        plan = _searched(text, chosen, f"array<{_REPLACEMENT}>", True, seed)
+        if preserve is None:
+            return plan
+        return F.transform(
+            plan,
+            lambda m: F.struct(
+                *[m[c].alias(c) for c in ("start", "end", "type", "value")],
+                F.when(~preserve.matches(m["value"]), m["fake"]).alias("fake"),
+            ),
+        )
 
     def fake_of(m: Column) -> Column:
         key = fk.digest(_of_pattern(targets, m), m["value"], seed)
@@ -263,7 +277,7 @@ def planned_replacements(
         made = bind(key, choose)
         return made if preserve is None else F.when(~preserve.matches(m["value"]), made)
 
-    if _BUILT_IN.issuperset(chosen):
+    if built_in:
         return F.transform(
             _searched(text, chosen, _PLANNED, resolve=True),
             lambda m: F.struct(*[m[c].alias(c) for c in ("start", "end", "type", "value")], fake_of(m).alias("fake")),
