@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from incognita.functions.fakes_in_batches import fakes_of, strings
 from incognita.rules import Pattern
 
-PIECE = 1 << 20  # bytes of texts that are searched at once, or one longer text
+PIECE = 1 << 18  # bytes of texts that are searched at once, or one longer text
 _AHEAD = 40  # more than the places behind a start that are looked at
 
 Spans = tuple[np.ndarray, np.ndarray]
@@ -277,9 +277,10 @@ def _pieces(column: pa.Array) -> Iterator[tuple[pa.Array, Bytes, np.ndarray, np.
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(total, total[a] + PIECE, "right")) - 1)
         part = column.slice(a, b - a)
-        cells = part.cast(pa.large_binary() if pa.types.is_large_string(part.type) else pa.binary()).to_pylist()
+        cells = pc.fill_null(part.cast(pa.large_binary()), b"")
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(part)], cells), pa.scalar(b"\0", cells.type))[0].as_py()
         begin = total[a:b] - total[a]
-        yield part, Bytes(b"\0".join([c or b"" for c in cells])), begin, begin + sizes[a:b] - 1
+        yield part, Bytes(text), begin, begin + sizes[a:b] - 1
         a = b
 
 
